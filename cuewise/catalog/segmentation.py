@@ -12,7 +12,7 @@ from cuewise.sources import testdata as td
 SELECT video_id, count(*) AS n, min(pos) AS p0, max(e_ms) AS last_e, CAST(sum(s_ms) AS BIGINT) AS sum_s,
        CAST(sum(length(w)) AS BIGINT) AS chars FROM words GROUP BY 1"""))
 def timed_words(spark, sf):
-    return td.words(spark, sf).groupBy("video_id").agg(
+    return td.ingest_words(spark, sf).groupBy("video_id").agg(
         F.count("*").alias("n"), F.min("pos").alias("p0"), F.max("e_ms").alias("last_e"),
         F.sum("s_ms").alias("sum_s"), F.sum(F.char_length("w")).alias("chars"))
 

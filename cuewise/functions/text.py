@@ -166,3 +166,10 @@ def headline_choice(option, clip_title, job_title) -> Column:
 
     return F.when(col(option).isNotNull(),
                   F.coalesce(text(option), text(clip_title), text(job_title)))
+
+
+def with_language_name(df, code: str, name: str):
+    """Add the language's English name; unknown codes pass through."""
+    table = df.sparkSession.createDataFrame(V.LANGUAGES, f"__code string, `{name}` string")
+    out = df.join(F.broadcast(table), F.col(code) == F.col("__code"), "left")
+    return out.withColumn(name, F.coalesce(name, code)).drop("__code")

@@ -111,3 +111,13 @@ def top_sentences(scored: DataFrame, count: int) -> DataFrame:
     best = Window.partitionBy("video_id").orderBy(F.desc("score"), "sent_start")
     ranked = scored.withColumn("rn", F.row_number().over(best))
     return ranked.filter(F.col("rn") <= 3 * count).withColumn("rn", F.col("rn").cast("long"))
+
+
+def fingerprint(words: DataFrame) -> DataFrame:
+    """Order-aware hash of each video's (word, start) sequence.
+
+    Every row hashes its position with its content; the sum is the fingerprint, so no video is
+    gathered in one place.
+    """
+    h = F.xxhash64("pos", "w", "s_ms").bitwiseAND(F.lit((1 << 31) - 1))
+    return words.groupBy("video_id").agg(F.sum(h).alias("fingerprint"), F.count("*").alias("n"))

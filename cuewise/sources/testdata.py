@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions.text import ends_with_any
 from cuewise.operators.scan import WORDS_PER_CHUNK, Scan, chunk_of, running
+from cuewise.sources.staging import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +48,16 @@ def timed_words(texts: DataFrame) -> DataFrame:
                         F.lit(0.9).alias("conf"))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return timed_words(docs.select(F.col("doc_id").alias("video_id"), "text"))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words table of the documents, one video each."""
+    return staged(spark, sf_dir, "words", lambda: ingest_words(spark, sf_dir))
+
+
 def talk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second word source: one video per conversation, its turns in order."""
     turns = table(spark, sf_dir, "conversations")
@@ -72,8 +78,7 @@ def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``documents.doc_id % 50 = 0`` is the definition of the audio corpus, not a sample of it.
     """
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0")
-    w = timed_words(docs.select(F.col("doc_id").alias("video_id"), "text"))
+    w = words(spark, sf_dir).filter("video_id % 50 = 0")
     spoken = w.select(
         "video_id",
         F.explode(F.sequence(F.expr("s_ms div 10"), F.expr("e_ms div 10 - 1"))).alias("hop"),
