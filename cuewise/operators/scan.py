@@ -40,16 +40,18 @@ def running(
     """
     cell = [*key, "__chunk"]
     base = df.withColumn("__chunk", chunk)
-    rows = Window.partitionBy(*cell).orderBy(*order)
-    chunks = Window.partitionBy(*key).orderBy("__chunk")
-    stamp = F.struct(*order)
+    # Later values run backwards too: a frame to the end is evaluated afresh for every row.
+    ahead = (Window.partitionBy(*cell).orderBy(*order), Window.partitionBy(*key).orderBy("__chunk"))
+    behind = (Window.partitionBy(*cell).orderBy(*[F.desc(o) for o in order]),
+              Window.partitionBy(*key).orderBy(F.desc("__chunk")))
+    # A single number keeps the chunk totals in a hash aggregate.
+    stamp = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     local, total, carry, final = {}, [], [], {}
     for name, s in scans.items():
+        rows, chunks = behind if s.kind == "first" else ahead
         before = rows.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
-        after = rows.rowsBetween(0 if s.inclusive else 1, Window.unboundedFollowing)
         earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-        later = chunks.rowsBetween(1, Window.unboundedFollowing)
         lc, tc, cc = f"__l_{name}", f"__t_{name}", f"__c_{name}"
         known = F.when(s.value.isNotNull(), stamp)
         if s.kind in ("sum", "max", "min"):
@@ -62,16 +64,12 @@ def running(
             else:
                 pick = F.greatest if s.kind == "max" else F.least
                 final[name] = pick(lc, cc)
-        elif s.kind == "last":
+        elif s.kind in ("last", "first"):
+            pick = F.max_by if s.kind == "last" else F.min_by
             local[lc] = F.last(s.value, ignorenulls=True).over(before)
-            total.append(F.max_by(s.value, known).alias(tc))
+            total.append(pick(s.value, known).alias(tc))
             carry.append(F.last(tc, ignorenulls=True).over(earlier).alias(cc))
             final[name] = F.coalesce(lc, cc)
-        elif s.kind == "first":
-            local[lc] = F.first(s.value, ignorenulls=True).over(after)
-            total.append(F.min_by(s.value, known).alias(tc))
-            carry.append(F.first(tc, ignorenulls=True).over(later).alias(cc))
-            final[name] = F.coalesce(lc, cc)
         else:
             raise ValueError(f"unknown scan kind {s.kind!r}")
 

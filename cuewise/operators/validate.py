@@ -7,7 +7,6 @@ the video's timeline. What is left looks at most a few minutes around the start,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +20,8 @@ from cuewise.operators.scan import Scan, running
 
 TILE_MS = 600_000
 REACH_BACK_MS = 2_000
+CELLS_PER_PARTITION = 4
+STRETCH = 1 << 38
 FAR = np.iinfo(np.int64).max // 4
 
 
@@ -35,65 +36,58 @@ class Rules:
 
 
 def nearest_word_edges(candidates: DataFrame, words: DataFrame, pad_ms: int) -> DataFrame:
-    """Snap starts to the nearest word start and ends to the nearest word end (earlier on ties),
-    with the sentence end at/after and at/before the snapped end."""
-    ends = ends_sentence("w")
+    """Snap padded starts to the nearest word start and ends to the nearest word end, the earlier
+    one on ties."""
     no = F.lit(None).cast("long")
-    # One row per word start and one per word end on a common time axis.
-    starts = words.select("video_id", F.col("s_ms").alias("t"), F.lit(0).alias("src"),
-                          F.col("s_ms").alias("ws"), no.alias("we"),
-                          F.when(ends, F.col("e_ms")).alias("sent"), no.alias("close"),
-                          no.alias("cand"))
-    stops = words.select("video_id", F.col("e_ms").alias("t"), F.when(ends, 2).otherwise(1).alias("src"),
-                         no.alias("ws"), F.col("e_ms").alias("we"), no.alias("sent"),
-                         F.when(ends, F.col("e_ms")).alias("close"), no.alias("cand"))
-    axis = starts.unionByName(stops)
-    tile = F.expr("t div 60000")
-    order = ["t", "src"]
-    axis = running(axis, ["video_id"], order, tile, {
-        "sb": Scan("last", F.col("sent"), inclusive=True),
-        "se": Scan("first", F.col("close"), inclusive=True),
-    })
-    edge = F.when(F.col("we").isNotNull(), F.struct("we", "sb", "se"))
-    axis = axis.select("video_id", "t", "src", "ws", edge.alias("edge"), "cand")
-    c = candidates.select(
-        "video_id", "cand", F.greatest(F.col("s0") - pad_ms, F.lit(0)).alias("a"),
-        F.least(F.col("e0") + pad_ms, F.col("duration_ms")).alias("b"))
-    none = F.lit(None).cast(axis.schema["edge"].dataType)
-    points = c.select("video_id", "cand", F.explode(F.array(
-        F.struct(F.col("a").alias("t"), F.lit(3).alias("src")),
-        F.struct(F.col("b").alias("t"), F.lit(4).alias("src")))).alias("p"))
-    points = points.select("video_id", "p.t", "p.src", no.alias("ws"), none.alias("edge"), "cand")
-    both = running(axis.unionByName(points), ["video_id"], order, tile, {
-        "s_back": Scan("last", F.col("ws")), "s_next": Scan("first", F.col("ws")),
-        "e_back": Scan("last", F.col("edge")), "e_next": Scan("first", F.col("edge")),
+    # Word starts, word ends and the candidates' own points on one time axis, ordered by ``o``.
+    starts = words.select("video_id", (F.col("s_ms") * 4).alias("o"), F.col("s_ms").alias("ws"),
+                          no.alias("we"), no.alias("cand"))
+    stops = words.select("video_id", (F.col("e_ms") * 4).alias("o"), no.alias("ws"),
+                         F.col("e_ms").alias("we"), no.alias("cand"))
+    a = F.greatest(F.col("s0") - pad_ms, F.lit(0)) * 4 + 1
+    b = F.least(F.col("e0") + pad_ms, F.col("duration_ms")) * 4 + 2
+    points = candidates.select("video_id", F.explode(F.array(a, b)).alias("o"), no.alias("ws"),
+                               no.alias("we"), "cand")
+    axis = starts.unionByName(stops).unionByName(points)
+    both = running(axis, ["video_id"], ["o"], F.expr("o div 4 div 600000"), {
+        "ws_back": Scan("last", F.col("ws")), "ws_next": Scan("first", F.col("ws")),
+        "we_back": Scan("last", F.col("we")), "we_next": Scan("first", F.col("we")),
     }).filter("cand is not null")
 
-    def nearer(back: str, nxt: str, back_t: Column, next_t: Column) -> Column:
-        late = (next_t - F.col("t")) < (F.col("t") - back_t)
-        return F.when(F.col(back).isNull() | F.coalesce(late, F.lit(False)), F.col(nxt)).otherwise(F.col(back))
+    def nearest(kind: int, by: str) -> Column:
+        t, back, nxt = F.expr("o div 4"), F.col(f"{by}_back"), F.col(f"{by}_next")
+        late = F.coalesce(nxt - t < t - back, F.lit(False))
+        value = F.when(back.isNull() | late, nxt).otherwise(back)
+        return F.max(F.when(F.col("o") % 4 == kind, value))
 
-    s1 = nearer("s_back", "s_next", F.col("s_back"), F.col("s_next"))
-    e1 = nearer("e_back", "e_next", F.col("e_back.we"), F.col("e_next.we"))
     return both.groupBy("video_id", "cand").agg(
-        F.max(F.when(F.col("src") == 3, s1)).alias("s1"),
-        F.max(F.when(F.col("src") == 4, e1)).alias("__e"),
-    ).select("video_id", "cand", "s1", F.col("__e.we").alias("e1"), F.col("__e.sb").alias("sb"),
-             F.col("__e.se").alias("se"))
-
-
-def sentence_end_before_start(snapped: DataFrame, words: DataFrame) -> DataFrame:
-    """Add ``pe``: the end of the last sentence-closing word starting 10 ms or more before ``s1``."""
-    no = F.lit(None)
-    closing = words.filter(ends_sentence("w")).select(
-        "video_id", F.col("s_ms").alias("t"), F.lit(0).alias("src"), F.col("pos").alias("n"),
-        F.col("e_ms").alias("end"), no.cast("long").alias("cand"))
-    points = snapped.select("video_id", (F.col("s1") - 10).alias("t"), F.lit(1).alias("src"),
-                            F.lit(0).cast("long").alias("n"), no.cast("long").alias("end"), "cand")
-    found = running(closing.unionByName(points), ["video_id"], ["t", "src", "n"],
-                    F.expr("cast(floor(t / 600000) as long)"), {"pe": Scan("last", F.col("end"))})
-    return snapped.join(found.filter("cand is not null").select("video_id", "cand", "pe"),
-                        ["video_id", "cand"])
+        nearest(1, "ws").alias("s1"), nearest(2, "we").alias("e1"))
+
+
+def sentence_marks(snapped: DataFrame, words: DataFrame) -> DataFrame:
+    """Sentence ends around the snapped edges: ``se`` the first ending at or after ``e1``, ``sb``
+    the last whose word starts at or before ``e1``, ``pe`` the last whose word starts 10 ms or
+    more before ``s1``."""
+    no = F.lit(None).cast("long")
+    closing = words.filter(ends_sentence("w"))
+    by_start = closing.select("video_id", (F.col("s_ms") * 8).alias("o"), F.col("e_ms").alias("open"),
+                              no.alias("close"), no.alias("cand"))
+    by_end = closing.select("video_id", (F.col("e_ms") * 8 + 4).alias("o"), no.alias("open"),
+                            F.col("e_ms").alias("close"), no.alias("cand"))
+    at = F.array((F.col("s1") - 10) * 8 + 1, F.col("e1") * 8 + 2, F.col("e1") * 8 + 3)
+    points = snapped.select("video_id", F.explode(at).alias("o"), no.alias("open"), no.alias("close"),
+                            "cand")
+    axis = by_start.unionByName(by_end).unionByName(points)
+    found = running(axis, ["video_id"], ["o"], F.expr("cast(floor(o / 4800000) as long)"), {
+        "back": Scan("last", F.col("open")), "next": Scan("first", F.col("close")),
+    }).filter("cand is not null")
+    kind = F.pmod(F.col("o"), F.lit(8))
+    marks = found.groupBy("video_id", "cand").agg(
+        F.max(F.when(kind == 1, F.col("back"))).alias("pe"),
+        F.max(F.when(kind == 2, F.col("back"))).alias("sb"),
+        F.max(F.when(kind == 3, F.col("next"))).alias("se"),
+    )
+    return snapped.join(marks, ["video_id", "cand"])
 
 
 def _tiled_words(words: DataFrame, reach_ms: int) -> tuple[DataFrame, DataFrame]:
@@ -104,8 +98,6 @@ def _tiled_words(words: DataFrame, reach_ms: int) -> tuple[DataFrame, DataFrame]
     tiles = F.sequence(F.floor((F.col("s_ms") - reach_ms) / TILE_MS),
                        F.floor((F.col("s_ms") + REACH_BACK_MS) / TILE_MS))
     near = marks.withColumn("tile", F.explode(tiles))
-    # Fresh column ids: the cogrouped sides share their source.
-    near = near.select(*[F.col(c).alias(c) for c in near.columns])
     # Last start before the tile's reach: the latest start of the tiles it no longer touches.
     last = words.groupBy(
         "video_id", (F.floor((F.col("s_ms") + REACH_BACK_MS) / TILE_MS) + 1).alias("tile")
@@ -114,9 +106,15 @@ def _tiled_words(words: DataFrame, reach_ms: int) -> tuple[DataFrame, DataFrame]
 
 
 def _finish(rules: Rules):
-    def per_tile(key, cand: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        w = w.sort_values("pos", kind="stable")
-        s, e = w["s_ms"].to_numpy(np.int64), w["e_ms"].to_numpy(np.int64)
+    def per_cell(cand: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        # All tiles of the cell at once: each gets its own stretch of one long time axis.
+        tags = pd.concat([cand[["video_id", "tile"]], w[["video_id", "tile"]]])
+        base = tags.groupby(["video_id", "tile"]).ngroup().to_numpy(np.int64) * STRETCH
+        c_base, w_base = base[: len(cand)], base[len(cand):]
+        order = np.lexsort((w["pos"].to_numpy(), w_base))
+        w, w_base = w.iloc[order], w_base[order]
+        s = w["s_ms"].to_numpy(np.int64) + w_base
+        e = w["e_ms"].to_numpy(np.int64) + w_base
         ends, filler = w["ends"].to_numpy(bool), w["filler"].to_numpy(bool)
         n = len(w)
         # First non-filler at or after each word; sentinels close every array.
@@ -125,12 +123,13 @@ def _finish(rules: Rules):
         s_x, e_x = np.append(s, FAR), np.append(e, FAR)
         close_e = e[ends]
 
-        a, b = cand["s1"].to_numpy(np.int64), cand["e1"].to_numpy(np.int64)
-        dur = cand["duration_ms"].to_numpy(np.int64)
+        a = cand["s1"].to_numpy(np.int64) + c_base
+        b = cand["e1"].to_numpy(np.int64) + c_base
+        dur = cand["duration_ms"].to_numpy(np.int64) + c_base
 
         def opt(col):
             v = cand[col]
-            return v.fillna(-1).to_numpy(np.int64), v.notna().to_numpy()
+            return v.fillna(-1).to_numpy(np.int64) + c_base, v.notna().to_numpy()
 
         if rules.complete_gate:
             (se, has_se), (sb, has_sb), (pe, has_pe) = opt("se"), opt("sb"), opt("pe")
@@ -155,7 +154,7 @@ def _finish(rules: Rules):
         grown = np.minimum(e_x[np.searchsorted(e, want, "left")], dur)
         b = np.where(small, grown, b)
         still = small & (b - a < rules.min_ms)
-        a = np.where(still, np.maximum(b - rules.min_ms, 0), a)
+        a = np.where(still, np.maximum(b - rules.min_ms, c_base), a)
         keep = ~(small & (b - a < rules.min_ms))
         big = b - a > rules.max_ms
         cap = a + rules.max_ms
@@ -171,15 +170,11 @@ def _finish(rules: Rules):
         word = last_at_most(e, cap)
         word_ok = (word > a) & (word - a >= rules.min_ms)
         b = np.where(big, np.where(sent_ok, sent, np.where(word_ok, word, cap)), b)
-        out = pd.DataFrame({"video_id": cand["video_id"], "cand": cand["cand"], "s": a, "e": b})
+        out = pd.DataFrame({"video_id": cand["video_id"], "cand": cand["cand"],
+                            "s": a - c_base, "e": b - c_base})
         return out[keep]
 
-    def run(key, cand: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        if not len(cand):
-            return pd.DataFrame({"video_id": [], "cand": [], "s": [], "e": []})
-        return per_tile(key, cand, w)
-
-    return run
+    return per_cell
 
 
 def validate(candidates: DataFrame, words: DataFrame, durations: DataFrame,
@@ -191,7 +186,7 @@ def validate(candidates: DataFrame, words: DataFrame, durations: DataFrame,
     c = c.withColumn("s0", clamp("start_ms")).withColumn("e0", clamp("end_ms")).filter("e0 > s0")
     span = c.select("video_id", "cand", "s0", "e0", "duration_ms")
     snapped = nearest_word_edges(span, words, rules.pad_ms)
-    snapped = sentence_end_before_start(snapped, words)
+    snapped = sentence_marks(snapped, words)
     snapped = snapped.join(span.select("video_id", "cand", "duration_ms"), ["video_id", "cand"])
     snapped = snapped.withColumn("tile", F.floor(F.col("s1") / TILE_MS))
     near, last = _tiled_words(words, rules.max_ms + rules.gate_grow_ms + 5_000)
@@ -202,13 +197,17 @@ def validate(candidates: DataFrame, words: DataFrame, durations: DataFrame,
     before = probe.unionByName(asks).withColumn("before_s", F.max("s_ms").over(carry))
     before = before.filter("m = 1").select("video_id", "tile", "before_s")
     snapped = snapped.join(before, ["video_id", "tile"])
-    snapped = snapped.select(*[F.col(c).alias(c) for c in snapped.columns])
+    # Tiles are hashed to a few cells per shuffle partition, so small videos share a Python batch
+    # and a hot video spreads over all of them.
+    cells = CELLS_PER_PARTITION * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = F.pmod(F.xxhash64("video_id", "tile"), F.lit(cells)).alias("cell")
+    near = near.join(snapped.select("video_id", "tile").distinct(), ["video_id", "tile"], "left_semi")
+    # Fresh column ids: the cogrouped sides share their source.
+    left = snapped.select(cell, *[F.col(c).alias(c) for c in snapped.columns])
+    right = near.select(cell, *[F.col(c).alias(c) for c in near.columns])
     id_type = dict(candidates.dtypes)["video_id"]
-    final = (
-        snapped.groupBy("video_id", "tile")
-        .cogroup(near.groupBy("video_id", "tile"))
-        .applyInPandas(_finish(rules), f"video_id {id_type}, cand long, s long, e long")
-    )
+    final = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(
+        _finish(rules), f"video_id {id_type}, cand long, s long, e long")
     hundredth = lambda x: (F.floor((F.col(x) + 5) / 10) * 10).cast("long")
     rest = c.drop("start_ms", "end_ms", "s0", "e0", "duration_ms")
     return rest.join(final, ["video_id", "cand"]).select(
