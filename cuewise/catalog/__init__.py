@@ -1,4 +1,4 @@
 """Every query by name; importing this package registers them all."""
 
-from cuewise.catalog import clips, intervals, predicates, segmentation  # noqa: F401
+from cuewise.catalog import clips, detection, intervals, predicates, segmentation  # noqa: F401
 from cuewise.catalog.registry import ORACLES, QUERIES  # noqa: F401

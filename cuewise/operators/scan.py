@@ -180,3 +180,18 @@ def overlap_join(
         return joined.select(*a.values()).distinct()
     extra = [c for c in right.columns if c not in left.columns]
     return joined.select(*a.values(), *[b[c] for c in extra])
+
+
+def sliding(df: DataFrame, key: list[str], at: str, reach: int, values: dict[str, callable],
+            chunk: int = 4096) -> DataFrame:
+    """Values over the rows ``at - reach .. at + reach`` (edges shrink), for a dense integer ``at``.
+
+    Rows near a chunk edge are copied to the neighbouring chunk, so a long series is spread over
+    many tasks. ``values`` maps a name to ``f(window) -> Column``; windows are row frames.
+    """
+    cells = F.array_distinct(F.array(
+        F.floor((F.col(at) - reach) / chunk), F.floor(F.col(at) / chunk), F.floor((F.col(at) + reach) / chunk)))
+    rows = df.withColumn("__cell", F.explode(cells))
+    w = Window.partitionBy(*key, "__cell").orderBy(at)
+    out = rows.select("*", *[f(w).alias(n) for n, f in values.items()])
+    return out.filter(F.col("__cell") == F.floor(F.col(at) / chunk)).drop("__cell")
