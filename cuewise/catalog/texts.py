@@ -95,20 +95,29 @@ def summaries(spark, sf):
     return O.summaries(td.words(spark, sf))
 
 
+def chapter_rounds():
+    """Nine rounds, each taking the longest pause still far enough from all starts."""
+    out = ""
+    for k in range(1, 10):
+        out += f""",
+r{k} AS (SELECT g.video_id, arg_max(g.pos, (gap, -g.pos)) AS pos, arg_max(g.s_ms, (gap, -g.pos)) AS s FROM gp g JOIN p{k - 1} p ON p.video_id = g.video_id
+  WHERE g.pos > 0 AND g.s_ms > spc AND len(ts) < n AND len(list_filter(ts, lambda t: abs(t - g.s_ms) < spc)) = 0 GROUP BY 1),
+p{k} AS (SELECT p.video_id, CASE WHEN r.s IS NULL THEN ts ELSE list_append(ts, r.s) END AS ts, CASE WHEN r.s IS NULL THEN ps ELSE list_append(ps, r.pos) END AS ps
+  FROM p{k - 1} p LEFT JOIN r{k} r USING (video_id))"""
+    return out
+
+
 CHAPTERS = """
 , dd AS (SELECT video_id, max(e_ms) AS dur, least(greatest(CAST(floor(max(e_ms) / 240000.0 + 0.5) AS INT), 3), 10) AS n FROM words GROUP BY 1 HAVING max(e_ms) >= 90000),
-gp AS (SELECT w.video_id, pos, s_ms, s_ms - lag(e_ms) OVER (PARTITION BY w.video_id ORDER BY pos) AS gap, dur / (n * 2.0) AS spc, n FROM words w JOIN dd USING (video_id)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY gap DESC, pos) AS r FROM gp WHERE pos > 0 AND s_ms > spc),
-st AS (SELECT video_id, 0 AS r, [s_ms] AS ts, [pos] AS ps FROM words WHERE pos = 0 AND video_id IN (SELECT video_id FROM dd)
- UNION ALL SELECT s.video_id, rk.r::INT, CASE WHEN ok THEN list_append(ts, s_ms) ELSE ts END, CASE WHEN ok THEN list_append(ps, pos) ELSE ps END
- FROM st s JOIN (SELECT * FROM rk) rk ON rk.video_id = s.video_id AND rk.r = s.r + 1, LATERAL (SELECT len(ts) < rk.n AND len(list_filter(ts, lambda t: abs(t - rk.s_ms) < rk.spc)) = 0 AS ok)),
-cs AS (SELECT video_id, unnest(arg_max(ps, r)) AS pos, unnest(arg_max(ts, r)) AS s FROM st GROUP BY 1),
+gp AS MATERIALIZED (SELECT w.video_id, pos, s_ms, s_ms - lag(e_ms) OVER (PARTITION BY w.video_id ORDER BY pos) AS gap, dur / (n * 2.0) AS spc, n FROM words w JOIN dd USING (video_id)),
+p0 AS (SELECT video_id, [s_ms] AS ts, [pos] AS ps FROM gp WHERE pos = 0)""" + chapter_rounds() + """,
+cs AS (SELECT video_id, unnest(ps) AS pos, unnest(ts) AS s FROM p9),
 ct AS (SELECT c.video_id, c.pos, CASE WHEN c.pos = 0 THEN 0 ELSE c.s END AS s, string_agg(regexp_replace(w, '[,.?!;]+$', ''), ' ' ORDER BY w.pos) AS t
   FROM cs c JOIN words w ON w.video_id = c.video_id AND w.pos BETWEEN c.pos AND c.pos + 5 GROUP BY 1, 2, 3),
 co AS (SELECT video_id, s // 1000 AS start, left(regexp_replace(trim(upper(left(t, 1)) || substr(t, 2)), '[.:]+$', ''), 80) AS title, row_number() OVER (PARTITION BY video_id ORDER BY s) AS k FROM ct WHERE trim(t) <> ''),
 td AS (SELECT video_id, k, 0::BIGINT AS last, [struct_pack(start := 0::BIGINT, title := title)] AS kept FROM co WHERE k = 1
  UNION ALL SELECT c.video_id, c.k, CASE WHEN ok THEN c.start ELSE last END, CASE WHEN ok THEN list_append(kept, struct_pack(start := c.start, title := c.title)) ELSE kept END
- FROM td t JOIN co c ON c.video_id = t.video_id AND c.k = t.k + 1 JOIN dd USING (video_id), LATERAL (SELECT NOT (c.start - t.last < 10 OR dur - c.start * 1000 < 10000) AS ok)),
+ FROM td t JOIN co c ON c.video_id = t.video_id AND c.k = t.k + 1 JOIN dd ON dd.video_id = t.video_id, LATERAL (SELECT NOT (c.start - t.last < 10 OR dur - c.start * 1000 < 10000) AS ok)),
 tl AS (SELECT video_id, arg_max(kept, k) AS kept FROM td GROUP BY 1),
 chapters AS (SELECT video_id, unnest(range(0, len(kept))) AS n, unnest(kept) AS c FROM tl WHERE len(kept) >= 3)"""
 
