@@ -221,8 +221,8 @@ def finalized_jobs(spark, sf):
     return J.finalize(e).select("event_id", "status")
 
 
-@query("tool_calls", """WITH c AS (SELECT event_id // 2 AS seq, max(CASE WHEN event_id % 2 = 0 THEN epoch_ms(ts) END) AS at_ms, max(CASE WHEN event_id % 2 = 0 THEN event_type END) AS tool,
-  max(CASE WHEN event_id % 2 = 1 THEN epoch_ms(ts) END) AS en, bool_and(CASE WHEN event_id % 2 = 1 THEN event_type <> 'error' END) AS ok FROM events GROUP BY 1)
+@query("tool_calls", """WITH c AS (SELECT event_id // 2 AS seq, max(CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000 END) AS at_ms, max(CASE WHEN event_id % 2 = 0 THEN event_type END) AS tool,
+  max(CASE WHEN event_id % 2 = 1 THEN epoch_us(ts) // 1000 END) AS en, bool_and(CASE WHEN event_id % 2 = 1 THEN event_type <> 'error' END) AS ok FROM events GROUP BY 1)
 SELECT seq, tool, CASE WHEN en IS NULL THEN 'running' WHEN ok THEN 'ok' ELSE 'error' END AS state, coalesce(greatest(en - at_ms, 0), 0) AS ms FROM c ORDER BY seq DESC LIMIT 50""")
 def tool_calls(spark, sf):
     e = td.table(spark, sf, "events").select(

@@ -6,6 +6,7 @@ from cuewise.catalog.registry import query
 from cuewise.catalog.sql import DETECTIONS
 from cuewise.functions import geometry as G
 from cuewise.operators import detect as D
+from cuewise.operators import presence as P
 from cuewise.sources import testdata as td
 
 SRC_W, SRC_H = 1920.0, 1080.0
@@ -259,3 +260,27 @@ def frame_rates(spark, sf):
 @query("reacquire_radius", "SELECT event_id, round(least(0.08::DOUBLE + 0.25 * greatest(value / 100 - 0.1, 0), 0.2), 6) AS radius FROM events")
 def reacquire_radius(spark, sf):
     return td.table(spark, sf, "events").select("event_id", r6(G.reacquire_frac(F.col("value") / 100 - 0.1)).alias("radius"))
+
+
+@query("presence_segments")
+def presence_segments(spark, sf):
+    """Presence of a confident face per video; a shot cut every 40 frames."""
+    f = frames(spark, sf)
+    shots = f.filter("frame % 40 = 0").select("video_id", (F.col("frame") * 250 + 100).alias("t_ms"))
+    ends = f.groupBy("video_id").agg((F.max("frame") * 250 + 250).alias("end_ms"))
+    return P.presence_segments(flags(spark, sf), shots, ends)
+
+
+@query("presence_pieces")
+def presence_pieces(spark, sf):
+    f = frames(spark, sf)
+    ranges = f.filter("frame % 100 = 0").select("video_id", F.col("frame").alias("rank"), (F.col("frame") * 250).alias("a_ms"), (F.col("frame") * 250 + 20_000).alias("b_ms"))
+    return P.clip_pieces(presence_segments(spark, sf), ranges)
+
+
+@query("active_speaker")
+def active_speaker(spark, sf):
+    """Speaker track over the order lines' faces; motion from the box, speech in four of five samples."""
+    s = frames(spark, sf).select("video_id", "frame", (F.col("frame") / 15).alias("t_s"), (F.col("frame") % 5 > 0).alias("speech"), (F.col("frame") % 40 == 0).alias("shot"))
+    fc = D.confirm(faces(spark, sf)).withColumn("motion", F.col("box.w") % 7 / 10)
+    return P.active_speaker(fc, s, SRC_W)
