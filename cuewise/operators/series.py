@@ -191,7 +191,7 @@ def high_pass_energy(samples: DataFrame, rate: int, chunk: int = 1 << 16) -> Dat
     warm = 2048
     size = chunk // per_hop * per_hop
     kind = dict(samples.dtypes)["video_id"]
-    cells = F.array_distinct(F.array(F.floor(F.col("i") / size), F.floor((F.col("i") + warm) / size)))
+    cells = F.sequence(F.floor(F.col("i") / size), F.floor((F.col("i") + warm) / size))
     rows = samples.withColumn("__c", F.explode(cells))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
