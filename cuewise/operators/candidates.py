@@ -9,6 +9,7 @@ from cuewise.functions.score import bump, score_sentence, scorecard, word_set
 from cuewise.functions.text import joined, mentions_any
 from cuewise.operators import segment
 from cuewise.operators.scan import points_in_ranges
+from cuewise.sources.staging import cut
 
 TARGET_MAX_MS = 45_000
 HEURISTIC_WHY = "Offline heuristic pick (no LLM key set)."
@@ -90,8 +91,8 @@ def propose(words: DataFrame, count: int, focus: list[str] = ()) -> DataFrame:
 
 def propose_complete(words: DataFrame, count: int, focus: list[str] = ()) -> DataFrame:
     """Best sentences grown by whole sentences, forward then backward, to 20-120 s."""
-    scored = segment.scored_sentences(words, focus).select(
-        "video_id", "sent_start", "s_ms", "e_ms", "text", "score")
+    scored = cut(segment.scored_sentences(words, focus).select(
+        "video_id", "sent_start", "s_ms", "e_ms", "text", "score"))
     top = segment.top_sentences(scored, count).select(
         "video_id", (F.col("rn") - 1).alias("cand"), F.col("sent_start").alias("i"),
         F.col("s_ms").alias("s_i"), F.col("e_ms").alias("e_i"))

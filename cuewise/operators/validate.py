@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cuewise.functions.score import total_of, word_set, word_set_jaccard
 from cuewise.functions.text import ends_sentence, hashtags, is_hook_filler, style_or
 from cuewise.operators.scan import Scan, running
+from cuewise.sources.staging import cut
 
 TILE_MS = 600_000
 REACH_BACK_MS = 2_000
@@ -184,11 +185,13 @@ def validate(candidates: DataFrame, words: DataFrame, durations: DataFrame,
     c = candidates.join(durations, "video_id").filter(dur > 0)
     clamp = lambda x: F.least(F.greatest(F.col(x), F.lit(0)), dur)
     c = c.withColumn("s0", clamp("start_ms")).withColumn("e0", clamp("end_ms")).filter("e0 > s0")
+    # A few rows per video, needed by every lookup below.
+    c = cut(c)
     span = c.select("video_id", "cand", "s0", "e0", "duration_ms")
     snapped = nearest_word_edges(span, words, rules.pad_ms)
     snapped = sentence_marks(snapped, words)
     snapped = snapped.join(span.select("video_id", "cand", "duration_ms"), ["video_id", "cand"])
-    snapped = snapped.withColumn("tile", F.floor(F.col("s1") / TILE_MS))
+    snapped = cut(snapped.withColumn("tile", F.floor(F.col("s1") / TILE_MS)))
     near, last = _tiled_words(words, rules.max_ms + rules.gate_grow_ms + 5_000)
     carry = Window.partitionBy("video_id").orderBy("tile", "m")
     probe = last.select("video_id", "tile", F.lit(0).alias("m"), F.col("s_ms"))
@@ -227,8 +230,10 @@ def greedy_distinct(rows: DataFrame, group: list[str], order: list[Column], item
     The fold runs on one group's ranked candidates: pickers propose at most three times the count.
     """
     ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    packed = ranked.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("__rn", *item))).alias("__all"))
+    rest = [c for c in rows.columns if c not in group and c not in item]
+    # The whole row rides along, so the input is computed once.
+    packed = ranked.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(
+        "__rn", *item, F.struct(*rest).alias("__rest")))).alias("__all"))
     empty = F.filter("__all", lambda x: F.lit(False))
 
     def step(kept: Column, x: Column) -> Column:
@@ -237,8 +242,8 @@ def greedy_distinct(rows: DataFrame, group: list[str], order: list[Column], item
         return F.when(full | clash, kept).otherwise(F.array_append(kept, x))
 
     kept = packed.select(*group, F.posexplode(F.aggregate("__all", empty, step)).alias("__i", "__k"))
-    kept = kept.select(*group, F.col("__k.__rn").alias("__rn"), (F.col("__i") + 1).cast("long").alias("rank"))
-    return ranked.join(kept, [*group, "__rn"]).drop("__rn")
+    return kept.select(*group, *[F.col(f"__k.{c}").alias(c) for c in item],
+                       *[F.col(f"__k.__rest.{c}").alias(c) for c in rest], (F.col("__i") + 1).cast("long").alias("rank"))
 
 
 def same_moment(x: Column, k: Column) -> Column:

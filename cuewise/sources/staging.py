@@ -8,6 +8,7 @@ with pushed filters instead of exploding texts again.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,15 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For small tables that several branches of a plan need: it is computed once, and a lost
+    executor re-reads it.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cuewise/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
