@@ -278,3 +278,67 @@ def translated_words(lines: DataFrame, translations: DataFrame, words_of_line: D
     spread = respread(lines.join(t, ["video_id", "line"]), "translated")
     kept = words_of_line.join(t.select("video_id", "line"), ["video_id", "line"], "left_anti")
     return spread.unionByName(kept.select("video_id", "line", F.col("pos").alias("i"), "w", "s_ms", "e_ms"))
+
+
+
+def _widened(clips: DataFrame, words: DataFrame, durations: DataFrame, target_ms: int, steps: int) -> DataFrame:
+    """The ends each clip may take, in order: its own, then the next word end 5 s or more on, at
+    most the video's end.
+
+    A plan keeps two fifths of its range or all of it, so ranges past two and a half times the
+    target are never needed; the one word end beyond that reach comes from an as-of lookup.
+    """
+    from cuewise.operators.scan import asof, points_in_ranges
+
+    reach = int(target_ms * 2.5)
+    c = clips.select(*RANGE, "a_ms", "b_ms").join(durations, "video_id")
+    c = c.withColumn("limit", F.greatest(F.col("a_ms") + reach, "b_ms") + 5000)
+    ends = words.select("video_id", "e_ms")
+    near = points_in_ranges(ends, c, ["video_id"], "e_ms", F.col("b_ms"), F.col("limit")).groupBy(*RANGE).agg(
+        F.sort_array(F.collect_set("e_ms")).alias("ends"))
+    far = asof(c.withColumn("at", F.col("limit") + 1), ends.withColumn("far", F.col("e_ms")), ["video_id"], "at",
+               "e_ms", ["far"], "forward", [])
+    c = far.join(near, RANGE, "left")
+
+    def step(acc: Column, _: Column) -> Column:
+        cur = F.element_at(acc, -1)
+        t = F.least(cur + 5000, F.col("duration_ms"))
+        word = F.array_min(F.filter(F.coalesce("ends", F.array().cast("array<bigint>")), lambda x: x >= t))
+        nxt = F.least(F.coalesce(word, "far", "duration_ms"), "duration_ms")
+        nxt = F.when(nxt > F.col("a_ms"), nxt).otherwise(t)
+        done = (cur >= F.col("duration_ms")) | (cur - F.col("a_ms") >= reach)
+        return F.when(done, acc).otherwise(F.array_append(acc, nxt))
+
+    chain = F.aggregate(F.sequence(F.lit(1), F.lit(min(steps, reach // 5000 + 1))), F.array("b_ms"), step)
+    return c.select(*RANGE, "a_ms", F.posexplode(chain).alias("step", "end"))
+
+
+def exact_fit(clips: DataFrame, words: DataFrame, durations: DataFrame, target_ms: int,
+              cfg: Tighten = Tighten(), steps: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Clips ``(video_id, rank, a_ms, b_ms)`` fitted to ``target_ms`` of kept time.
+
+    The end moves out until the tightened plan reaches the target, then the kept time is cut at
+    it, backing up to a word's start. Returns the keeps and the removals of the cut.
+    """
+    from cuewise.operators.scan import points_in_ranges
+
+    tries = _widened(clips, words, durations, target_ms, steps)
+    tagged = tries.select("video_id", (F.col("rank") * 1000 + F.col("step")).alias("rank"), "a_ms", F.col("end").alias("b_ms"))
+    plans = tighten(tagged, words, cfg).select("video_id", F.expr("rank div 1000").alias("rank"), (F.col("rank") % 1000).alias("step"), "keeps", "tight_ms")
+    # The first plan that reaches the target, else the widest.
+    long = F.when(F.col("tight_ms") >= target_ms, F.col("step"))
+    best = plans.groupBy(*RANGE).agg(F.coalesce(F.min_by("keeps", long), F.max_by("keeps", "step")).alias("keeps"))
+    rows = with_offsets(keep_rows(best))
+    fits = F.col("off_ms") + F.col("b_ms") - F.col("a_ms") <= target_ms
+    over = rows.filter(~fits)
+    cut = over.filter(F.col("off_ms") < target_ms).withColumn("cut", F.col("a_ms") + target_ms - F.col("off_ms"))
+    spans = words.select("video_id", F.col("pos"), F.col("s_ms").alias("ws"), (F.col("s_ms") + 1).alias("lo"), (F.col("e_ms") - 1).alias("hi"))
+    inside = points_in_ranges(cut, spans, ["video_id"], "cut", F.col("lo"), F.col("hi")).groupBy(*RANGE, "k").agg(
+        F.min_by("ws", "pos").alias("ws"))
+    cut = cut.join(inside, [*RANGE, "k"], "left").withColumn("cut", F.coalesce(F.greatest("ws", "a_ms"), "cut"))
+    cut = cut.withColumn("cut", F.when(F.col("cut") > F.col("a_ms") + 20, F.col("cut")).otherwise(F.col("a_ms")))
+    kept = rows.filter(fits).select(*RANGE, "k", "a_ms", "b_ms").unionByName(
+        cut.filter("cut > a_ms").select(*RANGE, "k", "a_ms", F.col("cut").alias("b_ms")))
+    dropped = over.join(cut.select(*RANGE, "k", "cut"), [*RANGE, "k"], "left").select(
+        *RANGE, F.coalesce("cut", "a_ms").alias("a_ms"), "b_ms", F.lit(f"exact cap {target_ms / 1000:.0f}s").alias("reason"))
+    return kept, dropped.filter("b_ms - a_ms > 20")

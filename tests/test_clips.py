@@ -122,3 +122,61 @@ def test_worst_pick_goes_first(spark):
     rows = [("v", 1, 0, 50_000, 80.0), ("v", 2, 60_000, 100_000, 60.0), ("v", 3, 200_000, 230_000, 60.0)]
     df = spark.createDataFrame(rows, "video_id string, rank long, start_ms long, end_ms long, score_total double")
     assert sorted(r["rank"] for r in I.cap_by_score(df, ["video_id"], 90_000).collect()) == [1, 3]
+
+
+def plan_of(a, b, ws):
+    """The light plan of a range, as a plain loop."""
+    if b - a < 1000:
+        return [(a, b)]
+    cuts, prev, first = [], a, True
+    for s, e in [w for w in ws if w[1] > a and w[0] < b]:
+        if s - prev > 800:
+            ra = prev + (0 if first else 150)
+            rb = max(s - (250 if first else 100), ra)
+            if rb - ra > 50:
+                cuts.append((ra, min(rb, b)))
+        prev, first = max(prev, e), False
+    if b - prev > 800 and b - prev - 250 > 50:
+        cuts.append((prev + 250, b))
+    keeps, cur = [], a
+    for x, y in cuts:
+        if x - cur >= 400:
+            keeps.append((cur, x))
+        cur = max(cur, y)
+    if b - cur >= 400:
+        keeps.append((cur, b))
+    tight = sum(y - x for x, y in keeps)
+    return keeps if keeps and tight >= 4000 and tight * 10 >= (b - a) * 4 else [(a, b)]
+
+
+def test_exact_fit_matches_a_plain_loop(spark, make_words):
+    r = random.Random(11)
+    text = " ".join(["go"] * 260)
+    words = make_words(text, {i: r.choice([900, 2500, 7000]) for i in range(3, 260, 9)})
+    ws = [(x["s_ms"], x["e_ms"]) for x in words.orderBy("pos").collect()]
+    dur, target = ws[-1][1], 30_000
+    clips = [(i + 1, ws[p][0], ws[p + 12][1]) for i, p in enumerate(range(0, 240, 30))]
+    df = spark.createDataFrame([("v", *c) for c in clips], "video_id string, rank long, a_ms long, b_ms long")
+    keeps, _ = I.exact_fit(df, words, durations(words), target)
+    got = {}
+    for x in keeps.orderBy("rank", "k").collect():
+        got.setdefault(x["rank"], []).append((x["a_ms"], x["b_ms"]))
+    for rank, a, b in clips:
+        plan, n = plan_of(a, b, ws), 0
+        while sum(y - x for x, y in plan) < target and b < dur and n < 40:
+            n += 1
+            t = min(b + 5000, dur)
+            b = min([e for _, e in ws if e >= t] + [dur])
+            plan = plan_of(a, b, ws)
+        acc, want = 0, []
+        for x, y in plan:
+            if acc + y - x <= target:
+                want.append((x, y))
+                acc += y - x
+                continue
+            cut = x + target - acc
+            cut = next((max(s, x) for s, e in ws if s < cut < e), cut)
+            if cut > x + 20:
+                want.append((x, cut))
+            break
+        assert got[rank] == want
