@@ -110,9 +110,8 @@ def punch_windows(peaks_df: DataFrame, words: DataFrame, keeps: DataFrame | None
         hit = points_in_ranges(hit, keeps, ["video_id"], "ws", F.col("a_ms"), F.col("b_ms"), how="left_semi")
     hit = hit.select("video_id", "t_ms", "sm", F.greatest(F.col("ws") - 150, F.lit(0)).alias("s_ms"), (F.col("we") + 450).alias("e_ms"))
     w = Window.partitionBy("video_id").orderBy(F.desc("sm"), "t_ms")
-    # Peaks lie 4 s apart and a window is about a second, so a window can only meet its two
-    # neighbours: 3 * max_n of the highest always hold max_n that fit.
-    top = hit.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 3 * max_n)
+    # One peak per 4 s at most, so a video's list is as long as a quarter of its seconds.
+    top = hit.withColumn("r", F.row_number().over(w))
     packed = top.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("r", "s_ms", "e_ms"))).alias("all"))
 
     def step(kept: Column, x: Column) -> Column:
