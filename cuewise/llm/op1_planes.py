@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cuewise.llm.common import bounded_batches, partitions, pieces, query, shared_path, table
 
 BLOCK = 1 << 16
-KNOWN_WORDS = 1_000_000  # entries of a worker's word cache; it starts anew beyond that
+KNOWN_WORDS = 500_000  # entries of a worker's word cache; it starts anew beyond that
 
 _STATE: dict = {}
 
