@@ -88,7 +88,7 @@ def fit_links(row: np.ndarray, col: np.ndarray, width: int, shares: np.ndarray,
     return p[:width], p[width:ns], p[ns] + np.concatenate([[0.0], np.cumsum(np.exp(p[ns + 1:]))])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS, screen: float = 6.0) -> Model | None:
+def fit(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS, screen: float = 3.5) -> Model | None:
     """Fit on (doc_id, text) and ratings (doc_id, grade INT from 0 without gaps in meaning).
 
     Null ids and grades are left out; a document rated twice counts twice; ratings without a document
