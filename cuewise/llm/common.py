@@ -135,18 +135,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PLAIN = _LOWER.copy()
+_PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
 _ROLLER: list[Roller] = []
 
 
-def words_of(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, starts and ends of the words of a byte array.
 
-    A word is a run of bytes outside 0x20 and 0x09-0x0D; A-Z are lower-cased first.
+    A word is a run of bytes outside 0x20 and 0x09-0x0D; A-Z are lower-cased first. ``plain`` counts
+    ASCII punctuation as space.
     """
     if not _ROLLER:
         _ROLLER.append(Roller())
-    if lower:
-        data = _LOWER[data]
+    data = (_PLAIN if plain else _LOWER)[data]
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~_SPACE[data]
     step = np.diff(inside)
