@@ -111,6 +111,12 @@ class Roller:
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up, self.down = np.ones(1, U64), np.ones(1, U64)
 
+    @staticmethod
+    def shared() -> Roller:
+        if not _ROLLER:
+            _ROLLER.append(Roller())
+        return _ROLLER[0]
+
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
@@ -146,14 +152,12 @@ def words_of(data: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndar
     A word is a run of bytes outside 0x20 and 0x09-0x0D; A-Z are lower-cased first. ``plain`` counts
     ASCII punctuation as space.
     """
-    if not _ROLLER:
-        _ROLLER.append(Roller())
     data = (_PLAIN if plain else _LOWER)[data]
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~_SPACE[data]
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    r = _ROLLER[0]
+    r = Roller.shared()
     return r.at(r.sums(data), start, end), start, end
 
 
