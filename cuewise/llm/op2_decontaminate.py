@@ -5,10 +5,9 @@ segment's own BM25 score, so a passage that holds all words of a segment scores
 length into blocks of ``BLOCK``; each term keeps its largest weight overall and per block. A passage is a window of
 2 L words at every L words, L the longest segment: any occurrence of a segment lies inside one.
 
-Retrieval is exact for the threshold, by block-max pruning: a passage's terms are ordered by their
-largest weight, those whose weights together stay below the threshold cannot make a hit on their own, so only blocks
-of the other (essential) terms are candidates; a candidate block is scored when its block maxima plus
-the rest reach the threshold. Retrieved segments are then verified: word 3-grams of the question
+Retrieval is exact for the threshold, by the bounds of block-max WAND: a passage whose terms' largest
+weights sum below the threshold is skipped, then every block whose maxima over the passage's terms sum below
+it; only segments of the blocks left are scored. Bounds of many passages are summed at once. Retrieved segments are then verified: word 3-grams of the question
 part and of the answer part (the last sentence, or last third) must both occur in the passage.
 """
 
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 from cuewise.llm.common import bounded_batches, joined, mix, pieces, query, settle, table, words_of
 
 SEGMENT = 128  # words of an item segment at most
-BLOCK = 8  # segments of similar length that share block maxima
-SHARD = 1_000_000  # postings of an index shard, which every task holds; more items make more shards
+BLOCK = 4  # segments of similar length that share block maxima
+SHARD = 60_000  # postings of an index shard, which every task holds (some 45 MB); more items make more shards
 THRESHOLD = 0.5  # share of a segment's own BM25 score
 OVERLAP = 0.5  # share of the question's and of the answer's 3-grams
 K1, B = 1.2, 0.75
@@ -97,8 +96,8 @@ class Shard:
         self.most = np.maximum.reduceat(self.weight, self.first[:-1])
         key = code * (len(rows) // BLOCK + 1) + self.seg // BLOCK
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        self.block, self.block_most = self.seg[at] // BLOCK, np.maximum.reduceat(self.weight, at)
-        self.block_first = np.searchsorted(code[at], np.arange(len(self.terms) + 1))
+        self.dense = np.zeros((len(self.terms), (len(rows) - 1) // BLOCK + 1), np.float32)
+        self.dense[code[at], self.seg[at] // BLOCK] = np.maximum.reduceat(self.weight, at)
         self.longest = max(len(r["words"]) for r in rows)
 
     def codes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,30 +119,27 @@ class Shard:
         passage, code = passage[keep], code[keep]
         if not len(code):
             return []
-        order = np.lexsort((self.most[code], passage))
-        passage, code = passage[order], code[order]
-        bound = self.most[code]
+        # Block bounds of the remaining passages: one row of block maxima per term, summed by passage.
         start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-        running = np.cumsum(bound)
-        base = np.repeat(running[start] - bound[start], np.diff(np.r_[start, len(code)]))
-        rest = running - base < threshold - 1e-9  # non-essential
-        slack = np.bincount(passage[rest], bound[rest], n)
-        p, c = passage[~rest], code[~rest]
-        many = self.block_first[c + 1] - self.block_first[c]
-        flat = np.repeat(self.block_first[c] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        width = int(self.block.max()) + 1
-        cell = np.repeat(p, many) * width + self.block[flat]
-        cells, inverse = np.unique(cell, return_inverse=True)
-        most = np.bincount(inverse, self.block_most[flat])
-        cells = cells[most + slack[cells // width] >= threshold - 1e-9]
-        out = []
+        rows, blocks_of = [], []
+        for lo in range(0, len(start), 512):
+            hi = min(len(start), lo + 512)
+            span = slice(start[lo], start[hi] if hi < len(start) else len(code))
+            bound = np.add.reduceat(self.dense[code[span]], start[lo:hi] - start[lo], axis=0)
+            r, b = np.nonzero(bound >= threshold - 1e-6)
+            rows.append(passage[start[lo:hi]][r])
+            blocks_of.append(b)
+        rows, blocks_of = np.concatenate(rows), np.concatenate(blocks_of)
+        out, wanted = [], np.zeros(self.dense.shape[1], bool)
         where = np.searchsorted(passage, np.arange(n + 1))
-        for x in np.unique(cells // width):
+        for x in np.unique(rows):
             terms = code[where[x]: where[x + 1]]
-            blocks = cells[cells // width == x] % width if len(cells) < 64 else cells[np.searchsorted(cells, x * width): np.searchsorted(cells, (x + 1) * width)] % width
+            blocks = blocks_of[np.searchsorted(rows, x): np.searchsorted(rows, x, "right")]
             many = self.first[terms + 1] - self.first[terms]
             flat = np.repeat(self.first[terms] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            flat = flat[np.isin(self.seg[flat] // BLOCK, blocks)]
+            wanted[blocks] = True
+            flat = flat[wanted[self.seg[flat] // BLOCK]]
+            wanted[blocks] = False
             score = np.bincount(self.seg[flat], self.weight[flat])
             out += [(int(x), int(s), float(score[s])) for s in np.flatnonzero(score >= threshold - 1e-9)]
         return out
