@@ -250,7 +250,74 @@ def units(docs: DataFrame, size: int = 4 << 20) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return settle(rows.mapInArrow(pack, schema), "units")
+    spark = docs.sparkSession
+    name = f"units_{uuid.uuid4().hex}"
+    # Bucketed, so that answers are brought to their units and texts are never shuffled.
+    writer = rows.mapInArrow(pack, schema).write.bucketBy(partitions(spark), "unit").option("compression", "zstd")
+    writer.option("path", shared_path(spark, "units")).saveAsTable(name)
+    return spark.table(name)
+
+
+class Ask:
+    """One round of questions: which of a unit's hashes occur how often in all units.
+
+    Each unit sends its distinct hashes, sorted and cut by their leading bits into packets; a packet is one row, so
+    that the exchange carries 8 bytes a hash. All packets of a bucket meet in one task, which holds one bucket at
+    a time and answers each packet in its own order. A hash that fills the corpus is sent once per unit.
+    """
+
+    PACKETS = "bucket long, unit long, hashes binary, extra binary"
+    ANSWERS = "bucket long, unit long, answer binary"
+
+    def __init__(self, spark: SparkSession):
+        self.bits = max(4, (4 * partitions(spark) - 1).bit_length())
+
+    def packets(self, unit: int, hashes: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+        """Rows for sorted distinct hashes with a byte-sized (or wider) value each."""
+        cut = np.searchsorted(hashes, np.arange(1, 1 << self.bits, dtype=np.uint64) << U64(64 - self.bits))
+        cut = np.r_[0, cut, len(hashes)]
+        full = np.flatnonzero(np.diff(cut))
+        return pa.record_batch({
+            "bucket": pa.array(full, pa.int64()), "unit": pa.array(np.full(len(full), unit), pa.int64()),
+            "hashes": pa.array([hashes[cut[k]: cut[k + 1]].tobytes() for k in full], pa.binary()),
+            "extra": pa.array([extra[cut[k]: cut[k + 1]].tobytes() for k in full], pa.binary())})
+
+    def answers(self, packets: DataFrame, solve, name: str = "answers") -> DataFrame:
+        """(unit, answers ARRAY<STRUCT<bucket, answer>>); solve(list of (hashes, extra)) gives one bytes answer for each."""
+        def run(batches):
+            held, now = [], None
+
+            def out():
+                got = solve([(np.frombuffer(h, U64), x) for _, h, x in held])
+                return pa.record_batch({"bucket": pa.array([now] * len(held), pa.int64()), "unit": pa.array([u for u, *_ in held], pa.int64()),
+                                        "answer": pa.array(got, pa.binary())})
+
+            for b in batches:
+                for bucket, unit, h, x in zip(*(b.column(c).to_pylist() for c in ("bucket", "unit", "hashes", "extra"))):
+                    if bucket != now:
+                        if held:
+                            yield out()
+                        held, now = [], bucket
+                    held.append((unit, h, x))
+            if held:
+                yield out()
+
+        spark = packets.sparkSession
+        dealt = packets.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "unit")
+        got = dealt.mapInArrow(run, self.ANSWERS)
+        return settle(got.groupBy("unit").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers")), name)
+
+    @staticmethod
+    def joined(answers: list[dict] | None) -> list[bytes]:
+        """A unit's answers in the order of its sorted hashes."""
+        return [a["answer"] for a in sorted(answers or [], key=lambda a: a["bucket"])]
+
+
+def with_answers(asked: DataFrame, **answers: DataFrame) -> DataFrame:
+    """Bring each unit the answers of earlier rounds, as one array column per round."""
+    for name, a in answers.items():
+        asked = asked.join(a.select("unit", F.col("answers").alias(name)).hint("shuffle_hash"), "unit", "left")
+    return asked
 
 
 # ---------------------------------------------------------------- order and components
