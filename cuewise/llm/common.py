@@ -272,24 +272,26 @@ class Ask:
     def __init__(self, spark: SparkSession):
         self.bits = max(4, (4 * partitions(spark) - 1).bit_length())
 
-    def packets(self, unit: int, hashes: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
-        """Rows for sorted distinct hashes with a byte-sized (or wider) value each."""
+    def packets(self, unit: int, hashes: np.ndarray, extra: np.ndarray, code=np.ndarray.tobytes) -> pa.RecordBatch:
+        """Rows for sorted distinct hashes with a number each, written by ``code``."""
         cut = np.searchsorted(hashes, np.arange(1, 1 << self.bits, dtype=np.uint64) << U64(64 - self.bits))
         cut = np.r_[0, cut, len(hashes)]
         full = np.flatnonzero(np.diff(cut))
         return pa.record_batch({
             "bucket": pa.array(full, pa.int64()), "unit": pa.array(np.full(len(full), unit), pa.int64()),
             "hashes": pa.array([hashes[cut[k]: cut[k + 1]].tobytes() for k in full], pa.binary()),
-            "extra": pa.array([extra[cut[k]: cut[k + 1]].tobytes() for k in full], pa.binary())})
+            "extra": pa.array([code(extra[cut[k]: cut[k + 1]]) for k in full], pa.binary())})
 
     def answers(self, packets: DataFrame, solve, name: str = "answers") -> DataFrame:
-        """(unit, answers ARRAY<STRUCT<bucket, answer>>); solve(list of (hashes, extra)) gives one bytes answer for each."""
+        """(unit, answers ARRAY<STRUCT<bucket, answer>>); solve(list of (hashes, extra)) gives one bytes answer
+        for each, and may add one for the bucket, which is filed under unit -1."""
         def run(batches):
             held, now = [], None
 
             def out():
                 got = solve([(np.frombuffer(h, U64), x) for _, h, x in held])
-                return pa.record_batch({"bucket": pa.array([now] * len(held), pa.int64()), "unit": pa.array([u for u, *_ in held], pa.int64()),
+                whose = [u for u, *_ in held] + [-1] * (len(got) - len(held))
+                return pa.record_batch({"bucket": pa.array([now] * len(got), pa.int64()), "unit": pa.array(whose, pa.int64()),
                                         "answer": pa.array(got, pa.binary())})
 
             for b in batches:
@@ -305,7 +307,10 @@ class Ask:
         spark = packets.sparkSession
         dealt = packets.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "unit")
         got = dealt.mapInArrow(run, self.ANSWERS)
-        return settle(got.groupBy("unit").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers")), name)
+        # One of a bucket's own rows per group: they are never gathered.
+        own = F.when(F.col("unit") < 0, F.col("bucket"))
+        grouped = got.groupBy("unit", own.alias("own")).agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+        return settle(grouped.select("unit", "answers"), name)
 
     @staticmethod
     def joined(answers: list[dict] | None) -> list[bytes]:
@@ -313,6 +318,17 @@ class Ask:
         return [a["answer"] for a in sorted(answers or [], key=lambda a: a["bucket"])]
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """Whole numbers as bytes; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def expanded(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
+    return out
+
+
 def with_answers(asked: DataFrame, **answers: DataFrame) -> DataFrame:
     """Bring each unit the answers of earlier rounds, as one array column per round."""
     for name, a in answers.items():
