@@ -25,8 +25,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sources: DataFrame, weight: Column, budget: float = 1.0, epochs: int = 3) -> DataFrame:
+def targets(sources: DataFrame, weight: Column, budget: float | None = 1.0, epochs: int = 3) -> DataFrame:
     """Add ``target`` to (source, source_size): shares of ``budget`` times all sizes, by ``weight``.
+    Without a budget the weights are themselves the words wanted.
 
     ``weight`` may use ``rank``, the 0-based place of the source by code point, null last. No target
     exceeds ``epochs`` times its source's size; what is above goes to the others by weight until none
@@ -34,19 +35,19 @@ def targets(sources: DataFrame, weight: Column, budget: float = 1.0, epochs: int
     running sums of caps and weights in the order of cap / weight.
     """
     ranked = totals_before(sources.withColumn("one", F.lit(1).cast("long")), [F.asc_nulls_last("source")], {"rank": "one"})
-    ranked = ranked.select("source", "source_size", weight.cast("double").alias("w"), (F.lit(epochs) * F.col("source_size")).cast("double").alias("cap"))
-    ranked = settle(ranked.withColumn("ratio", F.col("cap") / F.col("w")))
-    whole = ranked.agg(F.sum("w").alias("all_w"), (F.sum("source_size") * F.lit(budget)).alias("total"))
+    ranked = ranked.select("source", "source_size", weight.cast("double").alias("w"), (F.lit(epochs) * F.col("source_size")).cast("double").alias("cap")).withColumn("w", F.greatest("w", F.lit(0.0)))
+    ranked = settle(ranked.withColumn("ratio", F.try_divide("cap", "w")))
+    whole = ranked.agg(F.sum("w").alias("all_w"), (F.sum("w") if budget is None else F.sum("source_size") * F.lit(budget)).alias("total"))
     filled = totals_before(ranked, ["ratio", F.asc_nulls_last("source")], {"caps": "cap", "ws": "w"})
     # Sources before the first that stays below its cap are full; its level serves all that follow.
-    level = (F.col("total") - F.col("caps")) / (F.col("all_w") - F.col("ws"))
+    level = F.try_divide(F.col("total") - F.col("caps"), F.col("all_w") - F.col("ws"))
     levels = filled.crossJoin(F.broadcast(whole)).withColumn("level", level)  # one row against the sources
     found = levels.where("level <= ratio").agg(F.min(F.struct("ratio", "level"))["level"].alias("level"))
     return ranked.crossJoin(F.broadcast(found)).select(
         "source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level"))).alias("target"))
 
 
-def mix(docs: DataFrame, source_weight: Column, quality: Column, budget: float = 1.0, epochs: int = 3, seed: int = 1,
+def mix(docs: DataFrame, source_weight: Column, quality: Column, budget: float | None = 1.0, epochs: int = 3, seed: int = 1,
         size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """Return docs (doc_id, text, source, ...) with size, source_size, target, taken and copies.
 
