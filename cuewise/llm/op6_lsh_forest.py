@@ -22,7 +22,7 @@ from cuewise.llm.common import Roller, bounded_batches, components, joined, mix,
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.999
-SMALL, BLOCK = 48, 128
+SMALL, BLOCK = 48, 512
 _SALTS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -180,10 +180,15 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
             todo &= np.minimum(size[:, None], size[None]) >= threshold * np.maximum(size[:, None], size[None]) - 1e-9
             if not todo.any():
                 return None
-            every, col = np.unique(np.concatenate(sets), return_inverse=True)
+            every, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             row = np.repeat(np.arange(m), size)
+            # A shingle of one document is in no intersection.
+            common = np.flatnonzero(times > 1)
+            place = np.full(len(every), -1)
+            place[common] = np.arange(len(common))
+            row, col = row[place[col] >= 0], place[col[place[col] >= 0]]
             both = np.zeros((m, m), np.float32)
-            for lo in range(0, len(every), 4096):  # bounded memory for long texts
+            for lo in range(0, len(common), 4096):  # bounded memory for long texts
                 here = (col >= lo) & (col < lo + 4096)
                 a = np.zeros((m, 4096), np.float32)
                 a[row[here], col[here] - lo] = 1
