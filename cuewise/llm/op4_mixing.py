@@ -36,13 +36,13 @@ def targets(sources: DataFrame, weight: Column, budget: float | None = 1.0, epoc
     """
     ranked = totals_before(sources.withColumn("one", F.lit(1).cast("long")), [F.asc_nulls_last("source")], {"rank": "one"})
     ranked = ranked.select("source", "source_size", weight.cast("double").alias("w"), (F.lit(epochs) * F.col("source_size")).cast("double").alias("cap")).withColumn("w", F.greatest("w", F.lit(0.0)))
-    ranked = settle(ranked.withColumn("ratio", F.try_divide("cap", "w")))
+    ranked = settle(ranked.withColumns({"ratio": F.try_divide("cap", "w"), "one": F.lit(1).cast("long")}))
     whole = ranked.agg(F.sum("w").alias("all_w"), (F.sum("w") if budget is None else F.sum("source_size") * F.lit(budget)).alias("total"))
-    filled = totals_before(ranked, ["ratio", F.asc_nulls_last("source")], {"caps": "cap", "ws": "w"})
+    filled = totals_before(ranked, ["ratio", F.asc_nulls_last("source")], {"caps": "cap", "ws": "w", "nth": "one"})
     # Sources before the first that stays below its cap are full; its level serves all that follow.
     level = F.try_divide(F.col("total") - F.col("caps"), F.col("all_w") - F.col("ws"))
     levels = filled.crossJoin(F.broadcast(whole)).withColumn("level", level)  # one row against the sources
-    found = levels.where("level <= ratio").agg(F.min(F.struct("ratio", "level"))["level"].alias("level"))
+    found = levels.where("level <= ratio").agg(F.min_by("level", "nth").alias("level"))
     return ranked.crossJoin(F.broadcast(found)).select(
         "source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level"))).alias("target"))
 
