@@ -89,14 +89,17 @@ class EliasFano:
         want = x & ((np.uint64(1) << np.uint64(self.low_bits)) - np.uint64(1))
         high = np.minimum(high, self.top)
         at, end = begin[high], begin[high + 1]
+        last = end.copy()
         live = np.flatnonzero(at < end)
-        while len(live):
-            got = self.low_at(at[live])
-            hit = got == want[live]
-            out[live[hit]] = at[live[hit]]
-            on = live[got < want[live]]
-            at[on] += 1
-            live = on[at[on] < end[on]]
+        while len(live):  # halving: a frequent context has many successors in one high part
+            middle = (at[live] + end[live]) >> 1
+            less = self.low_at(middle) < want[live]
+            at[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
+            live = live[at[live] < end[live]]
+        inside = np.flatnonzero(at < last)
+        hit = inside[self.low_at(at[inside]) == want[inside]]
+        out[hit] = at[hit]
         return out
 
 
@@ -164,10 +167,17 @@ class Unit:
 
     def __init__(self, row: dict, folds: int, fold: int):
         data = np.frombuffer(row["blob"], np.uint8)
-        words, start, _ = words_of(data)
         at = np.r_[0, np.cumsum(np.array(row["length"], np.int64) + 1)]
-        per = np.diff(np.searchsorted(start, at))
-        n_docs = len(per)
+        n_docs = len(at) - 1
+        # Hashed a megabyte of texts at a time: a hash needs some 40 bytes of work space per byte of text.
+        words, per, i = [], [np.zeros(0, np.int64)], 0
+        while i < n_docs:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), "right")) - 1)
+            got, start, _ = words_of(data[at[i]: at[j]])
+            words.append(got)
+            per.append(np.diff(np.searchsorted(start, at[i: j + 1] - at[i])))
+            i = j
+        words, per = np.concatenate(words or [np.zeros(0, np.uint64)]), np.concatenate(per)
         self.end = np.cumsum(per + 1) - 1
         tokens = np.empty(len(words) + n_docs, np.uint64)
         inner = np.ones(len(tokens), bool)
@@ -206,7 +216,7 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    packed, ask = units(docs, 8 << 20), Ask(spark)
+    packed, ask = units(docs, 6 << 20), Ask(spark)
     bits = ask.bits
 
     def rows_of(batches):
