@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-def bounded_batches(spark: SparkSession, size: int = 32 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Hand texts to Python in batches of bounded bytes, however long single texts are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.set(key, str(size))
@@ -105,6 +105,8 @@ class Roller:
     ``key`` picks one of a family of independent tables. The powers are kept between calls.
     """
 
+    KEEP = 6 << 20
+
     def __init__(self, key: int = 0):
         self.code = _splitmix(256, 1000 + key)
         self.base = int(_splitmix(1, 77 + key)[0]) | 5
@@ -118,8 +120,9 @@ class Roller:
         return _ROLLER[0]
 
     def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
+        # Powers for a long text go again with the next short one.
+        if len(self.up) < n or len(self.up) > max(2 * n, self.KEEP):
+            size = max(n, 1 << 16)
             for name, b in (("up", self.base), ("down", self.inverse)):
                 p = np.full(size, b, U64)
                 p[0] = 1
@@ -190,7 +193,7 @@ def joined(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``limit`` bytes of text, or one row."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     first, total = 0, 0
