@@ -25,7 +25,7 @@ def recogniser_docs(spark, sf):
     stamp = F.struct(srt("s_ms").alias("from"), srt("e_ms").alias("to"))
     cut = lambda a, b: F.substring("w", a, b)
     piece = lambda t: F.struct(t.alias("text"), stamp.alias("timestamps"), F.lit(0.9).alias("p"))
-    toks = F.array(piece(F.concat(F.lit(" "), cut(1, 2))), piece(F.concat(F.lit(""), cut(3, 10000))))
+    toks = F.array(piece(F.concat(F.lit(" "), cut(1, 2))), piece(F.concat(F.lit(""), F.expr("substring(w, 3)"))))
     seg = w.groupBy("video_id", "sent_start").agg(
         F.array_sort(F.collect_list(F.struct("pos", "w", toks.alias("t")))).alias("p"), F.min("s_ms").alias("s"), F.max("e_ms").alias("e"))
     text = F.array_join(F.transform("p", lambda x: x["w"]), " ")
@@ -103,11 +103,11 @@ def crop_points(spark, sf):
     return G.crop_plans(td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("video_id"), F.expr(doc).alias("doc")))
 
 
-@query("reply_candidates", "SELECT event_id AS video_id, 0 AS cand, CAST(round(value * 1000) AS BIGINT) AS start_ms, CAST(round(value * 1000) AS BIGINT) + 20000 AS end_ms, 'h' || event_id AS hook, 7 AS hook_score FROM events WHERE event_id % 5 < 4")
+@query("reply_candidates", "SELECT event_id AS video_id, 0 AS cand, CAST(round(value * 1000) AS BIGINT) AS start_ms, CAST(round(value * 1000) AS BIGINT) + 20000 AS end_ms, 'h' || event_id AS hook, 70 AS hook_score FROM events WHERE event_id % 5 < 4")
 def reply_candidates(spark, sf):
     clip = "concat('{\"start_s\":', value, ',\"end_s\":', value + 20, ',\"hook_line\":\"h', event_id, '\",\"scores\":{\"hook\":7,\"retention\":6,\"value\":5,\"share\":4}}')"
     body = f"concat('{{\"clips\":[', {clip}, ']}}')"
-    reply = f"""case event_id % 5 when 0 then {body} when 1 then concat('[', {clip}, ']') when 2 then concat('Sure:\\n```json\\n', {body}, '\\n```\\nDone.')
+    reply = f"""case event_id % 5 when 0 then {body} when 1 then concat('[', {clip}, ']') when 2 then concat('Sure:\\n```json\\n[1,\\n``` or ```\\n{{no\\n``` so\\n```json\\n', {body}, '\\n```\\nDone.')
       when 3 then concat('Here it is ', {body}, ' bye') else 'no json here' end"""
     r = td.table(spark, sf, "events").select(F.col("event_id").alias("video_id"), F.expr(reply).alias("reply"))
     return G.reply_candidates(r).select("video_id", "cand", "start_ms", "end_ms", "hook", F.col("scores.hook").alias("hook_score"))
@@ -121,11 +121,11 @@ def uncached_media(spark, sf):
 
 
 @query("caption_fixes", with_words("""
-SELECT video_id, pos, CASE WHEN pos % 50 = 3 THEN 'fixed' ELSE w END AS w FROM words WHERE pos % 50 <> 4 AND pos % 50 BETWEEN 2 AND 6"""))
+SELECT video_id, pos, CASE WHEN pos % 50 = 3 THEN 'fixed' ELSE w END AS w FROM words WHERE pos % 50 <> 4"""))
 def caption_fixes(spark, sf):
     w = td.words(spark, sf)
     fixes = w.filter("pos % 50 in (3, 4)").select("video_id", F.col("pos").alias("fix"), (F.col("s_ms") + 7).alias("s_ms"), F.expr("if(pos % 50 = 3, ' fixed ', ' ')").alias("w"))
-    return E.apply_fixes(w, fixes)[0].filter("pos % 50 between 2 and 6").select("video_id", "pos", "w")
+    return E.apply_fixes(w, fixes)[0].select("video_id", "pos", "w")
 
 
 @query("transcript_agreement", with_words("""

@@ -52,20 +52,21 @@ def removals(ranges: DataFrame, words: DataFrame, cfg: Tighten) -> DataFrame:
         F.lag("e_ms").over(w).alias("last_e"), F.lead("s_ms").over(w).alias("next_s"),
     )
     gap = F.col("s_ms") - F.col("prev_e")
-    keep = F.lit(cfg.pause_keep_ms)
+    keep = F.least(F.lit(cfg.pause_keep_ms), gap)
     lead_in = F.col("last_e").isNull()
     head = F.col("prev_e") + F.when(lead_in, 0).otherwise(F.floor(keep * 0.6).cast("long"))
     tail = F.greatest(F.col("s_ms") - F.when(lead_in, keep).otherwise(F.floor(keep * 0.4).cast("long")), head)
-    keep_text = f"{cfg.pause_keep_ms / 1000:.2f}"
+    keep_text = F.format_string("%.2f", keep / 1000)
     pauses = said.filter((gap > cfg.pause_above_ms) & (tail - head > JOIN_MS)).select(
         *RANGE, head.alias("a"), tail.alias("b"), F.lit(0).alias("seq"),
-        F.concat(F.lit("pause "), tenths(gap), F.lit(f"s->{keep_text}s")).alias("reason"))
+        F.concat(F.lit("pause "), tenths(gap), F.lit("s->"), keep_text, F.lit("s")).alias("reason"))
     ends = ranges.select(*RANGE, "a_ms", "b_ms").join(
         said.groupBy(*RANGE).agg(F.max("e_ms").alias("last")), RANGE, "left")
     ends = ends.withColumn("last", F.greatest("a_ms", "last"))
     silence = F.col("b_ms") - F.col("last")
-    tails = ends.filter((silence > cfg.pause_above_ms) & (silence - cfg.pause_keep_ms > JOIN_MS)).select(
-        *RANGE, (F.col("last") + cfg.pause_keep_ms).alias("a"), F.col("b_ms").alias("b"), F.lit(1).alias("seq"),
+    left = F.least(F.lit(cfg.pause_keep_ms), silence)
+    tails = ends.filter((silence > cfg.pause_above_ms) & (silence - left > JOIN_MS)).select(
+        *RANGE, (F.col("last") + left).alias("a"), F.col("b_ms").alias("b"), F.lit(1).alias("seq"),
         F.concat(F.lit("tail pause "), tenths(silence), F.lit("s")).alias("reason"))
     out = pauses.unionByName(tails)
     if cfg.mode == "punchy":

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cuewise.functions.text import capitalize, ends_line_sentence, words_in_order
 from cuewise.functions.timefmt import clock
 from cuewise.operators import segment
-from cuewise.operators.lines import cell_of
 
 MIN_CHAPTERS, MIN_CHAPTER_S, MIN_VIDEO_MS = 3, 10, 90_000
 
@@ -51,7 +50,7 @@ def chapter_starts(words: DataFrame, durations: DataFrame) -> DataFrame:
     gaps = segment.gap_before(words).join(long, "video_id").select(
         "video_id", "pos", "s_ms", F.coalesce("gap_ms", F.lit(0)).alias("gap_ms"), "duration_ms")
     kind = dict(words.dtypes)["video_id"]
-    return gaps.groupBy(cell_of(gaps, "video_id").alias("cell")).applyInPandas(
+    return gaps.groupBy("video_id").applyInPandas(
         lambda pdf: _pick_starts(pdf), f"video_id {kind}, pos long, start_ms long")
 
 
@@ -66,7 +65,8 @@ def titled(starts: DataFrame, words: DataFrame) -> DataFrame:
 
 def tidy(chapters: DataFrame, durations: DataFrame) -> DataFrame:
     """Chapters sorted, the first at 0, each 10 s or longer, titles trimmed; none under three."""
-    ok = chapters.filter(F.col("start_s").isNotNull() & ~F.isnan("start_s") & (F.trim("title") != ""))
+    finite = ~F.isnan("start_s") & (F.abs("start_s") < float("inf"))
+    ok = chapters.filter(F.col("start_s").isNotNull() & finite & (F.trim("title") != ""))
     title = F.substring(F.regexp_replace(F.trim("title"), r"[.:]+$", ""), 1, 80)
     rows = ok.select("video_id", F.floor(F.greatest("start_s", F.lit(0.0))).alias("start"), title.alias("title"), "start_s")
     packed = rows.groupBy("video_id").agg(

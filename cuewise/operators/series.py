@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.text import clean, col, is_hook_filler
-from cuewise.operators.lines import cell_of
 from cuewise.operators.scan import Scan, chunk_of, points_in_ranges, running, sliding
 
 HOP_MS = 10
@@ -84,18 +83,14 @@ def _spaced(spacing_ms: int):
 def peaks(series: DataFrame, above_db: float, spacing_ms: int = SPACING_MS) -> DataFrame:
     """Emphasis peaks: the highest first, 4 s apart. Series under ten points have none.
 
-    A candidate beats every sample within 0.3 s, so the choice runs on a thinned series; videos
-    are hashed to cells.
+    A candidate beats every sample within 0.3 s, so the choice runs on a thinned series, one video
+    at a time.
     """
     long = series.groupBy("video_id").agg(F.count("*").alias("n")).filter("n >= 10").select("video_id")
     cand = peak_candidates(series.join(long, "video_id", "left_semi"), above_db)
     kind = dict(series.dtypes)["video_id"]
-    return cand.groupBy(cell_of(cand, "video_id").alias("cell")).applyInPandas(
-        _drop_cell(_spaced(spacing_ms)), f"video_id {kind}, i long, t_ms long, sm double")
-
-
-def _drop_cell(fn):
-    return lambda pdf: fn(pdf[["video_id", "i", "t_ms", "sm"]])
+    return cand.select("video_id", "i", "t_ms", "sm").groupBy("video_id").applyInPandas(
+        _spaced(spacing_ms), f"video_id {kind}, i long, t_ms long, sm double")
 
 
 def punch_windows(peaks_df: DataFrame, words: DataFrame, keeps: DataFrame | None, max_n: int) -> DataFrame:
@@ -153,41 +148,48 @@ def exponential(series: DataFrame, value: str, alpha: float, chunk: int = 4096)
     beta = 1.0 - alpha
     kind = dict(series.dtypes)["video_id"]
     base = series.withColumn("__c", F.floor(F.col("i") / chunk))
+    lag = np.arange(64)[:, None] - np.arange(64)[None]
+    step, powers = np.where(lag >= 0, beta ** np.maximum(lag, 0), 0.0), beta ** np.arange(1, 65)
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["video_id", "__c", "i"], kind="stable")
-        out, decay, prev_key, acc, d = [], [], None, 0.0, 1.0
-        for v, c, i, x in zip(pdf["video_id"], pdf["__c"], pdf["i"], pdf[value]):
-            if (v, c) != prev_key:
-                prev_key, d = (v, c), 1.0
-                acc = x if i == 0 else alpha * x
-                d = 0.0 if i == 0 else beta
-            else:
-                acc = alpha * x + beta * acc
-                d *= beta
-            out.append(acc)
-            decay.append(d)
+        # Within 64 values the sum of decayed terms is one small product; blocks carry the last one.
+        x = pdf[value].to_numpy(float) * alpha
+        starts = pdf["i"].iloc[0] == 0
+        if starts:
+            x[0] /= alpha
+        n = len(x)
+        rows = np.pad(x, (0, -n % 64)).reshape(-1, 64) @ step.T
+        acc = 0.0
+        for row in rows:
+            row += acc * powers
+            acc = row[-1]
+        out = rows.ravel()[:n]
+        decay = np.zeros(n) if starts else beta ** np.arange(1, n + 1)
         return pd.DataFrame({"video_id": pdf["video_id"], "i": pdf["i"], "__c": pdf["__c"], "part": out, "decay": decay})
 
-    parts = base.select(cell_of(base, "video_id", "__c").alias("cell"), "video_id", "__c", "i", F.col(value).cast("double").alias(value))
-    parts = parts.groupBy("cell").applyInPandas(
+    parts = base.select("video_id", "__c", "i", F.col(value).cast("double").alias(value))
+    parts = parts.groupBy("video_id", "__c").applyInPandas(
         lambda p: local(p), f"video_id {kind}, i long, __c long, part double, decay double")
     ends = parts.groupBy("video_id", "__c").agg(F.max_by("part", "i").alias("part"), F.max_by("decay", "i").alias("decay"))
     w = Window.partitionBy("video_id").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    # Chunk ends compose as value = part + decay * carry; a full chunk's decay is next to nothing.
-    carry = ends.withColumn("carry", F.aggregate(
-        F.collect_list(F.struct("__c", "part", "decay")).over(w), F.lit(0.0), lambda a, x: x["part"] + x["decay"] * a))
+    # A whole chunk decays what came before it below any double, so only the last end carries.
+    carry = ends.withColumn("carry", F.coalesce(F.last("part").over(w), F.lit(0.0)))
     out = parts.join(carry.select("video_id", "__c", "carry"), ["video_id", "__c"])
     return out.select("video_id", "i", (F.col("part") + F.col("decay") * F.col("carry")).alias("smoothed"))
 
 
 def high_pass_energy(samples: DataFrame, rate: int, chunk: int = 1 << 16) -> DataFrame:
     """Energy table from float samples ``(video_id, i, x)``: one-pole high-pass near 100 Hz, then the
-    mean square per 10 ms. Chunks warm up on the 2048 samples before them, by when an earlier
-    state has decayed below single precision."""
+    mean square per 10 ms. Chunks warm up on as many samples before them as an earlier state needs
+    to decay by 2^-30 at this rate."""
     per_hop = round(rate * HOP_MS / 1000)
     alpha = math.exp(-2.0 * math.pi * 100.0 / rate)
-    warm = 2048
+    warm = math.ceil(30 * math.log(2) / -math.log(alpha))
+    block = 256
+    decay = alpha ** np.arange(1, block + 1)
+    lag = np.arange(block)[:, None] - np.arange(block)[None]
+    step = np.where(lag >= 0, alpha ** (np.maximum(lag, 0) + 1.0), 0.0)
     size = chunk // per_hop * per_hop
     kind = dict(samples.dtypes)["video_id"]
     cells = F.sequence(F.floor(F.col("i") / size), F.floor((F.col("i") + warm) / size))
@@ -196,11 +198,14 @@ def high_pass_energy(samples: DataFrame, rate: int, chunk: int = 1 << 16) -> Dat
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", kind="stable")
         x, i = pdf["x"].to_numpy(np.float64), pdf["i"].to_numpy()
-        y, prev_x, prev_y = np.empty(len(x)), (0.0 if i[0] == 0 else x[0]), 0.0
-        for k, v in enumerate(x.tolist()):
-            prev_y = alpha * (prev_y + v - prev_x)
-            prev_x = v
-            y[k] = prev_y
+        # y[k] = alpha (y[k - 1] + x[k] - x[k - 1]): whole blocks at once, the last value carried.
+        d = np.diff(x, prepend=0.0 if i[0] == 0 else x[0])
+        part = np.pad(d, (0, -len(d) % block)).reshape(-1, block) @ step.T
+        carry = 0.0
+        for row in part:
+            row += carry * decay
+            carry = row[-1]
+        y = part.ravel()[: len(x)]
         own = i // size == pdf["__c"].iloc[0]
         out = pd.DataFrame({"video_id": pdf["video_id"].to_numpy()[own], "hop": i[own] // per_hop, "ms": y[own] ** 2})
         return out.groupby(["video_id", "hop"], as_index=False)["ms"].mean()

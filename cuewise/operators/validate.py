@@ -59,7 +59,8 @@ def nearest_word_edges(candidates: DataFrame, words: DataFrame, pad_ms: int) ->
         t, back, nxt = F.expr("o div 4"), F.col(f"{by}_back"), F.col(f"{by}_next")
         late = F.coalesce(nxt - t < t - back, F.lit(False))
         value = F.when(back.isNull() | late, nxt).otherwise(back)
-        return F.max(F.when(F.col("o") % 4 == kind, value))
+        # Without words a point stays where it is.
+        return F.max(F.when(F.col("o") % 4 == kind, F.greatest(F.coalesce(value, t), F.lit(0))))
 
     return both.groupBy("video_id", "cand").agg(
         nearest(1, "ws").alias("s1"), nearest(2, "we").alias("e1"))
@@ -200,16 +201,13 @@ def validate(candidates: DataFrame, words: DataFrame, durations: DataFrame,
     before = probe.unionByName(asks).withColumn("before_s", F.max("s_ms").over(carry))
     before = before.filter("m = 1").select("video_id", "tile", "before_s")
     snapped = snapped.join(before, ["video_id", "tile"])
-    # Tiles are hashed to a few cells per shuffle partition, so small videos share a Python batch
-    # and a hot video spreads over all of them.
-    cells = CELLS_PER_PARTITION * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cell = F.pmod(F.xxhash64("video_id", "tile"), F.lit(cells)).alias("cell")
+    # A group is one ten-minute tile, whatever the size of the corpus or of a video.
     near = near.join(snapped.select("video_id", "tile").distinct(), ["video_id", "tile"], "left_semi")
     # Fresh column ids: the cogrouped sides share their source.
-    left = snapped.select(cell, *[F.col(c).alias(c) for c in snapped.columns])
-    right = near.select(cell, *[F.col(c).alias(c) for c in near.columns])
+    left = snapped.select(*[F.col(c).alias(c) for c in snapped.columns])
+    right = near.select(*[F.col(c).alias(c) for c in near.columns])
     id_type = dict(candidates.dtypes)["video_id"]
-    final = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(
+    final = left.groupBy("video_id", "tile").cogroup(right.groupBy("video_id", "tile")).applyInPandas(
         _finish(rules), f"video_id {id_type}, cand long, s long, e long")
     hundredth = lambda x: (F.floor((F.col(x) + 5) / 10) * 10).cast("long")
     rest = c.drop("start_ms", "end_ms", "s0", "e0", "duration_ms")
