@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cuewise.catalog.registry import query
-from cuewise.catalog.sql import DETECTIONS
+from cuewise.catalog.sql import DETECTIONS, with_words
 from cuewise.functions import geometry as G
 from cuewise.operators import detect as D
 from cuewise.operators import presence as P
@@ -177,10 +177,11 @@ def group_shot_runs(spark, sf):
     return D.group_runs(f)
 
 
-@query("speech_memory", f"""WITH {DETECTIONS}, {FLAGS}, m AS (SELECT video_id, i, max(CASE WHEN face THEN i END) OVER (PARTITION BY video_id ORDER BY i) AS a FROM fl)
-SELECT video_id, i, coalesce(greatest(30 - (i - a), 0), 0) AS "left" FROM m""")
+@query("speech_memory", f"""WITH {DETECTIONS}, {FLAGS}, m AS (SELECT video_id, i, max(CASE WHEN face THEN i END) OVER w AS a, max(CASE WHEN i % 40 = 0 THEN i END) OVER w AS s FROM fl WINDOW w AS (PARTITION BY video_id ORDER BY i))
+SELECT video_id, i, CASE WHEN s IS NULL OR a >= s THEN coalesce(greatest(30 - (i - a), 0), 0) ELSE 0 END AS "left" FROM m""")
 def speech_memory(spark, sf):
-    return D.since_last_true(flags(spark, sf), "face").select("video_id", "i", "left")
+    """Faces as the flag; a shot every 40 frames clears the memory."""
+    return D.since_last_true(flags(spark, sf).withColumn("shot", F.col("i") % 40 == 0), "face", reset="shot").select("video_id", "i", "left")
 
 
 PIX = """px AS (SELECT 0 AS video_id, vec_id AS frame, k // 8 AS y, k % 8 AS x, CAST(floor(abs(embedding[k + 1]::DOUBLE) * 1000) AS BIGINT) % 256 AS luma
@@ -222,9 +223,11 @@ def frame_cuts(spark, sf):
     return D.classify_cuts(c, ["profile"], lo + 200, lo + 1400)
 
 
-@query("mouth_motion", f"""WITH {PIX}, b AS (SELECT vec_id AS frame, (vec_id % 3)::DOUBLE AS x, (vec_id % 2)::DOUBLE AS y, 5.0::DOUBLE AS w, 6.0::DOUBLE AS h FROM embeddings)
-SELECT 0 AS video_id, b.frame, 0 AS det, round(least(avg(abs(p.luma - q.luma)) / 255.0::DOUBLE * 8.0, 1.0), 6) AS motion FROM b JOIN px p ON p.frame = b.frame JOIN px q ON q.frame = b.frame - 1 AND q.y = p.y AND q.x = p.x
-WHERE p.x >= floor(b.x + w * 0.25) AND p.x < floor(b.x + w * 0.75) AND p.y >= floor(b.y + h * 0.55) AND p.y < floor(b.y + h * 0.92) GROUP BY b.frame""")
+@query("mouth_motion", f"""WITH {PIX}, b AS (SELECT vec_id AS frame, (vec_id % 3)::DOUBLE AS x, (vec_id % 2)::DOUBLE AS y, 5.0::DOUBLE AS w, 6.0::DOUBLE AS h FROM embeddings),
+st AS (SELECT a.* FROM b a JOIN b c ON c.frame = a.frame - 1 WHERE (5.0 - abs(a.x - c.x)) * (6.0 - abs(a.y - c.y)) / (60.0 - (5.0 - abs(a.x - c.x)) * (6.0 - abs(a.y - c.y))) > 0.35),
+mo AS (SELECT b.frame, least(avg(abs(p.luma - q.luma)) / 255.0::DOUBLE * 8.0, 1.0) AS motion FROM st b JOIN px p ON p.frame = b.frame JOIN px q ON q.frame = b.frame - 1 AND q.y = p.y AND q.x = p.x
+WHERE p.x >= floor(b.x + w * 0.25) AND p.x < floor(b.x + w * 0.75) AND p.y >= floor(b.y + h * 0.55) AND p.y < floor(b.y + h * 0.92) GROUP BY b.frame)
+SELECT 0 AS video_id, b.frame, 0 AS det, round(coalesce(motion, 0.0), 6) AS motion FROM b LEFT JOIN mo USING (frame)""")
 def mouth_motion(spark, sf):
     box = F.struct((F.col("vec_id") % 3).cast("double").alias("x"), (F.col("vec_id") % 2).cast("double").alias("y"),
                    F.lit(5.0).alias("w"), F.lit(6.0).alias("h"), F.lit(1.0).alias("score"))
@@ -240,10 +243,13 @@ def panel_crops(spark, sf):
     return p.select("video_id", "shot_frame", *[r6(f"{s}.{c}").alias(f"{s}_{c}") for s in ("top", "bottom") for c in "xywh"])
 
 
-@query("typical_pairs", f"""WITH {PAIRS}, a AS (SELECT video_id, list_sort(list(l.x + l.w / 2)) AS lx, list_sort(list(r.h)) AS rh FROM pr GROUP BY 1)
-SELECT video_id, round(lx[len(lx) // 2 + 1], 6) AS lx, round(rh[len(rh) // 2 + 1], 6) AS rh FROM a""")
+MEDIANS = {f"{s}{n}": e.format(s=s) for s in "lr" for n, e in (("x", "{s}.x + {s}.w / 2"), ("y", "{s}.y + {s}.h / 2"), ("w", "{s}.w"), ("h", "{s}.h"))}
+
+
+@query("typical_pairs", f"""WITH {PAIRS}, a AS (SELECT video_id, {", ".join(f"list_sort(list({e})) AS {c}" for c, e in MEDIANS.items())} FROM pr GROUP BY 1)
+SELECT video_id, {", ".join(f"round({c}[len({c}) // 2 + 1], 6) AS {c}" for c in MEDIANS)} FROM a""")
 def typical_pairs(spark, sf):
-    return D.typical_faces(D.pairs(faces(spark, sf), SRC_W), ["video_id"]).select("video_id", r6("lx").alias("lx"), r6("rh").alias("rh"))
+    return D.typical_faces(D.pairs(faces(spark, sf), SRC_W), ["video_id"]).select("video_id", *[r6(c).alias(c) for c in MEDIANS])
 
 
 @query("frame_rates", """
@@ -278,9 +284,24 @@ def presence_pieces(spark, sf):
     return P.clip_pieces(presence_segments(spark, sf), ranges)
 
 
+CLOCK = "(frame - video_id * 1000) * 1000 // 15"
+
+
+def spoken(spark, sf):
+    """Every frame at 15 Hz on its video's clock, and whether the talk of the same id says a word then."""
+    t = F.expr("(frame - video_id * 1000) * 1000 div 15")
+    return P.speech_samples(frames(spark, sf).withColumn("t_ms", t), td.words(spark, sf))
+
+
+@query("spoken_samples", with_words(f""", f AS (SELECT o_orderkey // 1000 AS video_id, o_orderkey AS frame FROM orders), t AS (SELECT *, {CLOCK} AS t_ms FROM f)
+SELECT t.*, EXISTS (SELECT 1 FROM words w WHERE w.video_id = t.video_id AND t.t_ms > w.s_ms - 400 AND t.t_ms < w.e_ms + 400) AS speech FROM t"""))
+def spoken_samples(spark, sf):
+    return spoken(spark, sf).select("video_id", "frame", "t_ms", "speech")
+
+
 @query("active_speaker")
 def active_speaker(spark, sf):
-    """Speaker track over the order lines' faces; motion from the box, speech in four of five samples."""
-    s = frames(spark, sf).select("video_id", "frame", (F.col("frame") / 15).alias("t_s"), (F.col("frame") % 5 > 0).alias("speech"), (F.col("frame") % 40 == 0).alias("shot"))
+    """Speaker track over the order lines' faces; motion from the box, speech from the talk's words."""
+    s = spoken(spark, sf).select("video_id", "frame", (F.col("t_ms") / 1000).alias("t_s"), "speech", (F.col("frame") % 40 == 0).alias("shot"))
     fc = D.confirm(faces(spark, sf)).withColumn("motion", F.col("box.w") % 7 / 10)
     return P.active_speaker(fc, s, SRC_W)

@@ -8,6 +8,7 @@ from cuewise.functions.fixed_values import TIGHTEN_FILLERS
 from cuewise.operators import intervals as I
 from cuewise.operators import segment
 from cuewise.sources import testdata as td
+from cuewise.sources.staging import cut
 
 PARTS = """
 , d AS (SELECT video_id, max(e_ms) AS dur FROM words GROUP BY 1),
@@ -81,6 +82,23 @@ def punchy_keeps(spark, sf):
     return I.keep_rows(plans(spark, sf, "punchy"))
 
 
+def refined(spark, sf):
+    """Cut plans on the clock of the energy table, their edges moved to quiet instants."""
+    w = td.fast_words(spark, sf)
+    p = cut(I.tighten(minute_parts(w), w, I.Tighten(mode="light", pause_above_ms=80, pause_keep_ms=25)))
+    return I.refine_edges(I.keep_rows(p), I.removed_rows(p), w, td.energy(spark, sf))
+
+
+@query("refined_keeps")
+def refined_keeps(spark, sf):
+    return refined(spark, sf)[0]
+
+
+@query("refined_removed")
+def refined_removed(spark, sf):
+    return refined(spark, sf)[1]
+
+
 @query("punchy_removed", with_words(PUNCHY + " SELECT * FROM removed"))
 def punchy_removed(spark, sf):
     return I.removed_rows(plans(spark, sf, "punchy"))

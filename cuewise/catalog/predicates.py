@@ -225,9 +225,9 @@ SELECT video_id, pos,
  lpad((e_ms // 60000)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') AS minute,
  lpad((e_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((e_ms % 1000)::VARCHAR, 3, '0') AS srt,
  (e_ms // 3600000) || ':' || lpad((e_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((e_ms // 10 % 100)::VARCHAR, 2, '0') AS centi
-FROM words WHERE right(w, 1) = '?'"""))
+FROM words"""))
 def stamps(spark, sf):
-    return td.words(spark, sf).filter(F.col("w").endswith("?")).select(
+    return td.words(spark, sf).select(
         "video_id", "pos", X.clock("e_ms").alias("clock"), X.minute("e_ms").alias("minute"),
         X.srt("e_ms").alias("srt"), X.centi("e_ms").alias("centi"))
 

@@ -1,5 +1,7 @@
 """Lines, cues, outlines and upload kits."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuewise.catalog.intervals import PARTS, minute_parts
@@ -11,6 +13,8 @@ from cuewise.operators import kit as K
 from cuewise.operators import lines as L
 from cuewise.operators import outline as O
 from cuewise.operators import segment
+from cuewise.plans.jobs import read_srt, write_srt
+from cuewise.session import checkpoint_dir
 from cuewise.sources import testdata as td
 
 
@@ -47,11 +51,29 @@ lines_query("readable_lines", L.READABLE, READ)
 lines_query("transcript_blocks", L.BLOCK, BLOCK)
 
 
+def _srt_time(c):
+    return f"lpad(({c} // 3600000)::VARCHAR, 2, '0') || ':' || lpad(({c} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({c} // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad(({c} % 1000)::VARCHAR, 3, '0')"
+
+
+# A cue over 42 bytes breaks at the space nearest to its middle byte, the earlier one on ties.
+CUES = f""", cu AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY line) AS n, s_ms, e_ms, text, string_split(text, ' ') AS ws FROM ln),
+cb AS (SELECT *, CASE WHEN strlen(text) > 42 AND len(ws) > 1 THEN list_sort(list_transform(range(1, len(ws)), lambda i: {{'d': abs(strlen(array_to_string(ws[1:i], ' ')) - strlen(text) // 2), 'i': i}}))[1].i END AS brk FROM cu),
+cc AS (SELECT *, CASE WHEN brk IS NULL THEN text ELSE array_to_string(ws[1:brk], ' ') || chr(10) || array_to_string(ws[brk + 1:], ' ') END AS body FROM cb)
+SELECT video_id, n, s_ms, e_ms, body, n || chr(10) || {_srt_time('s_ms')} || ' --> ' || {_srt_time('e_ms')} || chr(10) || body || chr(10) AS cue FROM cc"""
+
+
 @query("srt_cues", rec(with_words(folded(SRT) + """
-SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY line) AS n, s_ms, e_ms, text FROM ln""")))
+""" + CUES)))
 def srt_cues(spark, sf):
-    return L.srt_cues(td.words(spark, sf)).select(
-        "video_id", "n", "s_ms", "e_ms", F.replace("body", F.lit("\n"), F.lit(" ")).alias("text"))
+    return L.srt_cues(td.words(spark, sf))
+
+
+@query("stored_cues", rec(with_words(folded(SRT) + CUES.replace("SELECT video_id, n, s_ms, e_ms, body, n ||", "SELECT video_id, n, n ||"))))
+def stored_cues(spark, sf):
+    """Cues written to the shared folder as a table clustered by video, and read back."""
+    path = f"{checkpoint_dir(spark)}/cuewise/{spark.sparkContext.applicationId}/cues-{uuid.uuid4().hex}"
+    write_srt(L.srt_cues(td.words(spark, sf)), path)
+    return read_srt(spark, path)
 
 
 @query("sentence_split_captions", rec(with_words(folded(CAP) + """

@@ -133,17 +133,13 @@ def upper_median(c) -> Column:
 
 def _upper_medians(rows: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
     """Upper medians by rank, so that a large group is sorted by the engine and never collected."""
-    parts = None
-    for c in cols:
-        v = rows.groupBy(*group, F.col(c).alias("v")).agg(F.count("*").alias("c"))
-        n = v.groupBy(*group).agg(F.sum("c").alias("total"))
-        w = Window.partitionBy(*group).orderBy("v")
-        m = v.withColumn("upto", F.sum("c").over(w)).join(n, group)
-        m = m.filter((F.col("upto") > F.floor(F.col("total") / 2)) & (
-            F.col("upto") - F.col("c") <= F.floor(F.col("total") / 2)))
-        m = m.select(*group, F.col("v").alias(c))
-        parts = m if parts is None else parts.join(m, group)
-    return parts
+    long = rows.select(*group, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select(*group, "x.*")
+    counts = long.groupBy(*group, "name", "v").agg(F.count("*").alias("c"))
+    one = Window.partitionBy(*group, "name")
+    m = counts.select("*", F.sum("c").over(one.orderBy("v")).alias("upto"), F.floor(F.sum("c").over(one) / 2).alias("half"))
+    m = m.filter((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("c") <= F.col("half")))
+    return m.groupBy(*group).agg(*[F.max(F.when(F.col("name") == c, F.col("v"))).alias(c) for c in cols])
 
 
 def typical_faces(pair_rows: DataFrame, group: list[str]) -> DataFrame:
@@ -230,12 +226,17 @@ def group_runs(frames: DataFrame, min_ms: int = 800) -> DataFrame:
         "video_id", F.col("t0_ms").alias("start_ms"), "end_ms")
 
 
-def since_last_true(flags: DataFrame, flag: str, memory: int = 30) -> DataFrame:
-    """A memory set to ``memory`` samples while the flag holds, counting down after: alive or not."""
-    last = running(flags, ["video_id"], ["i"], chunk_of("i", 4096),
-                   {"at": Scan("max", F.when(F.col(flag), F.col("i")), inclusive=True)})
+def since_last_true(flags: DataFrame, flag: str, memory: int = 30, reset: str | None = None) -> DataFrame:
+    """A memory set to ``memory`` samples while the flag holds, counting down after: alive or not. A sample
+    where ``reset`` holds (a shot) clears what came before it."""
+    scans = {"at": Scan("max", F.when(F.col(flag), F.col("i")), inclusive=True)}
+    if reset is not None:
+        scans["since"] = Scan("max", F.when(F.col(reset), F.col("i")), inclusive=True)
+    last = running(flags, ["video_id"], ["i"], chunk_of("i", 4096), scans)
     left = F.greatest(memory - (F.col("i") - F.col("at")), F.lit(0))
-    return last.withColumn("left", F.coalesce(left, F.lit(0).cast("long"))).drop("at")
+    if reset is not None:
+        left = F.when(F.col("since").isNull() | (F.col("at") >= F.col("since")), left)
+    return last.withColumn("left", F.coalesce(left, F.lit(0).cast("long"))).drop("at", "since")
 
 
 # Pixels ------------------------------------------------------------------------------------------
@@ -264,20 +265,27 @@ def frame_changes(pixels: DataFrame) -> DataFrame:
     return diff.join(turn, ["video_id", "frame"])
 
 
-def mouth_motion(pixels: DataFrame, faces: DataFrame) -> DataFrame:
-    """Motion of each face's mouth band against the frame before, 0 to 1."""
-    band = faces.select(
+def mouth_motion(pixels: DataFrame, faces: DataFrame, channels: tuple[str, ...] = ("luma",)) -> DataFrame:
+    """Motion of each face's mouth band against the frame before over all ``channels``, 0 to 1.
+
+    A face that overlaps no face of the frame before (IoU over 0.35), has no frame before or an empty band has 0.
+    """
+    earlier = faces.select("video_id", (F.col("frame") + 1).alias("frame"), F.col("box").alias("was_box"))
+    stays = faces.join(earlier, ["video_id", "frame"]).filter(iou("box", "was_box") > 0.35).select("video_id", "frame", "det").distinct()
+    band = faces.join(stays, ["video_id", "frame", "det"], "left_semi").select(
         "video_id", "frame", "det",
         F.floor(F.greatest(F.col("box.x") + F.col("box.w") * 0.25, F.lit(0.0))).alias("x0"),
         F.floor(F.greatest(F.col("box.x") + F.col("box.w") * 0.75, F.lit(0.0))).alias("x1"),
         F.floor(F.greatest(F.col("box.y") + F.col("box.h") * 0.55, F.lit(0.0))).alias("y0"),
         F.floor(F.greatest(F.col("box.y") + F.col("box.h") * 0.92, F.lit(0.0))).alias("y1"))
-    prev = pixels.select("video_id", (F.col("frame") + 1).alias("frame"), "y", "x", F.col("luma").alias("was"))
-    moved = pixels.join(prev, ["video_id", "frame", "y", "x"]).withColumn("d", F.abs(F.col("luma") - F.col("was")))
+    prev = pixels.select("video_id", (F.col("frame") + 1).alias("frame"), "y", "x", *[F.col(c).alias(f"was_{c}") for c in channels])
+    change = sum((F.abs(F.col(c) - F.col(f"was_{c}")) for c in channels), F.lit(0)) / len(channels)
+    moved = pixels.join(prev, ["video_id", "frame", "y", "x"]).withColumn("d", change)
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
     hit = moved.join(band, ["video_id", "frame"]).filter(inside)
-    return hit.groupBy("video_id", "frame", "det").agg(
-        F.least(F.avg("d") / 255.0 * 8.0, F.lit(1.0)).alias("motion"))
+    found = hit.groupBy("video_id", "frame", "det").agg(F.least(F.avg("d") / 255.0 * 8.0, F.lit(1.0)).alias("motion"))
+    return faces.select("video_id", "frame", "det").join(found, ["video_id", "frame", "det"], "left").withColumn(
+        "motion", F.coalesce("motion", F.lit(0.0)))
 
 
 def classify_cuts(changes: DataFrame, key: list[str], lo: Column, hi: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions.fixed_values import TIGHTEN_FILLERS
 from cuewise.functions.text import clean
+from cuewise.sources.staging import cut
 from cuewise.operators.scan import Scan, overlap_join, running
 
 RANGE = ["video_id", "rank"]
@@ -343,3 +344,81 @@ def exact_fit(clips: DataFrame, words: DataFrame, durations: DataFrame, target_m
     dropped = over.join(cut.select(*RANGE, "k", "cut"), [*RANGE, "k"], "left").select(
         *RANGE, F.coalesce("cut", "a_ms").alias("a_ms"), "b_ms", F.lit(f"exact cap {target_ms / 1000:.0f}s").alias("reason"))
     return kept, dropped.filter("b_ms - a_ms > 20")
+
+
+def refine_edges(keeps: DataFrame, removed: DataFrame, words: DataFrame, energy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Move the edges of keeps ``(video_id, rank, k, a_ms, b_ms)`` to quiet instants; removals ``(..., a_ms, b_ms, reason)`` follow.
+
+    A start may move within 60 ms back and 40 ms on (the first keep: up to 200 ms before its first word), an
+    end within 60 ms (the last keep: up to 300 ms after its last word), never into a neighbouring word or keep. A keep that
+    would fall under 200 ms stays as it was. That choice changes how far the next start may go back, so both cases of each
+    start are searched and a fold over a clip's keeps picks one. Videos without energy stay as they are.
+    """
+    from cuewise.operators.scan import asof
+    from cuewise.operators.series import quietest
+
+    key = ["rank", "k"]
+    w = Window.partitionBy(*RANGE).orderBy("k")
+    keeps, removed = cut(keeps), cut(removed)
+    rows = keeps.select("video_id", *key, "a_ms", "b_ms").join(energy.select("video_id").distinct(), "video_id", "left_semi")
+    inside = overlap_join(words.select("video_id", "pos", "s_ms", "e_ms"), rows, ["video_id"], ("s_ms", "e_ms"), ("a_ms", "b_ms"))
+    inside = inside.groupBy("video_id", *key).agg(F.min_by("s_ms", "pos").alias("first_s"), F.max("e_ms").alias("last_e"))
+    rows = rows.join(inside, ["video_id", *key], "left")
+    rows = rows.withColumns({"first_s": F.coalesce("first_s", "a_ms"), "last_e": F.greatest(F.coalesce("last_e", "a_ms"), "a_ms")})
+    rows = rows.withColumns({"at_start": F.least("a_ms", "first_s"), "at_end": F.greatest("b_ms", "last_e")})
+    rows = asof(rows, words.select("video_id", "e_ms", F.col("e_ms").alias("before_e")), ["video_id"], "at_start", "e_ms", ["before_e"], "backward", [])
+    rows = asof(rows, words.select("video_id", "s_ms", F.col("s_ms").alias("after_s")), ["video_id"], "at_end", "s_ms", ["after_s"], "forward", [])
+    rows = cut(rows.select("*", F.lag("b_ms").over(w).alias("prev_b"), F.lead("a_ms").over(w).alias("next_a")))
+
+    head, tail = F.col("prev_b").isNull(), F.col("next_a").isNull()
+    hi = F.when(tail, F.least(F.col("last_e") + 300, F.col("after_s") - 30)).otherwise(
+        F.least(F.col("b_ms") + 60, F.col("after_s") - 20, F.col("next_a") - 20))
+    lo = F.when(tail, F.col("last_e")).otherwise(F.greatest(F.col("b_ms") - 60, F.col("last_e")))
+    pref = F.when(tail, F.least(F.col("last_e") + 200, hi)).otherwise(F.col("b_ms"))
+
+    def span(name: str, lo: Column, hi: Column, pref: Column) -> Column:
+        return F.struct(F.lit(name).alias("edge"), lo.alias("lo"), hi.alias("hi"), F.least(F.greatest(pref, lo), hi).alias("pref"))
+
+    def start(name: str, behind: Column) -> Column:
+        back = F.when(head, F.greatest(F.col("first_s") - 200, F.col("before_e") + 30)).otherwise(
+            F.greatest(F.col("a_ms") - 60, F.col("before_e") + 20, behind + 20))
+        on = F.when(head, F.col("first_s")).otherwise(F.least(F.col("a_ms") + 40, F.col("first_s")))
+        return span(name, back, on, F.when(head, F.greatest(F.col("first_s") - 120, back)).otherwise(F.col("a_ms")))
+
+    def search(df: DataFrame, *spans: Column) -> DataFrame:
+        """Add, for each span's name, the quietest instant in it, or null where it is too short to search."""
+        asked = df.select("video_id", *key, F.explode(F.array(*spans)).alias("x")).filter("x.hi - x.lo > 30").select(
+            "video_id", *key, "x.edge", F.col("x.lo").alias("a_ms"), F.col("x.hi").alias("b_ms"), F.col("x.pref").alias("pref_ms"))
+        found = quietest(cut(asked), energy, [*key, "edge"]).groupBy("video_id", *key)
+        names = ("b1", "a0") if len(spans) == 2 else ("a1",)
+        return cut(df.join(found.agg(*[F.max(F.when(F.col("edge") == n, F.col("quiet_ms"))).alias(n) for n in names]), ["video_id", *key], "left"))
+
+    # Where there is nothing to search the first keep still takes its lead-in.
+    lead_in = F.greatest(F.col("first_s") - 200, F.col("before_e") + 30)
+    lead_in = F.when(head & (F.coalesce(lead_in, F.col("first_s") - 200) < F.col("a_ms")), F.least(F.greatest(lead_in, F.lit(0)), F.col("a_ms"))).otherwise(F.col("a_ms"))
+    rows = search(rows, span("b1", lo, hi, pref), start("a0", F.col("prev_b")))
+    rows = rows.withColumns({"b1": F.coalesce("b1", "b_ms"), "a0": F.coalesce("a0", lead_in)})
+    rows = search(rows.withColumn("prev_b1", F.lag("b1").over(w)), start("a1", F.col("prev_b1")))
+    rows = rows.withColumn("a1", F.coalesce("a1", lead_in))
+
+    packed = rows.groupBy(*RANGE).agg(F.array_sort(F.collect_list(F.struct("k", "a_ms", "b_ms", "a0", "a1", "b1"))).alias("all"))
+
+    def choose(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        a = F.when(F.coalesce(last["stayed"], F.lit(False)), x["a0"]).otherwise(x["a1"])
+        small = x["b1"] - a < 200
+        return F.array_append(done, F.struct(
+            x["k"].alias("k"), x["a_ms"].alias("old_a"), x["b_ms"].alias("old_b"), F.when(small, x["a_ms"]).otherwise(a).alias("a_ms"),
+            F.when(small, x["b_ms"]).otherwise(x["b1"]).alias("b_ms"), small.alias("stayed")))
+
+    kind = dict(keeps.dtypes)["k"]
+    empty = F.array().cast(f"array<struct<k:{kind},old_a:bigint,old_b:bigint,a_ms:bigint,b_ms:bigint,stayed:boolean>>")
+    moved = cut(packed.select(*RANGE, F.explode(F.aggregate("all", empty, choose)).alias("x")).select(*RANGE, "x.*"))
+    same = keeps.select(*RANGE, "k", "a_ms", "b_ms").join(moved.select(*RANGE, "k"), [*RANGE, "k"], "left_anti")
+    out = moved.select(*RANGE, "k", "a_ms", "b_ms").unionByName(same)
+
+    starts = moved.select(*RANGE, F.col("old_a").alias("b_ms"), F.col("a_ms").alias("new_b"))
+    ends = moved.select(*RANGE, F.col("old_b").alias("a_ms"), F.col("b_ms").alias("new_a"))
+    cuts = removed.join(starts, [*RANGE, "b_ms"], "left").join(ends, [*RANGE, "a_ms"], "left")
+    cuts = cuts.withColumns({"a_ms": F.coalesce("new_a", "a_ms"), "b_ms": F.coalesce("new_b", "b_ms")})
+    return out, cuts.select(*removed.columns).filter("b_ms - a_ms > 1")

@@ -64,13 +64,17 @@ def titled(starts: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def tidy(chapters: DataFrame, durations: DataFrame) -> DataFrame:
-    """Chapters sorted, the first at 0, each 10 s or longer, titles trimmed; none under three."""
+    """Chapters sorted, the first at 0, each 10 s or longer, titles trimmed; none under three.
+
+    Equal starts stay in the order of column ``n`` where the input has one.
+    """
+    tie = F.col("n") if "n" in chapters.columns else F.lit(0)
     finite = ~F.isnan("start_s") & (F.abs("start_s") < float("inf"))
     ok = chapters.filter(F.col("start_s").isNotNull() & finite & (F.trim("title") != ""))
     title = F.substring(F.regexp_replace(F.trim("title"), r"[.:]+$", ""), 1, 80)
-    rows = ok.select("video_id", F.floor(F.greatest("start_s", F.lit(0.0))).alias("start"), title.alias("title"), "start_s")
+    rows = ok.select("video_id", F.floor(F.greatest("start_s", F.lit(0.0))).alias("start"), title.alias("title"), "start_s", tie.cast("long").alias("tie"))
     packed = rows.groupBy("video_id").agg(
-        F.array_sort(F.collect_list(F.struct("start_s", "start", "title"))).alias("all"))
+        F.array_sort(F.collect_list(F.struct("start_s", "tie", "start", "title"))).alias("all"))
     packed = packed.join(durations, "video_id")
 
     def step(kept: Column, c: Column) -> Column:

@@ -116,8 +116,9 @@ def top_sentences(scored: DataFrame, count: int) -> DataFrame:
 def fingerprint(words: DataFrame) -> DataFrame:
     """Order-aware hash of each video's (word, start) sequence.
 
-    Every row hashes its position with its content; the sum is the fingerprint, so no video is
-    gathered in one place.
+    Every row hashes its position with its content to 64 bits; their exact sum and their exclusive or
+    make the fingerprint, so no video is gathered in one place.
     """
-    h = F.xxhash64("pos", "w", "s_ms").bitwiseAND(F.lit((1 << 31) - 1))
-    return words.groupBy("video_id").agg(F.sum(h).alias("fingerprint"), F.count("*").alias("n"))
+    h = F.xxhash64("pos", "w", "s_ms")
+    both = F.concat_ws(":", F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string"))
+    return words.groupBy("video_id").agg(both.alias("fingerprint"), F.count("*").alias("n"))
