@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cuewise.catalog.clips import COUNT, PROPOSE
 from cuewise.catalog.detection import FLAGS, flags, r6
 from cuewise.catalog.registry import query
-from cuewise.catalog.sql import DETECTIONS, JOB_EVENTS, with_sentences, with_words
+from cuewise.catalog.sql import DETECTIONS, JOB_EVENTS, rec, with_sentences, with_words
 from cuewise.operators import candidates as C
 from cuewise.operators import jobs as J
 from cuewise.operators import judge as Q
@@ -44,7 +44,13 @@ s2 AS (SELECT *, max(sm) OVER (PARTITION BY video_id ORDER BY i ROWS BETWEEN 3 P
 s3 AS (SELECT video_id, i, t_ms, sm FROM s2 WHERE sm = pk AND sm > -60 AND sm - ar[len(ar) // 2 + 1] >= 3)"""
 
 
-@query("emphasis_peaks")
+SPACED = PEAKS + """, rk AS (SELECT video_id, i, t_ms, sm, row_number() OVER (PARTITION BY video_id ORDER BY sm DESC, i) AS n FROM s3 JOIN (SELECT video_id FROM loudness GROUP BY 1 HAVING count(*) >= 10) USING (video_id)),
+st AS (SELECT video_id, n, [t_ms] AS kept FROM rk WHERE n = 1 UNION ALL
+ SELECT r.video_id, r.n, CASE WHEN len(list_filter(s.kept, lambda k: abs(k - r.t_ms) < 4000)) = 0 THEN list_append(s.kept, r.t_ms) ELSE s.kept END FROM st s JOIN rk r ON r.video_id = s.video_id AND r.n = s.n + 1),
+fn AS (SELECT video_id, unnest(arg_max(kept, n)) AS t_ms FROM st GROUP BY 1)"""
+
+
+@query("emphasis_peaks", rec(with_words(SPACED + " SELECT rk.video_id, rk.i, rk.t_ms, rk.sm FROM fn JOIN rk USING (video_id, t_ms)")))
 def emphasis_peaks(spark, sf):
     return S.peaks(S.loudness(td.energy(spark, sf)), 3.0).withColumn("sm", r6("sm"))
 

@@ -74,3 +74,8 @@ job_events AS (
     event_id % 3 + 1 AS rank, CAST(floor(value) AS BIGINT) % 101 AS pct
   FROM events)
 """
+
+
+def rec(sql: str) -> str:
+    """The statement with recursive common table expressions allowed."""
+    return "WITH RECURSIVE " + sql[len("WITH "):]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuewise.catalog.intervals import PARTS, minute_parts
 from cuewise.catalog.registry import query
-from cuewise.catalog.sql import clean, with_sentences, with_words
+from cuewise.catalog.sql import clean, rec, with_sentences, with_words
 from cuewise.functions.fixed_values import TAG_STOP
 from cuewise.operators import intervals as I
 from cuewise.operators import kit as K
@@ -27,10 +27,6 @@ pk AS (SELECT video_id, pos, pos AS line, 1 AS n, CAST(strlen(w) + 1 AS BIGINT)
 ln AS (SELECT p.video_id, line, string_agg(w, ' ' ORDER BY w.pos) AS text, min(s_ms) AS s_ms, max(e_ms) AS e_ms, count(*) AS n_words FROM pk p JOIN words w USING (video_id, pos) GROUP BY 1, 2)"""
 
 
-def rec(sql):
-    return "WITH RECURSIVE " + sql[len("WITH "):]
-
-
 SUB = "w.s_ms - w.le > 600 OR p.n >= 16 OR (p.n >= 4 AND right(w.lw, 1) IN ('.', '?', '!'))"
 SRT = "p.n >= 8 OR p.width + strlen(w.w) > 42 OR w.s_ms - w.le > 800 OR w.e_ms - p.s0 > 5000"
 CAP = "p.n >= 4 OR p.width + strlen(w.w) > 24 OR w.s_ms - w.le > 600 OR w.e_ms - p.s0 > 4000"

@@ -53,8 +53,8 @@ def smooth(series: DataFrame, reach: int = 2) -> DataFrame:
 
 def peak_candidates(series: DataFrame, above_db: float) -> DataFrame:
     """Local maxima (0.3 s) of the smoothed series above -60 dB and ``above_db`` over their
-    upper median (1.5 s)."""
-    sm = smooth(series)
+    upper median (1.5 s). Levels are compared to 1e-6 dB, so that equal ones are ties."""
+    sm = smooth(series).withColumn("sm", F.round("sm", 6))
     top = sliding(sm, ["video_id"], "i", 15, {
         "peak": lambda w: F.max("sm").over(w.rowsBetween(-3, 3)),
         "around": lambda w: F.sort_array(F.collect_list("sm").over(w.rowsBetween(-15, 15)))})
