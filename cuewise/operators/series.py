@@ -143,9 +143,11 @@ def quietest(spans: DataFrame, energy: DataFrame, key: list[str]) -> DataFrame:
 
 def exponential(series: DataFrame, value: str, alpha: float, chunk: int = 4096) -> DataFrame:
     """Exponential smoothing along a dense ``i``: ``a * x + (1 - a) * previous``, seeded with the
-    first value. Chunks are smoothed apart; the previous chunk's last value decays into the next,
-    so the carries form one short scan per video."""
+    first value. Chunks are smoothed apart and are so long that a whole one decays what came before it to
+    nothing; the previous chunk's last value alone decays into the next."""
     beta = 1.0 - alpha
+    if 0.0 < beta < 1.0:
+        chunk = max(chunk, math.ceil(60 * math.log(2) / -math.log(beta)))
     kind = dict(series.dtypes)["video_id"]
     base = series.withColumn("__c", F.floor(F.col("i") / chunk))
     lag = np.arange(64)[:, None] - np.arange(64)[None]
@@ -173,7 +175,6 @@ def exponential(series: DataFrame, value: str, alpha: float, chunk: int = 4096)
         lambda p: local(p), f"video_id {kind}, i long, __c long, part double, decay double")
     ends = parts.groupBy("video_id", "__c").agg(F.max_by("part", "i").alias("part"), F.max_by("decay", "i").alias("decay"))
     w = Window.partitionBy("video_id").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    # A whole chunk decays what came before it below any double, so only the last end carries.
     carry = ends.withColumn("carry", F.coalesce(F.last("part").over(w), F.lit(0.0)))
     out = parts.join(carry.select("video_id", "__c", "carry"), ["video_id", "__c"])
     return out.select("video_id", "i", (F.col("part") + F.col("decay") * F.col("carry")).alias("smoothed"))
