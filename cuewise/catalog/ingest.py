@@ -1,5 +1,6 @@
 """Ingest, edit and streaming queries. Documents of every format are derived from the tables."""
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from cuewise.operators import edits as E
 from cuewise.operators import intervals as I
 from cuewise.operators import segment
 from cuewise.session import checkpoint_dir
+from cuewise.sources.staging import cut
 from cuewise.sources import ingest as G
 from cuewise.sources import testdata as td
 from cuewise.streaming import live
@@ -150,30 +152,39 @@ def fresh_folder(spark):
     return f"{checkpoint_dir(spark)}/cuewise/stream-{uuid.uuid4().hex}"
 
 
-def streamed_table(spark, df):
-    """A table written to the shared folder and read back as a stream."""
-    path = fresh_folder(spark)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+def streamed_table(spark, df, order, parts=3, closing=None):
+    """A table written to the shared folder in the order of a column, ``parts`` writes one after another, and read
+    back as a stream of about one such write per micro-batch. ``closing`` is a last row, whose time ends every
+    open window."""
+    path, files = fresh_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = cut(df)
+    along = F.col(order).cast("double")
+    at = df.select(F.percentile_approx(along, [k / parts for k in range(1, parts)]).alias("p")).first()["p"] or []
+    part = sum((F.when(along > F.lit(x), 1).otherwise(0) for x in at), F.lit(0))
+    for k in range(parts):
+        df.filter(part == k).repartition(files).write.mode("append").parquet(path)
+    if closing is not None:
+        spark.createDataFrame([closing], df.schema).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("streamed_clip_states", f"WITH {CLIP_STATES} SELECT * FROM clip_states")
 def streamed_clip_states(spark, sf):
-    s = streamed_table(spark, td.job_events(spark, sf))
+    s = streamed_table(spark, td.job_events(spark, sf), "event_id")
     return live.run_once(live.clip_states(s), fresh_folder(spark), ["job", "rank"], "update")
 
 
 @query("streamed_percents", """WITH """ + CLIP_STATES + """, p AS (SELECT *, lag(pct) OVER (PARTITION BY job, rank, type ORDER BY event_id) AS was FROM job_events WHERE type IN ('clip_track', 'clip_render'))
 SELECT job, rank, type, event_id, pct FROM p WHERE was IS NULL OR was <> pct""")
 def streamed_percents(spark, sf):
-    s = streamed_table(spark, td.job_events(spark, sf))
+    s = streamed_table(spark, td.job_events(spark, sf), "event_id")
     return live.run_once(live.changed_percents(s), fresh_folder(spark), [], "append")
 
 
 @query("streamed_text_windows", with_words("SELECT video_id, s_ms // 10000 AS bucket, string_agg(w, ' ' ORDER BY pos) AS text, count(*) AS n_words FROM words GROUP BY 1, 2"))
 def streamed_text_windows(spark, sf):
     w = td.words(spark, sf).select("video_id", "pos", "w", F.timestamp_millis("s_ms").alias("ts"))
-    out = live.run_once(live.text_windows(streamed_table(spark, w)), fresh_folder(spark), ["video_id", "win"], "update")
+    out = live.run_once(live.text_windows(streamed_table(spark, w, "ts")), fresh_folder(spark), ["video_id", "win"], "update")
     return out.select("video_id", (F.unix_millis("win.start") / 10000).cast("long").alias("bucket"), "text", "n_words")
 
 
@@ -182,4 +193,6 @@ def streamed_text_windows(spark, sf):
 SELECT video_id, min(pos) AS pos, count(*) AS n_words FROM i GROUP BY video_id, k"""))
 def streamed_lines(spark, sf):
     w = td.words(spark, sf).select("video_id", "pos", "w", F.timestamp_millis("s_ms").alias("ts"))
-    return live.run_once(live.spoken_lines(streamed_table(spark, w)), fresh_folder(spark), ["video_id", "win"], "complete").select("video_id", "pos", "n_words")
+    last = (-1, 0, "", datetime.datetime(2100, 1, 1))
+    lines = live.run_once(live.spoken_lines(streamed_table(spark, w, "ts", closing=last)), fresh_folder(spark), [], "append")
+    return lines.filter("video_id >= 0").select("video_id", "pos", "n_words")

@@ -92,7 +92,7 @@ def focus_mentions_by_table(spark, sf):
     """Every benchmark text as a topic, against every document: a token join, not all pairs."""
     terms = td.table(spark, sf, "benchmark").select(
         "item_id", F.explode(T.focus_terms("text")).alias("term"))
-    docs = td.spread(td.table(spark, sf, "documents")).select("doc_id", "text")
+    docs = td.table(spark, sf, "documents").repartition("doc_id").select("doc_id", "text")
     return R.mentions(docs, "doc_id", "text", terms).groupBy("item_id").agg(
         F.count("doc_id").alias("n_docs"))
 
