@@ -4,6 +4,7 @@ import collections
 import json
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -315,7 +316,7 @@ LONG = "This is the long text of an article that has a lot of words and it goes
 
 
 @pytest.mark.parametrize("page, want", [
-    (None, ""), ("", ""), ("<", "" if False else "<"), ("<html><body></body></html>", ""),
+    (None, ""), ("", ""), ("<html><body></body></html>", ""),
     (f"<html><head><title>t</title><style>p</style></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>{LONG}<br>end&#33;<p>Short.</article><footer>f</footer>", f"A & B {LONG} end! Short."),
     (f"<body><div class='cookie-notice'>{LONG}</div><div class=content><h2>Head</h2><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div id=comments><p>{LONG}</p></div>", f"Head {LONG} Short one. {LONG}"),
     (f"<body><script>var x='<p>{LONG}</p>';</script><p>{LONG}</p><form>{LONG}</form><aside>{LONG}</aside><!-- <p>{LONG}</p> --><p hidden>{LONG}</p>", LONG),
@@ -323,9 +324,6 @@ LONG = "This is the long text of an article that has a lot of words and it goes
     (f"<article><p>{LONG}</p><div class='ad'>{LONG}</div><div class='share'>x</div><section class='comments'>{LONG}</section></article>", LONG),
 ])
 def test_main_text(page, want):
-    if page == "<":
-        assert op8_main_text.main_text(page) in ("", "<")
-        return
     assert op8_main_text.main_text(page) == want
 
 
@@ -416,5 +414,6 @@ def test_scores_equal_the_formula(docs, odd_docs, no_docs):
 
 
 def test_scores_without_training_text(spark):
-    df = spark.createDataFrame([(next(i for i in range(100) if __import__("zlib").crc32(str(i).encode()) % 5 == 1), "a b")], "doc_id long, text string")
+    held_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    df = spark.createDataFrame([(held_out, "a b")], "doc_id long, text string")
     check_scores(df)
