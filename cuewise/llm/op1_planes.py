@@ -15,6 +15,7 @@ start, n, bytes) with the global position of every block, read without touching
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,9 +28,29 @@ from cuewise.llm.common import bounded_batches, partitions, pieces, query, share
 BLOCK = 1 << 16
 KNOWN_WORDS = 500_000  # entries of a worker's word cache; it starts anew beyond that
 
+# What the tokenizer's \s takes for space. str.split() takes U+001C-U+001F besides, and nothing else differs.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Letters that stay letters when composed and lower-cased (not so U+0130 or the composition exclusions).
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 _STATE: dict = {}
 
 
+def _words(text: str | None) -> list[str]:
+    """The words of a text, cut where the tokenizer cuts at white space and nowhere else.
+
+    ASCII words are lower-cased, except in texts that could hold an added token: those are matched before lower-casing.
+    """
+    if not text:
+        return []
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    if any(c in text for c in SEPARATORS):
+        return [w for w in SPACE.split(text) if w]
+    return text.split()
+
+
 def transposed(ids: np.ndarray, bits: bool) -> list[bytes]:
     """The planes of a block of unsigned 32-bit ids, lowest first, without the empty high ones."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
@@ -56,9 +77,9 @@ def _encoder(path: str):
     """Encode a text to a list of ids, word by word.
 
     The tokenizer splits at white space and never joins across it, so the ids of a text are those of
-    its words one after another; a cache of words saves most of the work. A word of letters
+    its words one after another; a cache of words saves most of the work. A word of ASCII or Latin-1 letters
     with a trailing comma or full stop is looked up as two parts, for the tokenizer parts letters from
-    punctuation. Words are lower-cased first only where all characters are ASCII.
+    punctuation.
     """
     if _STATE.get("path") != path:
         import os
@@ -72,7 +93,7 @@ def _encoder(path: str):
     def encode(texts: list[str | None]) -> list[np.ndarray]:
         if len(known) > KNOWN_WORDS:
             known.clear()
-        split = [((t.lower() if t.isascii() else t).split() if t else []) for t in texts]
+        split = [_words(t) for t in texts]
         new = set()
         for words in split:
             new.update(words)
@@ -80,7 +101,7 @@ def _encoder(path: str):
         cores, whole = {}, []
         for w in new:
             core = w[:-1]
-            if w[-1] in ",." and core.isalpha():
+            if w[-1] in ",." and LETTERS.fullmatch(core):
                 cores[w] = core
             else:
                 whole.append(w)

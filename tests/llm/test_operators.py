@@ -60,6 +60,19 @@ def test_ids_come_back_with_bit_planes(spark, odd_docs, tokenizer):
     assert got == collections.Counter((d, tuple(tok.encode(t or "", add_special_tokens=False).ids + [1])) for d, t in pairs(odd_docs))
 
 
+def test_ids_of_separators_added_tokens_and_letters_that_decompose(spark, tokenizer):
+    path, tok = tokenizer
+    texts = ["alpha\x1cbeta", "a \x1d b\x1e\x1f", "<|STARTOFTEXT|> a", "x<|startoftext|>Y <|endoftext|>", "<|StartOfText|>\x1cÉ", "İ, b", "\u0958, \ufb2a. c", "É, b\x85c\u2003d", "\x1c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(rows_of(op1_planes.read(spark, op1_planes.encode(df, path)), "doc_id", "start", "n_tokens", "ids_crc32"))
+    assert got == brute.token_rows(list(enumerate(texts)), tok)
+
+
+def test_words_are_cut_at_the_tokenizers_white_space():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert {c for c in every if c.isspace()} == {c for c in every if op1_planes.SPACE.fullmatch(c)} | set(op1_planes.SEPARATORS)
+
+
 def test_ids_of_no_documents(spark, no_docs, tokenizer):
     assert op1_planes.read(spark, op1_planes.encode(no_docs, tokenizer[0])).count() == 0
 
