@@ -1,6 +1,6 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of the test items.
 
-The index holds item segments of at most ``SEGMENT`` words. A posting's weight is its BM25 impact over the
+The index holds items cut into the fewest segments of near equal length, at most ``SEGMENT`` words each. A posting's weight is its BM25 impact over the
 segment's own BM25 score, so a passage that holds all words of a segment scores 1. Segments are sorted by
 length into blocks of ``BLOCK``; each term keeps its largest weight overall and per block. A passage is a window of
 2 L words at every L words, L the longest segment: any occurrence of a segment lies inside one.
@@ -49,8 +49,11 @@ def segments(items: DataFrame) -> DataFrame:
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = (text or "").encode()
                 words, start, _ = words_of(np.frombuffer(raw, np.uint8), plain=True)
-                for k, at in enumerate(range(0, len(words), SEGMENT)):
-                    part = words[at: at + SEGMENT]
+                # Parts of near equal length: a left-over of few words would be found in clean texts.
+                n_parts = -(-len(words) // SEGMENT)
+                cuts = [k * len(words) // n_parts for k in range(n_parts + 1)] if n_parts else []
+                for k, (at, end) in enumerate(zip(cuts, cuts[1:])):
+                    part = words[at: end]
                     stop = start[at + len(part)] if at + len(part) < len(words) else len(raw)
                     # The answer is what follows the last sentence end (or line) inside the segment.
                     ends = [m.end() for m in re.finditer(rb"[.?!:]\s+|\n+", raw[start[at]: stop].rstrip())]

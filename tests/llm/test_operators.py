@@ -113,6 +113,22 @@ def test_leaks_of_odd_input(spark, odd_docs, no_docs):
     assert op2_decontaminate.find_leaks(odd_docs, items.limit(0)).count() == 0
 
 
+def test_left_overs_of_long_items_are_no_leaks(spark):
+    words = lambda i, n: [f"item{i}w{k}" for k in range(n)]
+    long = {1: [*words(1, 128), "the"], 2: [*words(2, 256), "of", "the", "and", "a"], 3: words(3, 128), 4: [*words(4, 128), "is", "in"]}
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in long.items()], "item_id long, text string")
+    sizes = collections.defaultdict(list)
+    for i, k, n in sorted(rows_of(op2_decontaminate.segments(items), "item_id", "segment", F.size("words"))):
+        sizes[i].append(n)
+    assert dict(sizes) == {1: [64, 65], 2: [86, 87, 87], 3: [128], 4: [65, 65]}
+    clean = ["the cat sat on the mat", "of the and a", "and so it is in the end of a day", "of the and a " * 90, "the"]
+    rows = [(k, t) for k, t in enumerate(clean)]
+    rows += [(10 + i, f"{t} {' '.join(long[i])} {t}") for i in long for t in clean[:1]]
+    rows += [(20 + i, " ".join(long[i][a:])) for i, a in ((1, 64), (2, 173))]  # whole last parts
+    got = set(rows_of(op2_decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items), "doc_id", "item_id"))
+    assert got == {(11, 1), (12, 2), (13, 3), (14, 4), (21, 1), (22, 2)}
+
+
 # ---------------------------------------------------------------- 3: quality
 
 def test_held_out_grades(spark):
