@@ -21,6 +21,21 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(renamed, F.col("doc_id").eqNullSafe(F.col("__id")), how)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs, written, with a key of its own for each row, ascending in their order."""
+    return settle(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows whose keys are not among found's doc_ids."""
+    gone = settle(found.select(F.col("doc_id").alias("__row")).distinct(), "gone")
+    return keyed.join(gone, "__row", "left_anti").drop("__row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of the top grade is at least a half; the model is fitted on the labelled ones."""
     model = op3_quality.fit(docs, op3_quality.grades(table(spark, sf_dir, "labels")))
@@ -28,26 +43,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id, and one row of it.
+    """One document of each group of near copies: the one of the smallest doc_id; null doc_ids come last, each row a document of its own.
 
-    Documents without words or without an id stay.
+    Rows that repeat a doc_id are one document, its row of the smallest content. Documents without words stay.
     """
-    linked = op6_lsh_forest.link(docs)
-    losers = settle(linked.where("not kept").select("doc_id").distinct(), "losers")
-    left = _only(docs, losers, "left_anti")
-    # Rows of one doc_id are one group; its row of the smallest content stays.
     twice = settle(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    single = _only(left, twice, "left_anti")
-    repeated = _only(left, twice, "left_semi")
+    repeated = _only(docs, twice, "left_semi")
     content = F.struct(*[F.col(c) for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
     best = repeated.groupBy("doc_id").agg(F.min(content).alias("c"))
-    return single.select(*docs.columns).union(best.select(*["doc_id" if c == "doc_id" else F.col(f"c.`{c}`").alias(c) for c in docs.columns]))
+    best = best.select(*["doc_id" if c == "doc_id" else F.col(f"c.`{c}`").alias(c) for c in docs.columns])
+    once = _only(docs, twice, "left_anti").select(*docs.columns).union(best)
+    # Keys in the order of doc_id, so that the smallest key of a group is the row that stays; equal rows in any order.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("__tie"), F.col("__at")]
+    tied = once.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__at", F.monotonically_increasing_id())
+    keyed = _keyed(tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie", "__at"))
+    return _without(keyed, op6_lsh_forest.link(_by_key(keyed)).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified passage of a benchmark item."""
-    leaks = op2_decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, settle(leaks.select("doc_id").distinct(), "leaks"), "left_anti")
+    """Rows without a verified passage of a benchmark item, each judged by its own text whatever its doc_id."""
+    keyed = _keyed(docs)
+    return _without(keyed, op2_decontaminate.find_leaks(_by_key(keyed), table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,17 @@ def test_stages_on_odd_documents(spark, odd_docs, no_docs, sf):
     assert sorted(r[0] or 0 for r in rows_of(kept, "doc_id")) == [0, 0, 1, 2, 3, 4, 7, 8, 9]
     assert cp.decontaminate(spark, odd_docs, sf).count() == odd_docs.count()
     assert rows_of(cp.mix(spark, odd_docs, sf).agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1)))), "*") == [(10,)]
+
+
+def test_a_decision_touches_only_its_row(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    leak, clean, other = f"before it {item} after it", "a clean text of words that no item has", "words of quite another clean text"
+    rows = [(None, leak, "x"), (None, clean, "x"), (None, None, "x"), (7, leak, "x"), (7, clean, "y"), (8, other, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    got = sorted(rows_of(cp.decontaminate(spark, df, sf), *df.columns), key=key)
+    assert got == sorted((r for r in rows if r[1] != leak), key=key)
+    big = (1 << 63) - 1
+    rows = [(None, clean, "x"), (None, clean, "x"), (None, clean, "y"), (None, other, "x"), (big, other, "x"), (-big - 1, leak, "x"), (5, leak, "x"), (None, None, "x"), (None, None, "x")]
+    got = rows_of(cp.near_duplicates(spark, spark.createDataFrame(rows, df.schema), sf), "doc_id", "text")
+    assert sorted(got, key=key) == sorted([(None, clean), (big, other), (-big - 1, leak), (None, None), (None, None)], key=key)
