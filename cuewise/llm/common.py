@@ -335,7 +335,8 @@ def expanded(raw: bytes, n: int) -> np.ndarray:
 def with_answers(asked: DataFrame, **answers: DataFrame) -> DataFrame:
     """Bring each unit the answers of earlier rounds, as one array column per round."""
     for name, a in answers.items():
-        asked = asked.join(a.select("unit", F.col("answers").alias(name)).hint("shuffle_hash"), "unit", "left")
+        # Rows of the buckets' own, unit -1, would meet in one task.
+        asked = asked.join(a.where("unit >= 0").select("unit", F.col("answers").alias(name)).hint("shuffle_hash"), "unit", "left")
     return asked
 
 

@@ -115,3 +115,75 @@ def contains(docs, items):
     plain = lambda t: re.sub(rb"[!-/:-@\[-`{-~]", b" ", (t or "").encode().translate(LOWER)).split()
     texts = [(d, b" " + b" ".join(plain(t)) + b" ") for d, t in docs]
     return {(d, i) for i, t in items if plain(t) for d, x in texts if b" " + b" ".join(plain(t)) + b" " in x}
+
+
+def collocations(rows, least=30, most=2000, inside=80):
+    """Rows (lang, rank, phrase, a, l, r, n, score) from rows (lang, text)."""
+    grams, total = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        total[lang] += 0
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", (text or "").encode().translate(LOWER)):
+            w = [x for x in re.split(rb"[\x20\x09]+", piece) if x]
+            total[lang] += len(w)
+            grams.update((lang, *w[i:i + k]) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    often = {g for g, f in grams.items() if f >= least and len(g) > 2}
+    covered = collections.Counter()
+    for g in often:
+        for m in range(2, len(g) - 1):
+            for i in range(1, len(g) - m + 1):
+                key = (g[0], *g[i:i + m])
+                covered[key] = max(covered[key], grams[g])
+    found = collections.defaultdict(list)
+    for g in often:
+        lang, a = g[0], grams[g]
+        score, _, l, r = min((2000000 * a // (grams[g[:k + 1]] + grams[lang, *g[k + 1:]]), k, grams[g[:k + 1]], grams[lang, *g[k + 1:]]) for k in range(1, len(g) - 1))
+        if 100 * covered[g] < inside * a:
+            found[lang].append((-score, -a, b" ".join(g[1:]), l, r))
+    return {(lang, k + 1, p.decode(), -a, l, r, total[lang], -s) for lang, every in found.items() for k, (s, a, p, l, r) in enumerate(sorted(every)[:most])}
+
+
+def best_products(rows, k=20, every=20, scale=64):
+    """{(query_id, rank, vec_id, score)} of rows (vec_id, embedding)."""
+    whole = []
+    for i, e in rows:
+        if e is not None and all(x is not None and math.isfinite(x) for x in e):
+            whole.append((i, tuple(math.floor(scale * x) for x in e)))
+    out, width = set(), max((len(e) for _, e in rows if e is not None), default=0)
+    for q in {i for i, _ in whole if i is not None and i % every == 0}:
+        y = min((v for i, v in whole if i == q), key=lambda v: np.r_[np.array(v, float), np.zeros(width - len(v))].tobytes())
+        clipped = lambda s: min(max(s, -2**63), 2**63 - 1)
+        scored = sorted((-clipped(sum(a * b for a, b in zip(y, v))), i is None, i or 0) for i, v in whole if i != q)
+        out |= {(q, r + 1, None if null else i, -s) for r, (s, null, i) in enumerate(scored[:k])}
+    return out
+
+
+def spelling_variants(rows, least_chars=6, least_count=5, lose_every=199, ratio=5):
+    """{(word, form, root, n, n_near, form_n)} of rows (doc_id, text)."""
+    n = collections.Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % lose_every == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            n[w] += 1
+    n = {w: c for w, c in n.items() if len(w) >= least_chars and c >= least_count}
+    holes = collections.defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            holes[w[:k] + "*" + w[k + 1:]].add(w)  # replaced
+            holes[w[:k] + w[k + 1:]].add(w)  # deleted
+    near = collections.defaultdict(set)
+    for key, every in holes.items():
+        for a in every:
+            others = every if "*" in key else ({key} if key in n else set())
+            for b in others - {a}:
+                near[a].add(b)
+                near[b].add(a)
+    form = {}
+    for w in n:
+        top = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = top if top is not None and n[top] >= ratio * n[w] else None
+    root = lambda w: w if form[w] is None else root(form[w])
+    return {(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
