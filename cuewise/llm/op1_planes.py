@@ -23,32 +23,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import bounded_batches, partitions, pieces, query, shared_path, table
+from cuewise.llm.common import Roller, bounded_batches, joined, partitions, pieces, query, shared_path, table
 
 BLOCK = 1 << 16
-KNOWN_WORDS = 500_000  # entries of a worker's word cache; it starts anew beyond that
+KNOWN = 2_000_000  # entries of a worker's cache; it starts anew beyond that
 
-# What the tokenizer's \s takes for space. str.split() takes U+001C-U+001F besides, and nothing else differs.
+# What the tokenizer's \s takes for space; of what str.isspace() takes besides, it takes nothing.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-# Letters that stay letters when composed and lower-cased (not so U+0130 or the composition exclusions).
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Bytes that may begin space outside ASCII or an added token.
+RARE = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a|\xe2[\x80\x81]|\xe3\x80")
 
 _STATE: dict = {}
 
-
-def _words(text: str | None) -> list[str]:
-    """The words of a text, cut where the tokenizer cuts at white space and nowhere else.
-
-    ASCII words are lower-cased, except in texts that could hold an added token: those are matched before lower-casing.
-    """
-    if not text:
-        return []
-    if text.isascii() and "<|" not in text:
-        text = text.lower()
-    if any(c in text for c in SEPARATORS):
-        return [w for w in SPACE.split(text) if w]
-    return text.split()
+# Kinds of bytes, as the tokenizer's pattern parts them: space, letters, digits (each alone), anything else; words with bytes of the last kind
+# (apostrophes, which begin contractions, and what is neither ASCII nor a Latin-1 letter) are left whole.
+_SPACE_, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE_
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[128:] = _WHOLE
+_KINDS[ord("'")] = _WHOLE
+
+
+def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes with A-Z and the capitals of Latin-1 lower-cased, and the kind of each."""
+    data, kind = data.copy(), _KINDS[data]
+    data[(data >= 65) & (data <= 90)] += 32
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
+    last = data[lead + 1]
+    letter = (last != 0x97) & (last != 0xB7)
+    kind[lead[letter]], kind[lead[letter] + 1] = _LETTER, _LETTER
+    data[lead[letter & (last < 0x9F)] + 1] += 32
+    return data, kind
+
+
+def _cut(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts that the tokenizer encodes on their own, or of whole words."""
+    inside = np.r_[False, kind != _SPACE_, False]
+    step = np.diff(inside.astype(np.int8))
+    first, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    begins = (np.r_[True, kind[1:] != kind[:-1]] | (kind == _DIGIT))[: len(kind)] & (kind != _SPACE_)
+    odd = np.r_[0, np.cumsum(kind == _WHOLE)]
+    whole = np.flatnonzero(odd[end] > odd[first])
+    for a, b in zip(first[whole].tolist(), end[whole].tolist()):
+        begins[a + 1: b] = False
+    start = np.flatnonzero(begins)
+    stop = np.r_[start[1:], 0]
+    last = np.searchsorted(start, end) - 1
+    stop[last] = end
+    return start, stop
 
 
 def transposed(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -73,52 +98,97 @@ def restored(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
     return np.ascontiguousarray(out).view("<u4").reshape(-1)
 
 
-def _encoder(path: str):
-    """Encode a text to a list of ids, word by word.
+class Encoder:
+    """The ids of whole texts, part by part.
 
-    The tokenizer splits at white space and never joins across it, so the ids of a text are those of
-    its words one after another; a cache of words saves most of the work. A word of ASCII or Latin-1 letters
-    with a trailing comma or full stop is looked up as two parts, for the tokenizer parts letters from
-    punctuation.
+    The tokenizer turns space into blanks, lower-cases, cuts texts into letters, digits and the rest, and never joins across a cut, so the
+    ids of a text are those of its parts one after another. A worker keeps the ids of parts by their 64-bit hashes in flat arrays. New
+    parts of letters are encoded many at a time by the tokenizer's model alone; others, and words that are left whole, by all of it.
     """
-    if _STATE.get("path") != path:
-        import os
 
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _STATE.update(path=path, tok=Tokenizer.from_file(path), known={})
-    tok, known = _STATE["tok"], _STATE["known"]
-
-    def encode(texts: list[str | None]) -> list[np.ndarray]:
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        split = [_words(t) for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new = [w for w in new if w not in known]
-        cores, whole = {}, []
-        for w in new:
-            core = w[:-1]
-            if w[-1] in ",." and LETTERS.fullmatch(core):
-                cores[w] = core
-            else:
-                whole.append(w)
-        fresh = [*whole, *{c for c in cores.values() if c not in known} - set(whole), *({",", "."} - known.keys() - set(whole))]
-        for w, e in zip(fresh, tok.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[w] = e.ids
-        for w, core in cores.items():
-            known[w] = known[core] + known[w[-1]]
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(np.array(ids, "<u4"))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.closes = np.zeros(self.whole.get_vocab_size() + 1, bool)  # ids that end a part
+        self.closes[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.first, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _ids(self, parts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts and how many each has."""
+        n = np.zeros(len(parts), np.int64)
+        plain, rest = np.flatnonzero(letters), np.flatnonzero(~letters)
+        ids = np.array(self.model.encode_batch_fast([" ".join(parts[k] for k in plain)], add_special_tokens=False)[0].ids, "<u4") if len(plain) else np.zeros(0, "<u4")
+        end = np.flatnonzero(self.closes[ids]) + 1
+        if len(end) != len(plain):
+            rest, plain, ids, end = np.arange(len(parts)), plain[:0], ids[:0], end[:0]
+        n[plain] = np.diff(np.r_[0, end])
+        others = [e.ids for e in self.whole.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False)]
+        n[rest] = [len(x) for x in others]
+        out, at = np.empty(int(n.sum()), "<u4"), np.cumsum(n) - n
+        out[np.repeat(at[plain] - (np.cumsum(n[plain]) - n[plain]), n[plain]) + np.arange(len(ids))] = ids
+        for k, x in zip(rest.tolist(), others):
+            out[at[k]: at[k] + len(x)] = x
+        return out, n
+
+    def _learn(self, hashes: np.ndarray, parts: list[str], letters: np.ndarray) -> None:
+        """Keep the ids of parts with these sorted, distinct, unknown hashes."""
+        ids, n = self._ids(parts, letters)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.r_[self.flat[: self.used], np.zeros(max(len(ids), self.used) + (1 << 16), "<u4")]
+        self.flat[self.used: self.used + len(ids)] = ids
+        at = np.searchsorted(self.hashes, hashes)
+        self.first = np.insert(self.first, at, self.used + np.cumsum(n) - n)
+        self.n, self.hashes = np.insert(self.n, at, n), np.insert(self.hashes, at, hashes)
+        self.used += len(ids)
+
+    def __call__(self, column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+        """The ids of each text of a column of some megabyte; null texts have none."""
+        if len(self.hashes) > KNOWN:
+            self.forget()
+        data, offsets = joined(column)
+        special = {}
+        if RARE.search(data.tobytes()):
+            # Other white space becomes blanks. Added tokens are found in the text as it stands, so texts that may hold one go to the tokenizer whole.
+            texts = [t or "" for t in column.to_pylist()]
+            special = {k: t for k, t in enumerate(texts) if "<|" in t}
+            data, offsets = joined(pa.array(["" if k in special else SPACE.sub(" ", t) for k, t in enumerate(texts)], pa.large_string()))
+        data, kind = _lowered(data)
+        start, stop = _cut(kind)
+        roller = Roller.shared()
+        hashes = roller.at(roller.sums(data), start, stop)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[place] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            distinct, at = np.unique(hashes[new], return_index=True)
+            a, b = start[new[at]], stop[new[at]]
+            raw, other = data.tobytes(), np.r_[0, np.cumsum(kind != _LETTER)]
+            self._learn(distinct, [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())], other[a] == other[b])
+            place = np.searchsorted(self.hashes, hashes)
+        n = self.n[place] if len(place) else np.zeros(0, np.int64)
+        end = np.cumsum(n)
+        ids = self.flat[np.repeat(self.first[place] - (end - n), n) + np.arange(int(end[-1]))] if len(place) else self.flat[:0]
+        cut = np.r_[0, end][np.searchsorted(start, offsets)].tolist()
+        out = [ids[a:b] for a, b in zip(cut, cut[1:])]
+        for k, t in special.items():
+            out[k] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4")
         return out
 
-    return encode
+
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder of a tokenizer file."""
+    if _STATE.get("path") != path:
+        _STATE.update(path=path, encoder=Encoder(path))
+    return _STATE["encoder"]
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, block: int = BLOCK, bits: bool = False,
@@ -152,7 +222,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, block: int = BLOCK,
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                for doc, ids in zip(piece.column("doc_id").to_pylist(), run(piece.column("text").to_pylist())):
+                for doc, ids in zip(piece.column("doc_id").to_pylist(), run(piece.column("text"))):
                     docs_here.append((first + n_held, doc, len(ids) + 1))
                     held += [ids, np.array([end_id], "<u4")]
                     n_held += len(ids) + 1

@@ -62,7 +62,8 @@ def test_ids_come_back_with_bit_planes(spark, odd_docs, tokenizer):
 
 def test_ids_of_separators_added_tokens_and_letters_that_decompose(spark, tokenizer):
     path, tok = tokenizer
-    texts = ["alpha\x1cbeta", "a \x1d b\x1e\x1f", "<|STARTOFTEXT|> a", "x<|startoftext|>Y <|endoftext|>", "<|StartOfText|>\x1cÉ", "İ, b", "\u0958, \ufb2a. c", "É, b\x85c\u2003d", "\x1c"]
+    texts = ["alpha\x1cbeta", "a \x1d b\x1e\x1f", "<|STARTOFTEXT|> a", "x<|startoftext|>Y <|endoftext|>", "<|StartOfText|>\x1cÉ", "İ, b", "\u0958, \ufb2a. c", "É, b\x85c\u2003d", "\x1c",
+             "don't 'tis IT'S o'é rock'n'roll", "a1b22c\x003 (x).[y]", "É\u0323 e\u0301 ÀÖ×÷ß ªº µ", "中文 字\u3000字 ñandú\xa0ok", "x" * 70000, "İ' 1'2", "a\u200bb"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(rows_of(op1_planes.read(spark, op1_planes.encode(df, path)), "doc_id", "start", "n_tokens", "ids_crc32"))
     assert got == brute.token_rows(list(enumerate(texts)), tok)
