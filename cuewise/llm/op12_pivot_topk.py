@@ -28,6 +28,7 @@ SAMPLE = 2000  # rows from which pivots are chosen; they decide what is skipped,
 BLOCK = 1 << 16  # rows of a block
 QUERIES = 1 << 13  # queries that meet a block in one task
 FIRST = 64  # candidates of the first batch
+TOGETHER = 32  # queries that are searched for at once
 EXACT = 2.0 ** 53
 NULL_ID = (1 << 63) - 1
 
@@ -85,28 +86,50 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([min(max(sum(a * int(b) for a, b in zip(whole, row)), -(1 << 63)), (1 << 63) - 1) for row in c], object)
 
 
-def search(q: np.ndarray, q_dist: np.ndarray, floor: float, own: int | None, ids: np.ndarray, c: np.ndarray, c_dist: np.ndarray, c_sq: np.ndarray, k: int):
-    """Places and scores of the k best candidates with scores of ``floor`` or more, ties to smaller ids, own id excluded."""
-    far = np.zeros(len(ids))
-    for j in range(len(q_dist)):
-        np.maximum(far, np.abs(c_dist[j] - q_dist[j]), out=far)
-    sq = float((q * q).sum()) + c_sq
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole-number rows, clipped to 64 bits; a row for each candidate."""
+    if np.sqrt((q * q).sum(1).max(initial=0) * (c * c).sum(1).max(initial=0)) < EXACT:
+        return c @ q.T
+    return np.stack([scores(row, c) for row in q], 1)
+
+
+def search(q: np.ndarray, q_dist: np.ndarray, floor: np.ndarray, own: np.ndarray, ids: np.ndarray, c: np.ndarray, c_dist: np.ndarray, c_sq: np.ndarray, k: int):
+    """For each of some queries the places and scores of its k best candidates with scores of its ``floor`` or more, ties to
+    smaller ids, its own id excluded.
+
+    The candidates are taken in the order of their best bound for any of the queries, in batches that grow fourfold, and a batch leaves out what
+    no query can use any more; the end is where the next bound is below every floor.
+    """
+    far = np.zeros((len(q), len(ids)))
+    for j in range(q_dist.shape[1]):
+        gap = c_dist[j][None] - q_dist[:, j, None]
+        np.maximum(far, np.abs(gap, out=gap), out=far)
+    sq = (q * q).sum(1)[:, None] + c_sq[None]
     bound = (sq - far * far) / 2 + _slack(sq)
-    live = np.flatnonzero((bound >= floor) & (ids != own) if own is not None else bound >= floor)
-    best, best_score, size = np.zeros(0, np.int64), np.zeros(0), FIRST
-    while len(live):
-        if len(live) > size:
-            cut = np.argpartition(-bound[live], size)
-            now, live = live[cut[:size]], live[cut[size:]]
-        else:
-            now, live = live, live[:0]
-        best, best_score = np.r_[best, now], np.r_[best_score, scores(q, c[now])]
-        top = np.lexsort((ids[best], -best_score))[:k] if best_score.dtype != object else np.array(sorted(range(len(best)), key=lambda i: (-best_score[i], ids[best[i]]))[:k])
-        best, best_score = best[top], best_score[top]
-        if len(best) == k:
-            floor = max(floor, float(best_score[-1]) - _slack(abs(float(best_score[-1]))))
-        live, size = live[bound[live] >= floor], 4 * size
-    return best, best_score
+    bound[own[:, None] == ids[None]] = -np.inf
+    most, floor = bound.max(0), floor.copy()
+    order = np.argsort(-most, kind="stable")
+    best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in range(len(q))]
+    at, size = 0, FIRST
+    while at < len(order) and most[order[at]] >= floor.min() and most[order[at]] > -np.inf:
+        now = order[at: at + size]
+        at, size = at + size, 4 * size
+        now = now[(bound[:, now] >= floor[:, None]).any(0)]
+        got = products(q, c[now])
+        for i in range(len(q)):
+            hit = np.flatnonzero((got[:, i] >= floor[i]) & (bound[i, now] > -np.inf))
+            if not len(hit):
+                continue
+            place, score = np.r_[best[i][0], now[hit]], np.r_[best[i][1], got[hit, i]]
+            if len(place) > 4 * k and score.dtype != object:
+                enough = np.flatnonzero(score >= -np.partition(-score, k - 1)[k - 1])
+                place, score = place[enough], score[enough]
+            top = np.lexsort((ids[place], -score))[:k] if score.dtype != object else np.array(sorted(range(len(place)), key=lambda x: (-score[x], ids[place[x]]))[:k])
+            best[i] = place[top], score[top]
+            if len(top) == k:
+                last = float(score[top[-1]])
+                floor[i] = max(floor[i], last - _slack(abs(last)))
+    return best
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
@@ -164,12 +187,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
             ids, c = np.asarray(right.column("vec_id")), _matrix(right.column("y"))
             c_dist, c_sq = np.ascontiguousarray(_matrix(right.column("dist")).T), (c * c).sum(1)
             out = {"query_id": [], "vec_id": [], "score": [], "place": []}
-            for i, y, d, f in zip(*(left.column(n).to_pylist() for n in ("vec_id", "y", "dist", "floor"))):
-                at, s = search(np.frombuffer(y), np.frombuffer(d), f, i, ids, c, c_dist, c_sq, k)
-                out["query_id"] += [i] * len(at)
-                out["vec_id"] += ids[at].tolist()
-                out["score"] += [int(x) for x in s]
-                out["place"] += range(len(at))
+            own, floor, y, d = np.asarray(left.column("vec_id")), np.asarray(left.column("floor")), _matrix(left.column("y")), _matrix(left.column("dist"))
+            alike = np.lexsort(d.T)  # neighbours ask for the same candidates
+            for some in np.array_split(alike, -(-len(alike) // TOGETHER)):
+                for i, (at, s) in zip(own[some].tolist(), search(y[some], d[some], floor[some], own[some], ids, c, c_dist, c_sq, k)):
+                    out["query_id"] += [i] * len(at)
+                    out["vec_id"] += ids[at].tolist()
+                    out["score"] += [int(x) for x in s]
+                    out["place"] += range(len(at))
             return pa.table({n: pa.array(v, pa.int32() if n == "place" else pa.int64()) for n, v in out.items()})
 
         left = q.select(*key, "vec_id", "y", "dist", "floor").groupBy(*key)
