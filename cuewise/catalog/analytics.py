@@ -186,6 +186,44 @@ def clip_states(spark, sf):
     return J.clip_states(td.job_events(spark, sf))
 
 
+RECORDS = """
+re AS (SELECT user_id AS job, event_id, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'stage' ELSE 'clip_track' END
+    WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN 'clip_variant' ELSE 'clip_render' END WHEN 'signup' THEN 'clips_picked' WHEN 'purchase' THEN 'clip_done'
+    ELSE CASE WHEN event_id % 2 = 0 THEN 'job_done' ELSE 'job_failed' END END AS type,
+  ['download', 'audio', 'transcribe', 'pick', 'track', 'render', 'merge', 'kit', 'done'][event_id // 3 % 9 + 1] AS stage, range(1, 2 + event_id % 4) AS ranks,
+  event_id % 3 = 1 AS redo, event_id % 3 + 1 AS rank, CAST(floor(value) AS BIGINT) % 101 AS pct, ['9:16', '1:1', '16:9'][event_id // 4 % 3 + 1] AS aspect, 'v' || event_id AS file FROM events),
+picks AS (SELECT * FROM re WHERE type = 'clips_picked'), dones AS (SELECT * FROM re WHERE type = 'clip_done'),
+jr AS (SELECT DISTINCT job, unnest(ranks) AS rank FROM picks UNION SELECT job, rank FROM dones),
+base AS (SELECT jr.job, jr.rank, coalesce(max(p.event_id), -1) AS v FROM jr LEFT JOIN picks p ON p.job = jr.job AND NOT p.redo AND NOT list_contains(p.ranks, jr.rank) GROUP BY 1, 2),
+pk AS (SELECT b.job, b.rank, max(event_id) AS rs FROM base b JOIN picks p ON p.job = b.job AND list_contains(p.ranks, b.rank) AND event_id > v GROUP BY 1, 2),
+dn AS (SELECT b.job, b.rank, max(event_id) AS dn, min(event_id) AS d0, count(*) AS rev FROM base b JOIN dones d ON d.job = b.job AND d.rank = b.rank AND event_id > v GROUP BY 1, 2),
+cl AS (SELECT job, rank, coalesce(rev, 0) AS rev, dn, greatest(coalesce(rs, -1), coalesce(dn, -1)) AS bs, coalesce(rs, d0) AS since FROM pk FULL JOIN dn USING (job, rank)),
+pr AS (SELECT c.job, c.rank, arg_max(pct, event_id) FILTER (type = 'clip_track') AS t, arg_max(pct, event_id) FILTER (type = 'clip_render') AS r
+  FROM cl c JOIN re e ON e.job = c.job AND e.rank = c.rank AND event_id > bs AND type IN ('clip_track', 'clip_render') GROUP BY 1, 2),
+va AS (SELECT c.job, c.rank, aspect, arg_max(file, event_id) AS f FROM cl c JOIN re e ON e.job = c.job AND e.rank = c.rank AND event_id > since AND type = 'clip_variant' GROUP BY 1, 2, 3),
+vs AS (SELECT job, rank, string_agg(aspect || '=' || f, ' ' ORDER BY aspect) AS variants FROM va GROUP BY 1, 2),
+se AS (SELECT *, CASE WHEN type = 'clips_picked' THEN 'clips_ready' WHEN type = 'job_done' THEN 'done' WHEN type = 'job_failed' THEN 'failed'
+  WHEN type = 'stage' THEN CASE WHEN stage = 'download' THEN 'downloading' WHEN stage = 'audio' THEN 'extracting' WHEN stage = 'transcribe' THEN 'transcribing' WHEN stage IN ('pick', 'track') THEN 'analyzing' END END AS const,
+  type = 'stage' AND stage IN ('render', 'merge', 'kit') AS soft FROM re),
+st AS (SELECT job, arg_max(const, event_id) AS c, max(event_id) FILTER (const IS NOT NULL) AS ca, max(event_id) FILTER (soft) AS sa FROM se GROUP BY 1),
+js AS (SELECT job, CASE WHEN sa > coalesce(ca, -1) AND coalesce(c, 'queued') <> 'clips_ready' THEN 'analyzing' ELSE coalesce(c, 'queued') END AS status FROM st),
+records AS (SELECT js.job, status, cl.rank, rev, coalesce(t, CASE WHEN dn = bs THEN 100 ELSE 0 END) AS track_pct, coalesce(r, CASE WHEN dn = bs THEN 100 ELSE 0 END) AS render_pct,
+  CASE WHEN dn = bs THEN 'done' WHEN t IS NOT NULL OR r IS NOT NULL THEN 'rendering' ELSE 'pending' END AS render_status, coalesce(variants, '') AS variants
+  FROM js LEFT JOIN cl ON cl.job = js.job LEFT JOIN pr ON pr.job = cl.job AND pr.rank = cl.rank LEFT JOIN vs ON vs.job = cl.job AND vs.rank = cl.rank)"""
+RECORD_ROWS = "SELECT job, status, rank, CAST(rev AS BIGINT) AS rev, CAST(track_pct AS BIGINT) AS track_pct, CAST(render_pct AS BIGINT) AS render_pct, render_status, variants FROM records WHERE rank IS NOT NULL"
+
+
+def record_rows(records):
+    """Clips with their variants as text."""
+    text = F.array_join(F.transform("variants", lambda v: F.concat(v["aspect"], F.lit("="), v["file"])), " ")
+    return records.filter("rank is not null").withColumn("variants", F.coalesce(text, F.lit("")))
+
+
+@query("job_records", f"WITH {RECORDS} {RECORD_ROWS}")
+def job_records(spark, sf):
+    return record_rows(J.job_records(td.record_events(spark, sf)))
+
+
 @query("job_status_counts", f"WITH {CLIP_STATES} SELECT status, count(*) AS n FROM jobs GROUP BY 1")
 def job_status_counts(spark, sf):
     return J.status_counts(J.job_states(td.job_events(spark, sf)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewise.catalog.intervals import minute_parts
 from cuewise.catalog.registry import query
 from cuewise.catalog.sql import with_sentences, with_words
-from cuewise.catalog.analytics import CLIP_STATES
+from cuewise.catalog.analytics import CLIP_STATES, RECORD_ROWS, RECORDS, record_rows
 from cuewise.functions.timefmt import srt
 from cuewise.operators import edits as E
 from cuewise.operators import intervals as I
@@ -17,7 +17,10 @@ from cuewise.session import checkpoint_dir
 from cuewise.sources.staging import cut
 from cuewise.sources import ingest as G
 from cuewise.sources import testdata as td
-from cuewise.streaming import live
+from cuewise.streaming import live, ordered
+
+MONTHS = 90 * 86_400_000  # the events of a job are hours to days apart
+FAR = datetime.datetime(2100, 1, 1)  # a time past every row's, which ends all waiting
 
 
 def recogniser_docs(spark, sf):
@@ -177,8 +180,31 @@ def streamed_clip_states(spark, sf):
 @query("streamed_percents", """WITH """ + CLIP_STATES + """, p AS (SELECT *, lag(pct) OVER (PARTITION BY job, rank, type ORDER BY event_id) AS was FROM job_events WHERE type IN ('clip_track', 'clip_render'))
 SELECT job, rank, type, event_id, pct FROM p WHERE was IS NULL OR was <> pct""")
 def streamed_percents(spark, sf):
-    s = streamed_table(spark, td.job_events(spark, sf), "event_id")
-    return live.run_once(live.changed_percents(s), fresh_folder(spark), [], "append")
+    last = (-1, -1, FAR, "clip_track", 0, 0)
+    s = streamed_table(spark, td.job_events(spark, sf), "event_id", closing=last)
+    return live.run_once(live.changed_percents(s, keep_ms=MONTHS), fresh_folder(spark), [], "append").filter("job >= 0")
+
+
+def streamed_records(spark, sf):
+    """The change log of all job records."""
+    last = (-1, -1, FAR, "stage", "done", None, None, None, None, None, None)
+    return ordered.job_records(streamed_table(spark, td.record_events(spark, sf), "event_id", closing=last), live.WATERMARK, MONTHS)
+
+
+@query("streamed_job_records", f"WITH {RECORDS} {RECORD_ROWS}")
+def streamed_job_records(spark, sf):
+    """The records that hold after the last change, put together from the log."""
+    now = cut(ordered.current_records(live.run_once(streamed_records(spark, sf), fresh_folder(spark), [], "append")))
+    status = now.filter("what = 'job'").select("job", "status")
+    files = now.filter("what = 'variant'").groupBy("job", "rank").agg(F.array_sort(F.collect_list(F.struct("aspect", "file"))).alias("variants"))
+    clips = now.filter("what = 'clip'").select("job", "rank", "rev", "track_pct", "render_pct", "render_status")
+    return record_rows(status.join(clips, "job").join(files, ["job", "rank"], "left"))
+
+
+@query("streamed_status_counts", f"WITH {RECORDS} SELECT status, count(*) AS n FROM js GROUP BY 1")
+def streamed_status_counts(spark, sf):
+    counts = live.run_once(ordered.status_counts(streamed_records(spark, sf)), fresh_folder(spark), ["status"], "append")
+    return counts.filter("n > 0")
 
 
 @query("streamed_text_windows", with_words("SELECT video_id, s_ms // 10000 AS bucket, string_agg(w, ' ' ORDER BY pos) AS text, count(*) AS n_words FROM words GROUP BY 1, 2"))

@@ -62,6 +62,47 @@ def job_states(events: DataFrame) -> DataFrame:
     return seen.join(last, "job", "left").select("job", F.coalesce("status", F.lit("queued")).alias("status"), "created", "events")
 
 
+def job_records(events: DataFrame) -> DataFrame:
+    """Records of a whole event log: ``(job, status, rank, rev, track_pct, render_pct, render_status, variants)``, a row per clip, one
+    with a null rank for a job without clips; variants is an array of ``(aspect, file)`` by aspect.
+
+    The twin of the streamed fold, without one: a clip is decided by its events since the last pick that left it out, its progress by
+    those since its last reset or completion, its variants by those since it last began.
+    """
+    const = (F.when(F.col("type") == "clips_picked", "clips_ready").when(F.col("type") == "job_done", "done").when(F.col("type") == "job_failed", "failed")
+             .when(F.col("type") == "stage", F.when(~F.col("stage").isin("render", "merge", "kit"), stage_status("stage", F.lit(None).cast("string")))))
+    soft = (F.col("type") == "stage") & F.col("stage").isin("render", "merge", "kit")
+    said = events.groupBy("job").agg(F.max_by(F.when(const.isNotNull(), const), F.when(const.isNotNull(), F.col("event_id"))).alias("c"),
+                                     F.max(F.when(const.isNotNull(), F.col("event_id"))).alias("c_at"), F.max(F.when(soft, F.col("event_id"))).alias("s_at"))
+    known = F.coalesce("c", F.lit("queued"))
+    status = said.select("job", F.when((F.col("s_at") > F.coalesce("c_at", F.lit(-1))) & (known != "clips_ready"), "analyzing").otherwise(known).alias("status"))
+
+    picks = events.filter("type = 'clips_picked'").select("job", "event_id", "ranks", "redo")
+    done = events.filter("type = 'clip_done'").select("job", "rank", F.col("event_id").alias("at"))
+    picked = picks.select("job", F.explode("ranks").alias("rank"), F.col("event_id").alias("at"))
+    clips = picked.select("job", "rank").union(done.select("job", "rank")).distinct()
+    left_out = clips.join(picks.filter("not redo"), "job").filter("not array_contains(ranks, rank)").groupBy("job", "rank").agg(F.max("event_id").alias("void"))
+    marks = picked.withColumn("pick", F.lit(True)).unionByName(done.withColumn("pick", F.lit(False))).join(left_out, ["job", "rank"], "left")
+    live = marks.filter("void is null or at > void").groupBy("job", "rank").agg(
+        F.max(F.when(F.col("pick"), F.col("at"))).alias("reset"), F.max(F.when(~F.col("pick"), F.col("at"))).alias("done_at"),
+        F.min(F.when(~F.col("pick"), F.col("at"))).alias("first_done"), F.count_if(~F.col("pick")).alias("rev"))
+    live = live.withColumn("base", F.greatest("reset", "done_at")).withColumn("since", F.coalesce("reset", "first_done"))
+
+    moves = events.filter(F.col("type").isin("clip_track", "clip_render", "clip_variant")).select("job", "rank", "event_id", "type", "pct", "aspect", "file")
+    moves = moves.join(live.select("job", "rank", "base", "since"), ["job", "rank"])
+    progress = moves.filter("event_id > base").groupBy("job", "rank").agg(
+        *[F.max(F.when(F.col("type") == k, F.struct("event_id", "pct"))).alias(k) for k in ("clip_track", "clip_render")])
+    files = moves.filter("type = 'clip_variant' and event_id > since").groupBy("job", "rank", "aspect").agg(F.max_by("file", "event_id").alias("file"))
+    files = files.groupBy("job", "rank").agg(F.array_sort(F.collect_list(F.struct("aspect", "file"))).alias("variants"))
+    complete = F.coalesce(F.col("done_at") == F.col("base"), F.lit(False))
+    start = F.when(complete, 100).otherwise(0).cast("long")
+    state = live.join(progress, ["job", "rank"], "left").join(files, ["job", "rank"], "left").select(
+        "job", "rank", "rev", F.coalesce("clip_track.pct", start).alias("track_pct"), F.coalesce("clip_render.pct", start).alias("render_pct"),
+        F.when(complete, "done").when(F.col("clip_track").isNotNull() | F.col("clip_render").isNotNull(), "rendering").otherwise("pending").alias("render_status"),
+        "variants")
+    return status.join(state, "job", "left")
+
+
 def finalize(records: DataFrame) -> DataFrame:
     """Outcome of a finished run ``(status, ok, cancelled, edit)``: done or cancelled; an error fails
     the job, but a failed edit leaves it done."""

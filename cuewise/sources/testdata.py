@@ -129,6 +129,17 @@ def as_job_events(events: DataFrame) -> DataFrame:
     )
 
 
+def record_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the whole log of a job: stages, picks of one to four ranks (every third one a redo), progress, finished clips and variants."""
+    kind = """CASE event_type WHEN 'view' THEN if(event_id % 3 = 0, 'stage', 'clip_track') WHEN 'click' THEN if(event_id % 4 = 0, 'clip_variant', 'clip_render')
+      WHEN 'signup' THEN 'clips_picked' WHEN 'purchase' THEN 'clip_done' ELSE if(event_id % 2 = 0, 'job_done', 'job_failed') END"""
+    stages = "array('download', 'audio', 'transcribe', 'pick', 'track', 'render', 'merge', 'kit', 'done')"
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS job", "event_id", "ts", f"{kind} AS type", f"{stages}[cast(event_id div 3 % 9 as int)] AS stage",
+        "sequence(1L, 1L + event_id % 4) AS ranks", "event_id % 3 = 1 AS redo", "event_id % 3 + 1 AS rank",
+        "cast(floor(value) as long) % 101 AS pct", "array('9:16', '1:1', '16:9')[cast(event_id div 4 % 3 as int)] AS aspect", "concat('v', event_id) AS file")
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge logits: the first four numbers of each embedding."""
     return table(spark, sf_dir, "embeddings").select(
