@@ -1,13 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one cuts a page into blocks at block-level tags and classifies each by its own measures: stop-word
-density, length and link density. Blocks are good, bad, short or near-good. Pass two decides the
-last two by context: each inherits the label of the nearest decided neighbours, and short blocks between
-good and bad follow the nearer one. Blocks inside elements that never hold an article's text (menus, headers and footers
-of the page, sidebars, forms, scripts, notices, adverts, comments) are bad from the start; where the page marks its
-article, blocks outside it are bad and short blocks inside it start as near-good.
-
-Stop words are those of the page's language among the listed ones, or of any.
+A page is cut into blocks at block-level tags. Pass one classifies each block by its own measures: stop-word density, length and link
+density make it good, near-good, short or bad; long blocks of few stop words count as short. Pass two decides the ambiguous ones: near-good and short blocks inherit the label of the nearest decided
+neighbours, those of their own container first; a heading goes with what follows it. Text in elements that by name never hold an article
+(menus, headers and footers of the page, sidebars, forms, scripts, notices, adverts, comments) is no block at all and votes for none.
+
+The rules are the same inside and outside ``<article>`` and ``<main>``. The tag is a hint to two of them: inside it a long block of few stop words is near-good
+instead of ambiguous, and where it holds good text, ambiguous blocks outside are bad. On a page without good blocks the near-good ones are taken for
+good, or else the short ones. Stop words are those of the page's language, if listed, or of any; on a page that hardly has any of them, whose
+language is not listed, the end of a sentence stands in for them.
 """
 
 from __future__ import annotations
@@ -36,92 +37,134 @@ BLOCK_TAGS = frozenset(
 #: br parts lines of one block, not blocks.
 BREAKS = frozenset(["br"])
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title head".split())
+ENDLESS = frozenset("script style textarea svg iframe".split())  # these run to the end of the page if they are not closed
 SKIPPED = frozenset("nav aside footer form button menu dialog fieldset legend label".split()) | RAW
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar|side|widget|related|recommended|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|"
-    r"footer|masthead|copyright|legal|disclaimer|skip|toolbar|tags?|search)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HOLDERS = frozenset("address article aside blockquote body center dd details dir div dl figure footer form header html main nav ol section table tbody td th tr ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-ARTICLE_CLASS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)[\s_-]?(?:body|content|text)?(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# What the last word of a class or id says. "post-comments" are comments, "side-effects" are no side.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification popup modal overlay "
+    "newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side widget widgets related recommended share "
+    "sharing social comment comments commentlist disqus replies reply respond footer masthead copyright legal disclaimer skip toolbar tags search".split())
+# Words that only say that it is a part of something: "comment-list" is comments.
+NEUTRAL = frozenset("area bar block body box container content form group holder inner item items left link links list main outer panel post posts right row section text top bottom wrap wrapper".split())
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+# A quoted value ends where its quote is followed by space or the end of the tag; else the quote was never closed and is a character.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"(?=[\s/>])|'([^']*)'(?=[\s/>])|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"\w+")
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u0964\u06d4][\"')\]\u201d\u2019]*$")
 
 LINK_DENSITY, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.5, 0.05, 0.2, 70, 200
 
 
+def shuts(label: str) -> bool:
+    """Whether a class or id names something that is no part of an article."""
+    for name in label.split():
+        words = [w.lower() for w in PARTS.findall(name)]
+        while len(words) > 1 and words[-1] in NEUTRAL:
+            words.pop()
+        if words and words[-1] in BOILERPLATE:
+            return True
+    return False
+
+
 def blocks_of(page: str) -> list[dict]:
-    """Blocks of a page in order: text, share of characters in links, and whether they are shut out or in the article."""
-    marked = bool(re.search(r"<article[\s>]", page, re.I))
+    """Blocks of a page in order: text, share of characters in links, container, and whether it is a heading or in the article.
+
+    Tags are read as a browser would, in one pass: each character is looked at a bounded number of times, whatever is left open.
+    """
     out, stack, parts = [], [], []
-    linked = depth_a = 0
-    skip = inside = heading = 0
+    linked = depth_a = skip = inside = heading = holders = 0
+    low = page.lower()
+    last_end: dict[str, int] = {}
+    is_open: dict[str, int] = {}
 
     def close():
         nonlocal parts, linked
-        text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-        if text:
-            out.append({"text": text, "links": linked / max(1, len("".join(parts))), "bad": skip > 0 or (marked and not inside), "inside": bool(inside), "heading": bool(heading)})
+        raw = "".join(parts)
+        text = SPACE.sub(" ", entities.unescape(raw)).strip()
+        if text and not skip:
+            out.append({"text": text, "links": linked / len(raw), "holder": stack[-1][3] if stack else 0, "inside": bool(inside), "heading": bool(heading)})
         parts, linked = [], 0
 
+    def attributes(at: int) -> tuple[dict, bool, int]:
+        """The attributes of a tag, whether it closes itself, and where it ends."""
+        attrs: dict[str, str] = {}
+        while True:
+            m = ATTRIBUTE.match(page, at)
+            if not m:
+                break
+            attrs.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+            at = m.end()
+        end = page.find(">", at)
+        return (attrs, page[at: end].rstrip().endswith("/"), end + 1) if end >= 0 else (attrs, False, len(page))
+
     at, n = 0, len(page)
     while at < n:
-        m = TOKEN.search(page, at)
+        m = MARKUP.search(page, at)
         piece = page[at: m.start() if m else n]
         if piece:
             parts.append(piece)
             linked += len(piece) if depth_a else 0
         if not m:
             break
-        at = m.end() if m.end() > m.start() else m.start() + 1
-        name = (m.group(2) or "").lower()
+        name = (m[2] or "").lower()
         if not name:
-            if m.group(0).startswith("<![CDATA["):
+            at = m.end()
+            if m[0].startswith("<![CDATA["):
                 parts.append(" ")
             continue
+        attrs, itself, at = attributes(m.end())
         if name in BREAKS:
             parts.append(" ")
             continue
-        if not m.group(1):
-            if name in VOID:
-                if name == "hr":
-                    close()
-                continue
-            if name in RAW:
-                close()
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                # Unclosed raw text runs to the end, an unclosed head or title to the next tag's block.
-                at = end.end() if end else (n if name in ("script", "style", "textarea", "svg", "iframe") else at)
-                continue
-            if name == "a":
-                depth_a += 1
-            if name in BLOCK_TAGS:
-                close()
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            attrs = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
-            label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-            shut = name in SKIPPED or (name == "header" and not inside) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or \
-                attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or \
-                (name in BLOCK_TAGS and name not in ("body", "html", "article", "main") and bool(NEVER.search(label)) and not ARTICLE_CLASS.search(label))
-            body = name == "article" and not skip and not shut
-            if m.group(3).rstrip().endswith("/") and name not in BLOCK_TAGS:
-                continue
-            stack.append((name, shut, body))
-            skip, inside, heading = skip + shut, inside + body, heading + (name in ("h1", "h2", "h3", "h4", "h5", "h6"))
-        else:
+        if m[1]:
             if name in BLOCK_TAGS:
                 close()
             if name == "a":
                 depth_a = max(0, depth_a - 1)
-            if any(s[0] == name for s in stack):
+            if is_open.get(name):
                 while True:
-                    s, shut, body = stack.pop()
-                    skip, inside, heading = skip - shut, inside - body, heading - (s in ("h1", "h2", "h3", "h4", "h5", "h6"))
+                    s, shut, body, _ = stack.pop()
+                    is_open[s] -= 1
+                    skip, inside, heading = skip - shut, inside - body, heading - (s in HEADINGS)
                     if s == name:
                         break
+            continue
+        if name in VOID:
+            if name == "hr":
+                close()
+            continue
+        if name in RAW:
+            close()
+            if name not in last_end:
+                last_end[name] = low.rfind(f"</{name}")
+            if at <= last_end[name]:
+                at = low.find(">", low.find(f"</{name}", at)) + 1 or n
+            elif name in ENDLESS:
+                at = n
+            continue
+        if itself and name not in BLOCK_TAGS:
+            continue
+        if name == "a":
+            depth_a += 1
+        if name in BLOCK_TAGS:
+            close()
+        if name in ("p", "li") and stack and stack[-1][0] == name:
+            _, shut, *_ = stack.pop()
+            skip, is_open[name] = skip - shut, is_open[name] - 1
+        shut = name in SKIPPED or (name == "header" and not inside) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or \
+            attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or \
+            (name in BLOCK_TAGS and name not in ("body", "html", "article", "main") and (shuts(attrs.get("class", "")) or shuts(attrs.get("id", ""))))
+        body = name in ("article", "main") and not skip and not shut
+        holders += 1
+        stack.append((name, shut, body, holders if name in HOLDERS else stack[-1][3] if stack else 0))
+        is_open[name] = is_open.get(name, 0) + 1
+        skip, inside, heading = skip + shut, inside + body, heading + (name in HEADINGS)
     close()
     return out
 
@@ -131,51 +174,61 @@ def stop_list(page: str) -> frozenset:
     return frozenset(STOP_WORDS.get(m.group(1).lower(), ANY)) if m else ANY
 
 
+def first_pass(blocks: list[dict], stop: frozenset) -> list[str]:
+    """good, near, short or bad for each block, from its own measures."""
+    words = [WORDS.findall(b["text"].lower()) for b in blocks]
+    hits = [sum(w in stop for w in own) for own in words]
+    foreign = sum(hits) < STOP_LOW * sum(map(len, words))
+    out = []
+    for b, own, hit in zip(blocks, words, hits):
+        text, density = b["text"], hit / max(1, len(own))
+        if foreign:
+            density = STOP_HIGH if SENTENCE.search(text) else 0.0
+        if b["links"] > LINK_DENSITY or text.startswith("©"):
+            out.append("bad")
+        elif len(text) < SHORT or density < STOP_LOW:
+            # Long blocks of few stop words are as ambiguous as short ones: other languages, tables, verse.
+            out.append("bad" if b["links"] > 0.2 else "near" if len(text) >= SHORT and b["inside"] else "short")
+        else:
+            out.append("good" if density >= STOP_HIGH and len(text) > LONG else "near")
+    return out
+
+
+def _nearest(blocks: list[dict], label: list[str], order: range) -> list[tuple[bool, int, str] | None]:
+    """For each block of an order the last decided one before it: (in another container, distance, label), its own container's first."""
+    out, last, of = {}, None, {}
+    for n, i in enumerate(order):
+        holder = blocks[i]["holder"]
+        same = of.get(holder)
+        out[i] = (False, n - same[0], same[1]) if same else (True, n - last[0], last[1]) if last else None
+        if label[i] in ("good", "bad"):
+            last = of[holder] = (n, label[i])
+    return [out[i] for i in range(len(blocks))]
+
+
 def classify(blocks: list[dict], stop: frozenset) -> list[bool]:
     """Whether each block belongs to the main text."""
-    label = []
-    for b in blocks:
-        text, words = b["text"], WORDS.findall(b["text"].lower())
-        density = sum(w in stop for w in words) / max(1, len(words))
-        if b["bad"] or b["links"] > LINK_DENSITY or text.startswith(("©", "© ")):
-            label.append("bad")
-        elif b["inside"]:
-            # The page itself marks this text as its article.
-            label.append("good" if len(text) >= SHORT or density >= STOP_LOW else "near")
-        elif len(text) < SHORT:
-            label.append("bad" if b["links"] > 0.2 else "short")
-        elif density >= STOP_HIGH:
-            label.append("good" if len(text) > LONG else "near")
-        elif density >= STOP_LOW:
-            label.append("near")
-        else:
-            label.append("bad")
-    final = list(label)
-
-    def decided(i: int, step: int, near: bool) -> str:
-        """The nearest decided label on one side; near-good counts as good if ``near``."""
-        j = i + step
-        while 0 <= j < len(label):
-            if label[j] in ("good", "bad"):
-                return label[j]
-            if near and label[j] == "near":
-                return "good"
-            j += step
-        return "bad"
-
-    for i, kind in enumerate(label):
-        if kind == "short":
-            left, right = decided(i, -1, False), decided(i, 1, False)
-            if left == right:
-                final[i] = left
+    label = first_pass(blocks, stop)
+    if "good" not in label:
+        best = "near" if "near" in label else "short"
+        label = ["good" if k == best else k for k in label]
+    marked = any(b["inside"] and k == "good" for b, k in zip(blocks, label))
+    before, after = _nearest(blocks, label, range(len(blocks))), _nearest(blocks, label, range(len(blocks) - 1, -1, -1))
+    out = []
+    for b, kind, left, right in zip(blocks, label, before, after):
+        if kind in ("near", "short"):
+            if marked and not b["inside"]:
+                kind = "bad"
+            elif b["heading"] and right:
+                kind = right[2]
+            elif kind == "near":
+                kind = "good" if "good" in [x[2] for x in (left, right) if x] else "bad"
             else:
-                final[i] = "good" if "good" == (decided(i, -1, True) if left == "bad" else decided(i, 1, True)) else "bad"
-            if blocks[i]["heading"]:
-                final[i] = right  # a heading goes with what follows
-        elif kind == "near":
-            inside = blocks[i]["inside"]
-            final[i] = "good" if inside or "good" in (decided(i, -1, False), decided(i, 1, False)) else "bad"
-    return [k == "good" for k in final]
+                # The nearer one, the good one of two as near; a short line of another container must at least be a sentence.
+                far, _, kind = min((x for x in (left, right) if x), key=lambda x: (*x[:2], x[2] == "bad"))
+                kind = "bad" if far and not SENTENCE.search(b["text"]) else kind
+        out.append(kind == "good")
+    return out
 
 
 def main_text(page: str | None) -> str:

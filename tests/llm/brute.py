@@ -187,3 +187,77 @@ def spelling_variants(rows, least_chars=6, least_count=5, lose_every=199, ratio=
         form[w] = top if top is not None and n[top] >= ratio * n[w] else None
     root = lambda w: w if form[w] is None else root(form[w])
     return {(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
+
+
+def two_pass_text(page, stop, shut_names, link_share=0.5, low=0.05, high=0.2, short=70, long=200):
+    """The block rules, plainly, for well-formed pages of div, p, h1, a, article, nav, footer, section and span."""
+    import html.parser
+
+    blocks, path, ids = [], [], [0]
+
+    class Reader(html.parser.HTMLParser):
+        text, linked, now = "", 0, None
+
+        def flush(self):
+            t = " ".join(self.text.split())
+            if t and not any(s for _, s, _ in path):
+                holder = next((i for n, _, i in reversed(path) if n in ("div", "article", "section", "body")), 0)
+                blocks.append((t, self.linked / len(self.text), holder, any(n == "article" for n, *_ in path), any(n == "h1" for n, *_ in path)))
+            self.text, self.linked = "", 0
+
+        def handle_starttag(self, name, attrs):
+            if name not in ("a", "span"):
+                self.flush()
+            ids[0] += 1
+            path.append((name, name in ("nav", "footer") or dict(attrs).get("class") in shut_names, ids[0]))
+
+        def handle_endtag(self, name):
+            if name not in ("a", "span"):
+                self.flush()
+            path.pop()
+
+        def handle_data(self, data):
+            self.text += data
+            self.linked += len(data) if any(n == "a" for n, *_ in path) else 0
+
+    r = Reader()
+    r.feed(page)
+    r.flush()
+    words = [re.findall(r"\w+", t.lower()) for t, *_ in blocks]
+    hits = [sum(w in stop for w in own) for own in words]
+    foreign = sum(hits) < low * sum(map(len, words))
+    label = []
+    for (t, links, _, inside, _), own, hit in zip(blocks, words, hits):
+        density = hit / max(1, len(own)) if not foreign else high * (t[-1] in ".!?")
+        if links > link_share:
+            label.append("bad")
+        elif len(t) < short or density < low:
+            label.append("bad" if links > 0.2 else "near" if len(t) >= short and inside else "short")
+        else:
+            label.append("good" if density >= high and len(t) > long else "near")
+    if "good" not in label:
+        best = "near" if "near" in label else "short"
+        label = ["good" if k == best else k for k in label]
+    marked = any(b[3] and k == "good" for b, k in zip(blocks, label))
+    kept = []
+    for i, (t, _, holder, inside, heading) in enumerate(blocks):
+        kind = label[i]
+        if kind in ("near", "short"):
+            sides = []
+            for every in (range(i - 1, -1, -1), range(i + 1, len(blocks))):
+                decided = [j for j in every if label[j] in ("good", "bad")]
+                own = [j for j in decided if blocks[j][2] == holder]
+                sides.append((not own, abs(i - (own or decided)[0]), label[(own or decided)[0]]) if decided else None)
+            some = [s for s in sides if s]
+            if marked and not inside:
+                kind = "bad"
+            elif heading and sides[1]:
+                kind = sides[1][2]
+            elif kind == "near":
+                kind = "good" if any(s[2] == "good" for s in some) else "bad"
+            else:
+                far, _, kind = min(some, key=lambda s: (s[0], s[1], s[2] == "bad"))
+                kind = "bad" if far and t[-1] not in ".!?" else kind
+        if kind == "good":
+            kept.append(t)
+    return " ".join(kept)

@@ -369,6 +369,72 @@ def test_pages_keep_whole_articles(spark, sf):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+def test_pages_do_without_the_article_tag(spark, sf):
+    import html
+    import re
+
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", article)).split())
+        got = op8_main_text.main_text(re.sub(r"</?article>", "", r.html))
+        assert got and len(set(want.split()) & set(got.split())) >= 0.95 * len(set(want.split())) and 0.95 * len(want) <= len(got) <= 1.05 * len(want)
+
+
+FINNISH = "Talon takana kasvaa vanha puu, jonka varjossa lapset leikkivät kesäisin ja kertovat tarinoita kaukaisista maista, joissa kukaan heistä ei ole koskaan käynyt mutta joista he ovat kuulleet isoäidiltään. "
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<p>{LONG}</p><div class="post-comments"><p>{LONG} yes</p></div><ul class="commentList"><li>{LONG}</li></ul><div id="entry-comments">{LONG}</div><div class="post-related">{LONG}</div>', LONG),
+    (f'<article><section id="side-effects"><p>{LONG}</p></section><div class="search-and-rescue"><p>{LONG} two</p></div></article>', f"{LONG} {LONG} two"),
+    (f"<aside><article><p>Teaser. {LONG}</p></article></aside><main><p>{LONG}</p></main>", LONG),
+    (f'<p class="lead>One {LONG}</p><p title="<b>x</b>">{LONG}</p><p data-a=\'x > y\' data-b="it\'s">{LONG}</p>', f"One {LONG} {LONG} {LONG}"),
+    (f"<html lang=fi><body><nav><a href=/>Koti</a></nav><h1>Puu</h1><p>{FINNISH}</p><p>{FINNISH * 2}</p><div>Kaikki oikeudet</div></body>", " ".join(f"Puu {FINNISH} {FINNISH * 2}".split())),
+    (f"<article><p>{LONG}</p></article><p>An other short one.</p><div>All rights</div>", LONG),
+    (f"<div><h2>Head</h2><p>{LONG}</p><p>Last</p></div><div>Tagline of the site</div>", f"Head {LONG} Last"),
+    ("<div class=content><h1>Only</h1><p>Short.</p></div>", "Only Short."),
+    (f"<p>{LONG}</p><ul><li><a href=1>one</a> | <a href=2>two</a></li></ul>", LONG),
+])
+def test_rules_decide(page, want):
+    assert op8_main_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<noscript>x", '<p class="a>x', "<a <b ", "<script>", "<!--", "<div>", "</p>", "<b>x", "<p title='", "<textarea>", "<h1>", "<td>&amp", "<![CDATA["])
+def test_bad_markup_takes_linear_time(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        op8_main_text.main_text("<div>" + piece * n)
+        return time.process_time() - began
+
+    n = 200_000 // len(piece)
+    seconds(n // 10)
+    assert seconds(5 * n) < 12 * max(seconds(n), 0.05)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_rules_equal_the_plain_version(seed):
+    rng = random.Random(seed)
+    stop = op8_main_text.STOP_WORDS["en"]
+
+    def words(n):
+        return " ".join(rng.choice(stop) if rng.random() < rate else f"w{rng.randrange(99)}" for _ in range(n)) + rng.choice([".", "", "!"])
+
+    def node(depth):
+        kind = rng.choice(["p", "p", "p", "h1", "div", "section", "nav", "list"] if depth < 3 else ["p"])
+        if kind == "p" or kind == "h1":
+            inner = words(rng.choice([2, 5, 9, 20, 60]))
+            return f"<{kind}>{inner}{f'<a>{words(rng.randrange(1, 9))}</a>' if rng.random() < 0.3 else ''}</{kind}>"
+        name = "div" if kind == "list" else kind
+        label = rng.choice(["", ' class="sidebar"', ' class="body"'])
+        return f"<{name}{label}>{''.join(node(depth + 1) for _ in range(rng.randrange(1, 4)))}</{name}>"
+
+    rate = rng.choice([0.02, 0.1, 0.3])
+    body = "".join(node(0) for _ in range(rng.randrange(1, 7)))
+    page = f'<html lang="en"><body>{body}{"<article>" + node(1) + node(1) + "</article>" if rng.random() < 0.5 else ""}<footer>{words(9)}</footer></body></html>'
+    assert op8_main_text.main_text(page) == brute.two_pass_text(page, frozenset(stop), {"sidebar"})
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, "u", ""), (2, None, "<p>" * 5000), (3, "u", f"<article><p>{LONG * 2000}"), (3, "u", f"<article><p>{LONG * 2000}")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
