@@ -15,12 +15,6 @@ from cuewise.llm.common import settle, table
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (left_semi) or is not (left_anti) among ids; a null doc_id is an id like any other."""
-    renamed = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(renamed, F.col("doc_id").eqNullSafe(F.col("__id")), how)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs, written, with a key of its own for each row, ascending in their order."""
     return settle(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
@@ -43,19 +37,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id; null doc_ids come last, each row a document of its own.
+    """One row of each group of near copies: the one of the smallest doc_id; null doc_ids come last.
 
-    Rows that repeat a doc_id are one document, its row of the smallest content. Documents without words stay.
+    Each row is a document of its own, decided by its text: of rows that share a doc_id and differ in text all stay. Rows without words
+    stay.
     """
-    twice = settle(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    repeated = _only(docs, twice, "left_semi")
-    content = F.struct(*[F.col(c) for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
-    best = repeated.groupBy("doc_id").agg(F.min(content).alias("c"))
-    best = best.select(*["doc_id" if c == "doc_id" else F.col(f"c.`{c}`").alias(c) for c in docs.columns])
-    once = _only(docs, twice, "left_anti").select(*docs.columns).union(best)
     # Keys in the order of doc_id, so that the smallest key of a group is the row that stays; equal rows in any order.
     order = [F.col("doc_id").asc_nulls_last(), F.col("__tie"), F.col("__at")]
-    tied = once.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__at", F.monotonically_increasing_id())
+    tied = docs.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__at", F.monotonically_increasing_id())
     keyed = _keyed(tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie", "__at"))
     return _without(keyed, op6_lsh_forest.link(_by_key(keyed)).where("not kept"))
 
