@@ -55,7 +55,8 @@ def mix(docs: DataFrame, source_weight: Column, quality: Column, budget: float |
     that texts need not be read again.
     ``source_weight`` is a column over ``rank``, or over source_size; ``quality`` a positive column over docs (null or not
     positive counts as 1e-6). A null source is a source of its own; a null or blank text has size 0 and
-    is taken in complete epochs only. Rows that are equal in all columns are separate documents with equal keys.
+    is taken in complete epochs only. Rows that are equal in all columns are separate documents with equal keys,
+    of which as many are taken as fit.
     Columns of the input named like those added are replaced.
     """
     own = ["size", "source_size", "target", "taken", "copies"]
@@ -89,13 +90,26 @@ def mix(docs: DataFrame, source_weight: Column, quality: Column, budget: float |
     edge = with_plan(slim, goal.select("source", "nb", "rest", "cut_bucket", "cut_before")).where(bucket == F.col("cut_bucket"))
     along = Window.partitionBy("source").orderBy("__u", "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("ahead", F.col("cut_before") + F.coalesce(F.sum("size").over(along), F.lit(0)))
-    last = edge.where("ahead + size / 2 <= rest").groupBy("source").agg(F.max(F.struct("__u", "doc_id", "h")).alias("last"))
+    keyed = edge.groupBy("source", F.struct("__u", "doc_id", "h").alias("key")).agg(
+        F.count("*").alias("rows"), F.count_if(F.expr("ahead + size / 2 <= rest")).alias("fit"))
+    last = keyed.where("fit > 0").groupBy("source").agg(F.max(F.struct("key", "rows", "fit")).alias("l")).select(
+        "source", F.col("l.key").alias("last"), "l.rows", "l.fit")
     goal = settle(goal.join(last.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"))
     full = with_plan(base, goal).withColumn("__b", bucket)
     here = F.struct(F.col("__u"), F.col("doc_id"), F.col("__h").alias("h"))
     more = F.when(F.col("cut_bucket").isNull(), F.lit(0)).when(F.col("__b") < F.col("cut_bucket"), F.lit(1)).when(
         (F.col("__b") == F.col("cut_bucket")) & (here <= F.col("last")), F.lit(1)).otherwise(F.lit(0))
-    full = full.withColumn("copies", F.col("epochs") + F.coalesce(more, F.lit(0))).withColumn("taken", F.col("copies") * F.col("size"))
+    full = full.withColumn("more", F.coalesce(more, F.lit(0)))
+    if not goal.where("fit < rows").isEmpty():
+        # Rows with the key of the cut of which only some fit: numbered, so that just as many are taken.
+        split = (F.col("fit") < F.col("rows")) & (here == F.col("last")) & (F.col("__b") == F.col("cut_bucket"))
+        tied = settle(full.where(F.coalesce(split, F.lit(False))).withColumns({"__id": F.monotonically_increasing_id(), "__one": F.lit(1).cast("long")}))
+        numbered = totals_before(tied, [F.asc_nulls_first("source"), F.col("__id")], {"__nth": "__one"})
+        first = numbered.groupBy("source").agg(F.min("__nth").alias("__first")).withColumnRenamed("source", "__s")
+        numbered = numbered.join(first, F.col("source").eqNullSafe(F.col("__s"))).withColumn(
+            "more", F.when(F.col("__nth") - F.col("__first") < F.col("fit"), 1).otherwise(0))
+        full = full.where(~F.coalesce(split, F.lit(False))).unionByName(numbered.select(*full.columns))
+    full = full.withColumn("copies", F.col("epochs") + F.col("more")).withColumn("taken", F.col("copies") * F.col("size"))
     return full.select(*[c for c in docs.columns if c not in own and c not in ("__size", "__w", "__u", "__h")], *own)
 
 

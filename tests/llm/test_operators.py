@@ -210,6 +210,11 @@ def test_mix_takes_the_smallest_keys_first(spark):
     assert sum(c for _, q, c in got if q == 2.0) > 110  # weight 2 is likelier
 
 
+def test_mix_of_equal_rows(spark):
+    rows = [(1, "a b c d", "hot")] * 1000 + [(2, "a b", "b")] * 7 + [(3, "x y", None)] * 50 + [(4, "z", "c"), (5, "y z", "c")]
+    check_mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+
+
 def test_mix_of_odd_input(odd_docs, no_docs):
     check_mix(odd_docs)
     assert op4_mixing.mix(no_docs, F.col("rank") % 3 + 1, F.lit(1.0)).count() == 0
