@@ -6,6 +6,7 @@ from cuewise.catalog.registry import query
 from cuewise.catalog.sql import DETECTIONS, with_words
 from cuewise.functions import geometry as G
 from cuewise.operators import detect as D
+from cuewise.operators import framing as R
 from cuewise.operators import presence as P
 from cuewise.sources import testdata as td
 
@@ -299,9 +300,21 @@ def spoken_samples(spark, sf):
     return spoken(spark, sf).select("video_id", "frame", "t_ms", "speech")
 
 
+def speaker_samples(spark, sf):
+    """Samples and faces of the order lines; motion from the box, speech from the talk's words, a shot every 40 samples of every second video."""
+    shot = (F.col("frame") % 40 == 0) & (F.col("video_id") % 2 == 0)
+    s = spoken(spark, sf).select("video_id", "frame", (F.col("t_ms") / 1000).alias("t_s"), "speech", shot.alias("shot"))
+    return D.confirm(faces(spark, sf)).withColumn("motion", F.col("box.w") % 7 / 10), s
+
+
 @query("active_speaker")
 def active_speaker(spark, sf):
-    """Speaker track over the order lines' faces; motion from the box, speech from the talk's words."""
-    s = spoken(spark, sf).select("video_id", "frame", (F.col("t_ms") / 1000).alias("t_s"), "speech", (F.col("frame") % 40 == 0).alias("shot"))
-    fc = D.confirm(faces(spark, sf)).withColumn("motion", F.col("box.w") % 7 / 10)
-    return P.active_speaker(fc, s, SRC_W)
+    """The face that is followed in each sample and where it changes."""
+    rows = R.frame_rows(*speaker_samples(spark, sf), TALL)
+    return rows.where("det is not null").select("video_id", "frame", "det", "handoff")
+
+
+@query("framed_samples")
+def framed_samples(spark, sf):
+    """The framing of every sample."""
+    return R.frame_rows(*speaker_samples(spark, sf), TALL)

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from cuewise.functions.geometry import Frame
+from cuewise.operators import framing
+
 KEEP_MS = 24 * 3_600_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -215,6 +218,28 @@ class JobRecords(Ordered):
         self.variants.clear()
 
 
+class FramedSamples(Ordered):
+    """A framing row per sample; the state is that of operators.framing, so any split gives the batch rows."""
+
+    output = ["video_id", "frame", *[c.split()[0] for c in framing.ROW.split(", ")]]
+
+    def __init__(self, rows, order, keep_ms, frame: Frame, hz: int):
+        super().__init__(rows, order, keep_ms)
+        self.frame, self.hz = frame, hz
+
+    def declare(self, handle):
+        self.track = handle.getValueState("track", framing.STATE)
+
+    def step(self, key, rows):
+        state = framing.thawed_state(self.track.get()) if self.track.exists() else framing.begin()
+        for row in framing.run_samples(state, ((r["frame"], r["t_s"], r["faces"], r["speech"], r["shot"]) for r in rows), self.frame, self.hz):
+            yield (key[0], *row)
+        self.track.update(framing.frozen_state(state))
+
+    def clear(self):
+        self.track.clear()
+
+
 class Tally(StatefulProcessor):
     """A running sum per key; emits the sum after each batch that changes it."""
 
@@ -240,6 +265,13 @@ def job_records(events: DataFrame, late: str, keep_ms: int = KEEP_MS) -> DataFra
     return run_ordered(events, ["job"], columns, JobRecords, RECORD, "event_id", late, keep_ms)
 
 
+def framed_samples(samples: DataFrame, frame: Frame, late: str, hz: int = 15, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Framing rows of a stream of samples ``(video_id, frame, ts, t_s, faces, speech, shot)``, faces as in ``framing.with_faces``."""
+    kind = dict(samples.dtypes)["video_id"]
+    step = lambda rows, order, keep: FramedSamples(rows, order, keep, frame, hz)
+    return run_ordered(samples, ["video_id"], ["frame", "t_s", "faces", "speech", "shot"], step, f"video_id {kind}, frame long, {framing.ROW}", "frame", late, keep_ms)
+
+
 def status_counts(changes: DataFrame) -> DataFrame:
     """Live number of jobs per status, from the change log of ``job_records`` in the same stream: each change takes one
     job from its old status and adds one to the new."""
