@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from cuewise.functions.text import capitalize, ends_line_sentence, words_in_order
 from cuewise.functions.timefmt import clock
 from cuewise.operators import segment
+from cuewise.sources.staging import cut
 
 MIN_CHAPTERS, MIN_CHAPTER_S, MIN_VIDEO_MS = 3, 10, 90_000
+CHUNK = 4096  # words that one task may hold of a video
 
 
 def summaries(words: DataFrame) -> DataFrame:
@@ -23,35 +25,74 @@ def summaries(words: DataFrame) -> DataFrame:
     return kept.groupBy("video_id").agg(words_in_order().alias("summary"))
 
 
-def _pick_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for vid, g in pdf.groupby("video_id", sort=False):
-        dur = int(g["duration_ms"].iloc[0])
-        # Half away from zero, as for every rounding here.
-        n = int(min(max(np.floor(dur / 240_000 + 0.5), MIN_CHAPTERS), 10))
-        spacing = dur / (n * 2.0)
-        g = g.sort_values("pos", kind="stable")
-        t, gap, pos = g["s_ms"].to_numpy(), g["gap_ms"].to_numpy(dtype=float), g["pos"].to_numpy()
-        free = t > spacing
-        free[0] = False
-        free &= np.abs(t - t[0]) >= spacing
-        starts = [(int(pos[0]), 0)]
-        while len(starts) < n and free.any():
-            i = int(np.argmax(np.where(free, gap, -np.inf)))
-            starts.append((int(pos[i]), int(t[i])))
-            free &= np.abs(t - t[i]) >= spacing
-        out += [(vid, p, s) for p, s in starts]
-    return pd.DataFrame(out, columns=["video_id", "pos", "start_ms"])
+def _picked(t: np.ndarray, gap: np.ndarray, n: int, spacing: float) -> list[int]:
+    """Places of a video's chapter starts: the first word, then the longest pauses kept apart."""
+    free = (t > spacing) & (np.abs(t - t[0]) >= spacing)
+    free[0] = False
+    found = [0]
+    while len(found) < n and free.any():
+        i = int(np.argmax(np.where(free, gap, -1)))
+        found.append(i)
+        free &= np.abs(t - t[i]) >= spacing
+    return found
+
+
+def _short_starts(batches):
+    """Chapter starts of whole videos of at most a chunk of words, in order; one video is held at a time."""
+    names, held, key = ["pos", "s_ms", "gap_ms", "n", "spacing"], [], None
+
+    def out():
+        pos, t, gap, n, spacing = (np.concatenate(c) for c in zip(*held))
+        at = _picked(t, gap, int(n[0]), float(spacing[0]))
+        return pd.DataFrame({"video_id": [key] * len(at), "pos": pos[at], "start_ms": np.r_[0, t[at[1:]]].astype(np.int64)})
+
+    for pdf in batches:
+        video, arrays = pdf["video_id"].to_numpy(), [pdf[c].to_numpy() for c in names]
+        cuts = [0, *(np.flatnonzero(video[1:] != video[:-1]) + 1).tolist(), len(pdf)] if len(pdf) else [0]
+        done = []
+        for a, b in zip(cuts, cuts[1:]):
+            if held and video[a] != key:
+                done.append(out())
+                held = []
+            key = video[a]
+            held.append([x[a:b] for x in arrays])
+        if done:
+            yield pd.concat(done)
+    if held:
+        yield out()
 
 
 def chapter_starts(words: DataFrame, durations: DataFrame) -> DataFrame:
-    """Chapter starts: the first word, then the longest pauses kept apart by the spacing."""
+    """Chapter starts: the first word, then the longest pauses kept apart by the spacing.
+
+    Videos of a chunk of words are picked from as a whole. In longer ones a round picks one pause in all videos: each task finds the
+    longest free one among its own words, so no video is gathered; there are ten starts and so nine rounds at most.
+    """
     long = durations.filter(F.col("duration_ms") >= MIN_VIDEO_MS)
-    gaps = segment.gap_before(words).join(long, "video_id").select(
-        "video_id", "pos", "s_ms", F.coalesce("gap_ms", F.lit(0)).alias("gap_ms"), "duration_ms")
+    # Half away from zero, as for every rounding here.
+    n = F.least(F.greatest(F.floor(F.col("duration_ms") / 240_000 + 0.5), F.lit(MIN_CHAPTERS)), F.lit(10)).cast("int")
+    plan = long.join(words.groupBy("video_id").agg(F.max("pos").alias("last")), "video_id").select(
+        "video_id", "last", n.alias("n"), (F.col("duration_ms") / (n * 2.0)).alias("spacing"))
+    gaps = segment.gap_before(words).join(plan, "video_id").select(
+        "video_id", "pos", "s_ms", F.coalesce("gap_ms", F.lit(0)).alias("gap_ms"), "n", "spacing", "last")
     kind = dict(words.dtypes)["video_id"]
-    return gaps.groupBy("video_id").applyInPandas(
-        lambda pdf: _pick_starts(pdf), f"video_id {kind}, pos long, start_ms long")
+    short = gaps.where(F.col("last") < CHUNK).drop("last").repartition("video_id").sortWithinPartitions("video_id", "pos")
+    starts = short.mapInPandas(_short_starts, f"video_id {kind}, pos long, start_ms long")
+    if words.where(F.col("pos") >= CHUNK).isEmpty():
+        return starts
+    rest = cut(gaps.where(F.col("last") >= CHUNK))
+    taken = cut(rest.groupBy("video_id").agg(F.array(F.min(F.struct("pos", "s_ms"))).alias("taken")))
+    for _ in range(9):
+        clear = F.forall("taken", lambda x: F.abs(F.col("s_ms") - x["s_ms"]) >= F.col("spacing")) & (F.col("s_ms") > F.col("spacing"))
+        free = rest.join(taken, "video_id").where((F.size("taken") < F.col("n")) & clear)
+        best = free.groupBy("video_id").agg(F.max_by(F.struct("pos", "s_ms"), F.struct("gap_ms", -F.col("pos"))).alias("best"))
+        taken = cut(taken.join(best, "video_id", "left").select(
+            "video_id", F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.col("best"))).alias("taken"), F.col("best").isNotNull().alias("more")))
+        if taken.where("more").isEmpty():
+            break
+        taken = taken.drop("more")
+    each = taken.select("video_id", F.posexplode("taken").alias("k", "x"))
+    return starts.union(each.select("video_id", "x.pos", F.when(F.col("k") == 0, 0).otherwise(F.col("x.s_ms")).alias("start_ms")))
 
 
 def titled(starts: DataFrame, words: DataFrame) -> DataFrame:

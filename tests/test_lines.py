@@ -72,3 +72,23 @@ def test_times_that_run_back(spark):
     for rule in RULES.values():
         assert {(r.video_id, r.pos): r.line for r in L.pack(df, rule).collect()} == plain(words, rule)
     assert L.pack(df.limit(0), L.SRT).count() == 0
+
+
+def test_chapters_of_long_videos_equal_those_of_whole_ones(spark, monkeypatch):
+    """The rounds over chunks against the choice on whole videos, with equal pauses."""
+    from cuewise.operators import outline as O
+
+    rng = random.Random(3)
+    words = []
+    for v in range(5):
+        t = 400 * v
+        for pos in range(700 if v else 1500):
+            words.append((v, pos, "word", t, t + 450))
+            t += 500 + rng.choice([0, 0, 600, 600, 1500, 1900])
+    df = spark.createDataFrame(words, "video_id long, pos long, w string, s_ms long, e_ms long")
+    ends = df.groupBy("video_id").agg(F.max("e_ms").alias("duration_ms"))
+    whole = sorted(map(tuple, O.chapter_starts(df, ends).collect()))
+    monkeypatch.setattr(O, "CHUNK", 1000)
+    assert sorted(map(tuple, O.chapter_starts(df, ends).collect())) == whole
+    monkeypatch.setattr(O, "CHUNK", 1)
+    assert sorted(map(tuple, O.chapter_starts(df, ends).collect())) == whole and len(whole) > 20
