@@ -95,19 +95,19 @@ def group_hysteresis(spark, sf):
     return S.hysteresis(flags(spark, sf))
 
 
-LOGIT = """lg AS (SELECT vec_id AS cand, label, unnest(range(0, 4)) AS k, exp(unnest(embedding[1:4])::DOUBLE / (0.5::DOUBLE + 0.1 * label)) AS e FROM embeddings),
+LOGIT = """lg AS (SELECT vec_id AS cand, label, unnest(range(0, 64)) AS k, exp(unnest(embedding)::DOUBLE / (0.5::DOUBLE + 0.1 * label)) AS e FROM embeddings),
 pr AS (SELECT cand, label, k, e / sum(e) OVER (PARTITION BY cand) AS p FROM lg)"""
 
 
 @query("judge_answers", f"""WITH {LOGIT} SELECT cand, CAST(arg_max(k, (p, k)) AS INT) AS choice, round(sum(k * p), 6) AS level, round(max(CASE WHEN k = 1 THEN p END), 6) AS p_true,
- round(1 + sum(p * ln(p)) / ln(4), 6) AS confidence FROM pr GROUP BY cand""")
+ round(1 + sum(p * ln(p)) / ln(64), 6) AS confidence FROM pr GROUP BY cand""")
 def judge_answers(spark, sf):
     p = td.logits(spark, sf).withColumn("p", Q.softmax("z", "temp"))
     return p.select("cand", Q.choice("p").alias("choice"), r6(Q.expected_level("p")).alias("level"), r6(F.get("p", F.lit(1))).alias("p_true"), r6(Q.confidence("p")).alias("confidence"))
 
 
 NAMES = ["hook", "standalone", "complete", "value", "share"]
-VERDICT = LOGIT + """, an AS (SELECT cand // 5 AS c, ['hook','standalone','complete','value','share'][cand % 5 + 1] AS name, sum(k * p) / 3 AS lv, max(CASE WHEN k = 1 THEN p END) AS pt FROM pr WHERE cand % 11 <> 3 GROUP BY cand),
+VERDICT = LOGIT + """, an AS (SELECT cand // 5 AS c, ['hook','standalone','complete','value','share'][cand % 5 + 1] AS name, sum(k * p) / 63 AS lv, max(CASE WHEN k = 1 THEN p END) AS pt FROM pr WHERE cand % 11 <> 3 GROUP BY cand),
 vd AS (SELECT c AS cand, coalesce(max(lv) FILTER (name = 'hook'), 0.5) AS hook, coalesce(max(pt) FILTER (name = 'standalone'), 0.5) AS standalone, coalesce(max(pt) FILTER (name = 'complete'), 0.5) AS complete,
   coalesce(max(lv) FILTER (name = 'value'), 0.5) AS value, coalesce(max(pt) FILTER (name = 'share'), 0.5) AS share FROM an GROUP BY c)"""
 
@@ -259,6 +259,11 @@ def stage_statuses(spark, sf):
     return td.table(spark, sf, "events").select("event_id", J.stage_status(stage, now).alias("status"))
 
 
+@query("listed_jobs", f"WITH {CLIP_STATES} SELECT job, status, events, (SELECT count(*) FROM jobs) AS total FROM jobs WHERE status = 'failed' ORDER BY created DESC, job LIMIT 50")
+def listed_jobs(spark, sf):
+    return J.listing(J.job_states(td.job_events(spark, sf)), 50, "failed").drop("created")
+
+
 @query("finalized_jobs", """SELECT event_id, CASE WHEN event_id % 3 > 0 AND user_id % 5 = 0 THEN 'cancelled' WHEN event_id % 3 > 0 OR user_id % 4 = 0 THEN 'done' WHEN user_id % 5 = 0 THEN 'cancelled' ELSE 'failed' END AS status FROM events""")
 def finalized_jobs(spark, sf):
     e = td.table(spark, sf, "events").selectExpr("event_id", "'analyzing' AS status", "event_id % 3 > 0 AS ok", "user_id % 5 = 0 AS cancelled", "user_id % 4 = 0 AS edit")

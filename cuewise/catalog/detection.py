@@ -280,8 +280,9 @@ def presence_segments(spark, sf):
 
 @query("presence_pieces")
 def presence_pieces(spark, sf):
+    """Ranges of 25 s that tile each video."""
     f = frames(spark, sf)
-    ranges = f.filter("frame % 100 = 0").select("video_id", F.col("frame").alias("rank"), (F.col("frame") * 250).alias("a_ms"), (F.col("frame") * 250 + 20_000).alias("b_ms"))
+    ranges = f.filter("frame % 100 = 0").select("video_id", F.col("frame").alias("rank"), (F.col("frame") * 250).alias("a_ms"), (F.col("frame") * 250 + 25_000).alias("b_ms"))
     return P.clip_pieces(presence_segments(spark, sf), ranges)
 
 

@@ -102,6 +102,17 @@ def hand_made_clips(spark, sf):
     return E.spec_clips(good, w, td.durations(w))[0].select("video_id", "rank", "start_ms", "end_ms", "hook", "title", "style", "source")
 
 
+@query("focus_replies", """SELECT o_orderkey AS video_id, round(least(greatest(o_custkey % 300 / 200.0 - 0.2, 0), 1), 6)::DOUBLE AS x01, round(least(greatest(o_custkey % 7 / 5.0, 0), 1), 6)::DOUBLE AS zoom,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE left(repeat(o_orderpriority || ' ', 30), 200) END AS reason FROM orders WHERE o_orderkey % 5 > 0""")
+def focus_replies(spark, sf):
+    """Replies in a fence, bare, and in prose; every third without a reason, every fifth without a zoom."""
+    body = """concat('{"focus_x": ', format_string('%.4f', o_custkey % 300 / 200D - 0.2), if(o_orderkey % 5 = 0, '', concat(', "zoom": ', format_string('%.4f', o_custkey % 7 / 5D))),
+      if(o_orderkey % 3 = 0, '', concat(', "reason": "', repeat(concat(o_orderpriority, ' '), 30), '"')), '}')"""
+    reply = f"CASE o_orderkey % 3 WHEN 0 THEN {body} WHEN 1 THEN concat('Here it is:\n```json\n', {body}, '\n```\nDone.') ELSE concat('I would say ', {body}, ' fits.') END"
+    r = G.focus_replies(td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("video_id"), F.expr(reply).alias("reply")))
+    return r.withColumns({c: F.round(c, 6) for c in ("x01", "zoom")})
+
+
 @query("crop_points", "SELECT o_orderkey AS video_id, i, i * 500 AS t_ms, o_custkey::DOUBLE + i AS x FROM orders, (SELECT unnest(range(0, 2)) AS i) WHERE o_orderkey % 3 > 0")
 def crop_points(spark, sf):
     doc = "if(o_orderkey % 3 > 0, concat('{\"tracks\":[{\"t\":0.0,\"x\":', o_custkey, '},{\"t\":0.5,\"x\":', o_custkey + 1, '}]}'), '{\"tracks\":[]}')"

@@ -156,12 +156,12 @@ def tight_clock_of_sentence_ends(spark, sf):
 
 
 @query("emphasis_on_output_clock", with_words(PUNCHY + OFFSETS + """
-, wn AS (SELECT video_id, s_ms // 60000 + 1 AS rank, pos AS win, greatest(s_ms - 150, 0) AS s, e_ms + 450 AS e FROM words WHERE w = '100'),
+, wn AS (SELECT video_id, s_ms // 60000 + 1 AS rank, pos AS win, greatest(s_ms - 150, 0) AS s, e_ms + 450 AS e FROM words),
 h AS (SELECT wn.*, a_ms, b_ms, off, row_number() OVER (PARTITION BY wn.video_id, wn.win ORDER BY k) AS rn FROM wn JOIN ko USING (video_id, rank) WHERE s < b_ms),
 o AS (SELECT video_id, rank, win, off + greatest(s - a_ms, 0) AS os, greatest(least(e, b_ms) - greatest(s, a_ms), 0) AS len FROM h WHERE rn = 1)
 SELECT video_id, rank, win, os AS out_s_ms, os + len AS out_e_ms FROM o WHERE len > 200"""))
 def emphasis_on_output_clock(spark, sf):
-    wins = td.words(spark, sf).filter("w = '100'").select(
+    wins = td.words(spark, sf).select(
         "video_id", F.expr("s_ms div 60000 + 1").alias("rank"), F.col("pos").alias("win"),
         F.greatest(F.col("s_ms") - 150, F.lit(0)).alias("s_ms"), (F.col("e_ms") + 450).alias("e_ms"))
     return I.map_forward(wins, I.keep_rows(plans(spark, sf, "punchy")))

@@ -144,6 +144,12 @@ def newest(jobs: DataFrame, limit: int = 20, status: str | None = None) -> DataF
     return rows.orderBy(F.desc("created"), "job").limit(min(max(limit, 1), 500))
 
 
+def listing(jobs: DataFrame, limit: int = 20, status: str | None = None) -> DataFrame:
+    """The rows of ``newest`` with ``total``, the number of all jobs before the filter."""
+    total = jobs.agg(F.count("*").alias("total"))
+    return newest(jobs, limit, status).crossJoin(F.broadcast(total))  # one row against at most 500
+
+
 def reload(records: DataFrame) -> DataFrame:
     """Records after a restart: an unfinished job is done when all its clips are, else failed."""
     all_done = (F.size("clips") > 0) & F.forall("clips", lambda c: c["render_status"] == "done")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.text import clean, col, is_hook_filler
-from cuewise.operators.scan import Scan, chunk_of, points_in_ranges, running, sliding
+from cuewise.operators.scan import Scan, asof, chunk_of, points_in_ranges, running, sliding
 
 HOP_MS = 10
 SPACING_MS = 4000
@@ -117,6 +117,15 @@ def punch_windows(peaks_df: DataFrame, words: DataFrame, keeps: DataFrame | None
     return out.select("video_id", "p.s_ms", "p.e_ms")
 
 
+def punch_texts(windows: DataFrame, words: DataFrame) -> DataFrame:
+    """Add ``text`` to windows ``(video_id, s_ms, e_ms)``: the first six words that lie inside with a quarter of a second to spare."""
+    w = words.select("video_id", "pos", "w", F.col("s_ms").alias("ws"), F.col("e_ms").alias("we"))
+    hit = points_in_ranges(w, windows.select("video_id", "s_ms", "e_ms"), ["video_id"], "ws", F.col("s_ms") - 250, F.col("e_ms") + 250)
+    said = hit.filter(F.col("we") <= F.col("e_ms") + 250).groupBy("video_id", "s_ms", "e_ms").agg(
+        F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), 1, 6), " ").alias("text"))
+    return windows.join(said, ["video_id", "s_ms", "e_ms"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def quietest(spans: DataFrame, energy: DataFrame, key: list[str]) -> DataFrame:
     """The quietest instant of each span ``(video_id, ..., a_ms, b_ms, pref_ms)``: the centre of the
     30 ms with least energy, among those within 1.5 dB the nearest to ``pref_ms``; a span too short
@@ -214,6 +223,23 @@ def high_pass_energy(samples: DataFrame, rate: int, chunk: int = 1 << 16) -> Dat
     return rows.groupBy("video_id", "__c").applyInPandas(lambda p: run(p), f"video_id {kind}, hop long, ms double")
 
 
+def crop_at(points: DataFrame, plan: DataFrame, values: list[str], order: str = "i") -> DataFrame:
+    """Points ``(video_id, t_ms, ...)`` with the values of the crop plan ``(video_id, <order>, t_ms, ...)`` in effect: of the last plan row at
+    or before them, before the first row those of the first. Videos without a plan give nulls."""
+    renamed = plan.select("video_id", F.col("t_ms").alias("__at"), F.col(order).alias("__i"), *values)
+    found = asof(points, renamed, ["video_id"], "t_ms", "__at", values, "backward", ["__i"])
+    first = plan.groupBy("video_id").agg(F.min_by(F.struct(*values), F.struct("t_ms", order)).alias("__f"))
+    rows = found.join(first, "video_id", "left")
+    none = F.col(values[0]).isNull()
+    return rows.select(*points.columns, *[F.when(none, F.col(f"__f.{v}")).otherwise(F.col(v)).alias(v) for v in values])
+
+
+def crop_left(points: DataFrame, plan: DataFrame, max_x: str) -> DataFrame:
+    """The held x of the plan at each point, inside 0 to the point's ``max_x``."""
+    held = crop_at(points, plan, ["x"])
+    return held.withColumn("x", F.least(F.greatest("x", F.lit(0.0)), F.greatest(F.col(max_x), F.lit(0.0))))
+
+
 def hysteresis(flags: DataFrame, on_after: int = 4, off_after: int = 8) -> DataFrame:
     """On after four straight yes, off after eight straight no; ``edge`` marks both.
 

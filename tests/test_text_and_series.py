@@ -145,3 +145,19 @@ def test_settled_files(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = live.run_once(live.settled_files(stream), str(tmp_path / "run"), [], "append").collect()
     assert [tuple(r) for r in got] == [("new", 3)]
+
+
+def test_edit_documents_without_clips_are_rejected(spark):
+    from cuewise.sources import ingest as G
+
+    specs = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 0, "c")], "video_id long, rank long, hook string")
+    good, bad = G.check_edit_specs(specs, spark.createDataFrame([(1,), (2,), (3,)], "video_id long"))
+    assert sorted(r.rank for r in good.collect()) == [1, 2]
+    assert {(r.video_id, r.reason) for r in bad.collect()} == {(2, "rank must be 1 or more"), (3, "no clips listed")}
+
+
+def test_spans_that_render(spark):
+    from cuewise.plans import jobs as P
+
+    keeps = spark.createDataFrame([(1, 1, 0, 1004, 2000), (1, 1, 1, 3000, 4996)], "video_id long, rank long, k long, a_ms long, b_ms long")
+    assert [tuple(r) for r in P.rendered_spans(keeps).collect()] == [(1, 1, 1000, 5000)]
