@@ -140,8 +140,9 @@ def test_a_translation_of_another_length_keeps_the_words(spark, make_words):
 
 def test_settled_files(spark, tmp_path):
     polls = [("old", 5, 0), ("new", 3, 1), ("new", 9, 2), ("new", 9, 3), ("new", 9, 4), ("gone", 4, 1), ("gone", 4, 3), ("empty", 0, 1), ("empty", 0, 2)]
-    df = spark.createDataFrame(polls, "path string, size long, poll long")
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    # Polls carry their time; the last file ends the waiting for late ones.
+    df = spark.createDataFrame(polls, "path string, size long, poll long").selectExpr("*", "timestamp_seconds((poll + 1) * 60) AS ts")
+    df.union(spark.sql("SELECT '' AS path, -1L AS size, 0L AS poll, timestamp '2100-01-01' AS ts")).repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = live.run_once(live.settled_files(stream), str(tmp_path / "run"), [], "append").collect()
     assert [tuple(r) for r in got] == [("new", 3)]
