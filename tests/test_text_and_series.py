@@ -162,3 +162,24 @@ def test_spans_that_render(spark):
 
     keeps = spark.createDataFrame([(1, 1, 0, 1004, 2000), (1, 1, 1, 3000, 4996)], "video_id long, rank long, k long, a_ms long, b_ms long")
     assert [tuple(r) for r in P.rendered_spans(keeps).collect()] == [(1, 1, 1000, 5000)]
+
+
+def test_cut_plans_with_energy_render_whole_spans(spark):
+    """Ten words with a second of silence after the fifth; energy of the words, quiet between them."""
+    from cuewise.plans import jobs as P
+
+    starts = [1000 + 500 * i + (1000 if i > 4 else 0) for i in range(10)]
+    words = spark.createDataFrame([(1, i, f"w{i}", s, s + 450, 0.9) for i, s in enumerate(starts)],
+                                  "video_id long, pos long, w string, s_ms long, e_ms long, conf double")
+    loud = {h for s in starts for h in range(s // 10, s // 10 + 45)}
+    energy = spark.createDataFrame([(1, h, 0.01 if h in loud else 1e-9) for h in range(800)], "video_id long, hop long, ms double")
+    clips = spark.createDataFrame([(1, 1, 900, 7200)], "video_id long, rank long, start_ms long, end_ms long")
+    plans = P.cut_plans(clips, words, energy=energy)
+    rows = sorted((r.k, r.fa, r.fb) for r in plans.collect())
+    assert len(rows) == 2 and all(fb > fa for _, fa, fb in rows)
+    # No edge lies inside a word.
+    for _, fa, fb in rows:
+        assert not any(s < t * 100 / 3 < s + 450 for s in starts for t in (fa, fb))
+    spans = [tuple(r) for r in P.rendered_spans(P.frame_times(plans, (30, 1))).collect()]
+    first, last = rows[0][1] * 100 / 3, rows[-1][2] * 100 / 3
+    assert spans == [(1, 1, round(first / 10) * 10, round(last / 10) * 10)]
