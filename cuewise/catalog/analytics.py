@@ -13,7 +13,7 @@ from cuewise.operators import series as S
 from cuewise.sources import testdata as td
 
 ENERGY = """
-, fw AS (SELECT video_id, pos, w, s_ms // 10 AS s_ms, e_ms // 10 AS e_ms FROM words), ew AS (SELECT *, lead(s_ms) OVER (PARTITION BY video_id ORDER BY pos) AS ns FROM fw),
+, ew AS (SELECT *, lead(s_ms) OVER (PARTITION BY video_id ORDER BY pos) AS ns FROM words),
 energy AS (SELECT video_id, unnest(range(s_ms // 10, e_ms // 10)) AS hop, 0.01::DOUBLE * (1 + pos % 7) AS ms FROM ew
  UNION ALL SELECT video_id, unnest(range(e_ms // 10, ns // 10)), 1e-9::DOUBLE FROM ew WHERE ns > e_ms)"""
 DB = "greatest(10.0::DOUBLE * log10({} + 1e-10::DOUBLE), -100.0)"
@@ -21,10 +21,10 @@ LOUD = ENERGY + f""", lo AS (SELECT video_id, hop, avg(ms) OVER (PARTITION BY vi
 loudness AS (SELECT video_id, hop // 10 - 2 AS i, hop * 10 AS t_ms, {DB.format('m')} AS db FROM lo WHERE hop % 10 = 0 AND hop >= 20 AND hop <= n - 20)"""
 
 
-@query("word_levels", with_words(ENERGY + f""", r AS (SELECT w.video_id, pos, least(s_ms // 10, n - 1) AS i, least(e_ms // 10, n - 1) AS j FROM fw w JOIN (SELECT video_id, max(hop) + 1 AS n FROM energy GROUP BY 1) USING (video_id))
+@query("word_levels", with_words(ENERGY + f""", r AS (SELECT w.video_id, pos, least(s_ms // 10, n - 1) AS i, least(e_ms // 10, n - 1) AS j FROM words w JOIN (SELECT video_id, max(hop) + 1 AS n FROM energy GROUP BY 1) USING (video_id))
 SELECT r.video_id, pos, round({DB.format('avg(ms)')}, 6) AS db FROM r JOIN energy e ON e.video_id = r.video_id AND e.hop BETWEEN i AND greatest(j, i + 1) - 1 GROUP BY 1, 2"""))
 def word_levels(spark, sf):
-    w = td.fast_words(spark, sf).select("video_id", "pos", F.col("s_ms").alias("a_ms"), F.col("e_ms").alias("b_ms"))
+    w = td.words(spark, sf).select("video_id", "pos", F.col("s_ms").alias("a_ms"), F.col("e_ms").alias("b_ms"))
     return S.range_level(w, td.energy(spark, sf), ["pos"]).select("video_id", "pos", r6("db").alias("db"))
 
 
@@ -58,17 +58,18 @@ def emphasis_peaks(spark, sf):
 @query("punch_windows")
 def punch_windows(spark, sf):
     p = S.peaks(S.loudness(td.energy(spark, sf)), 3.0)
-    return S.punch_windows(p, td.fast_words(spark, sf), None, 5)
+    return S.punch_windows(p, td.words(spark, sf), None, 5)
 
 
 @query("quiet_points", with_words(ENERGY + f""", q AS (SELECT video_id, hop, {DB.format('avg(ms) OVER w')} AS db, count(*) OVER w AS c FROM energy WINDOW w AS (PARTITION BY video_id ORDER BY hop ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
 n AS (SELECT video_id, max(hop) + 1 AS n FROM energy GROUP BY 1),
-s AS (SELECT w.video_id, pos, s_ms - 60 AS a, s_ms + 40 AS b, s_ms AS p, least((s_ms - 60) // 10, n - 1) AS i, least((s_ms + 40) // 10, n - 1) - 2 AS j FROM fw w JOIN n USING (video_id) WHERE pos > 0),
-h AS (SELECT s.*, q.hop, q.db, min(db) OVER (PARTITION BY s.video_id, pos) AS fl FROM s JOIN q ON q.video_id = s.video_id AND c = 3 AND hop BETWEEN i AND j),
+s AS (SELECT w.video_id, pos, s_ms - 60 AS a, s_ms + 40 AS b, s_ms AS p, least((s_ms - 60) // 10, n - 1) AS i, least((s_ms + 40) // 10, n - 1) - 2 AS j FROM words w JOIN n USING (video_id) WHERE pos > 0),
+sh AS (SELECT video_id, pos, p, unnest(range(i, j + 1)) AS hop FROM s),
+h AS (SELECT sh.*, db, min(db) OVER (PARTITION BY sh.video_id, pos) AS fl FROM sh JOIN q ON q.video_id = sh.video_id AND q.hop = sh.hop WHERE c = 3),
 x AS (SELECT video_id, pos, arg_min(hop * 10 + 15, (abs(hop * 10 + 15 - p), hop)) AS qa FROM h WHERE db <= fl + 1.5 GROUP BY 1, 2)
 SELECT s.video_id, s.pos, least(greatest(coalesce(qa, p), a), b) AS quiet_ms FROM s LEFT JOIN x USING (video_id, pos)"""))
 def quiet_points(spark, sf):
-    w = td.fast_words(spark, sf).filter("pos > 0")
+    w = td.words(spark, sf).filter("pos > 0")
     spans = w.select("video_id", "pos", (F.col("s_ms") - 60).alias("a_ms"), (F.col("s_ms") + 40).alias("b_ms"), F.col("s_ms").alias("pref_ms"))
     return S.quietest(spans, td.energy(spark, sf), ["pos"])
 

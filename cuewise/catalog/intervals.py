@@ -83,9 +83,9 @@ def punchy_keeps(spark, sf):
 
 
 def refined(spark, sf):
-    """Cut plans on the clock of the energy table, their edges moved to quiet instants."""
-    w = td.fast_words(spark, sf)
-    p = cut(I.tighten(minute_parts(w), w, I.Tighten(mode="light", pause_above_ms=80, pause_keep_ms=25)))
+    """Cut plans of minute parts, their edges moved to quiet instants."""
+    w = td.words(spark, sf)
+    p = cut(plans(spark, sf, "light"))
     return I.refine_edges(I.keep_rows(p), I.removed_rows(p), w, td.energy(spark, sf))
 
 

@@ -35,15 +35,21 @@ def range_level(ranges: DataFrame, energy: DataFrame, key: list[str]) -> DataFra
 
 def loudness(energy: DataFrame) -> DataFrame:
     """Mean power of 400 ms every 100 ms, stamped at the window's centre, from 0.2 s after the
-    start to 0.2 s before the end."""
-    def level(w):
-        return F.avg("ms").over(w.rowsBetween(-20, 19))
+    start to 0.2 s before the end.
 
-    size = energy.groupBy("video_id").agg((F.max("hop") + 1).alias("n"))
-    out = sliding(energy, ["video_id"], "hop", 20, {"mean": level}).filter("hop % 10 = 0 and hop >= 20")
-    out = out.join(size, "video_id").filter("hop <= n - 20")
-    return out.select("video_id", (F.expr("hop div 10") - 2).alias("i"), (F.col("hop") * HOP_MS).alias("t_ms"),
-                      to_db("mean").alias("db"))
+    Windows begin and end on full tenths of a second, so hops are first summed to tenths where they are read.
+    """
+    tenths = energy.groupBy("video_id", F.expr("hop div 10").alias("c")).agg(
+        F.sum("ms").alias("ms"), F.count("ms").alias("hops"), F.max("hop").alias("hop"))
+    size = tenths.groupBy("video_id").agg((F.max("hop") + 1).alias("n"))
+
+    def over(name: str):
+        return lambda w: F.sum(name).over(w.rangeBetween(-2, 1))
+
+    out = sliding(tenths, ["video_id"], "c", 2, {"power": over("ms"), "count": over("hops")}).filter("c >= 2")
+    out = out.join(size, "video_id").filter("c * 10 <= n - 20")
+    return out.select("video_id", (F.col("c") - 2).alias("i"), (F.col("c") * 10 * HOP_MS).alias("t_ms"),
+                      to_db(F.col("power") / F.col("count")).alias("db"))
 
 
 def smooth(series: DataFrame, reach: int = 2) -> DataFrame:

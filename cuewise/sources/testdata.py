@@ -67,28 +67,16 @@ def durations(words_df: DataFrame) -> DataFrame:
     return words_df.groupBy("video_id").agg(F.max("e_ms").alias("duration_ms"))
 
 
-def fast_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words on the clock of the audio corpus, which plays every video at ten times its speed."""
-    return words(spark, sf_dir).withColumns({"s_ms": F.expr("s_ms div 10"), "e_ms": F.expr("e_ms div 10")})
-
-
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mean-square value per 10 ms hop of every video, on the clock of ``fast_words``."""
-    w = fast_words(spark, sf_dir)
-    spoken = w.select(
-        "video_id",
-        F.explode(F.sequence(F.expr("s_ms div 10"), F.expr("e_ms div 10 - 1"))).alias("hop"),
-        (0.01 * (1 + F.col("pos") % 7)).alias("ms"),
-    )
+    """One mean-square value per 10 ms hop of every video, from its first word to its last."""
+    w = words(spark, sf_dir)
     # Silence before the next word: the hops from this word's end to the next word's start.
-    nxt = running(w, ["video_id"], ["pos"], chunk_of("pos", WORDS_PER_CHUNK),
-                  {"next_s": Scan("first", F.col("s_ms"))})
-    silent = nxt.filter("next_s > e_ms").select(
-        "video_id",
-        F.explode(F.sequence(F.expr("e_ms div 10"), F.expr("next_s div 10 - 1"))).alias("hop"),
-        F.lit(1e-9).alias("ms"),
-    )
-    return spoken.unionByName(silent)
+    timed = running(w, ["video_id"], ["pos"], chunk_of("pos", WORDS_PER_CHUNK),
+                    {"next_s": Scan("first", F.col("s_ms"))})
+    last = F.expr("greatest(e_ms, coalesce(next_s, e_ms)) div 10 - 1")
+    hops = timed.select("video_id", "pos", F.expr("e_ms div 10").alias("end"),
+                        F.explode(F.sequence(F.expr("s_ms div 10"), last)).alias("hop"))
+    return hops.select("video_id", "hop", F.when(F.col("hop") < F.col("end"), 0.01 * (1 + F.col("pos") % 7)).otherwise(F.lit(1e-9)).alias("ms"))
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
