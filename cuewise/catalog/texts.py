@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cuewise.catalog.intervals import PARTS, minute_parts
+from cuewise.catalog.intervals import PARTS, minute_parts, plans
 from cuewise.catalog.registry import query
 from cuewise.catalog.sql import clean, rec, with_sentences, with_words
 from cuewise.functions.fixed_values import TAG_STOP
@@ -179,8 +179,7 @@ def clip_bodies(spark, sf):
 @query("headlines")
 def headlines(spark, sf):
     w = td.words(spark, sf)
-    s = segment.sentences(w).select("video_id", F.expr("s_ms div 60000 + 1").alias("rank"), F.col("sent_start").alias("n"),
-                                    (F.expr("s_ms % 60000") / 1000).alias("at_s"), "text")
+    s = K.spoken_sentences(I.retime(w, I.keep_rows(plans(spark, sf, "punchy"))))
     return K.headlines(part_clips(w), s).withColumn("accent", K.accent_word("headline"))
 
 

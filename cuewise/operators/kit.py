@@ -145,6 +145,18 @@ def accent_word(c) -> Column:
     return F.coalesce(F.get(marked, F.lit(0)), longest["i"])
 
 
+def spoken_sentences(retimed: DataFrame) -> DataFrame:
+    """Whole sentences ``(video_id, rank, n, at_s, text)`` of each clip's retimed words ``(video_id, rank, pos, w, s_ms, e_ms)``; ``n`` is the
+    first word's place. They end only at end marks, however long they are; words after a clip's last mark make none."""
+    w = Window.partitionBy(*CLIP).orderBy("pos")
+    ends = ends_sentence("w").cast("int")
+    rows = retimed.select(*CLIP, "pos", F.trim("w").alias("w"), "s_ms", ends.alias("ends"))
+    rows = rows.withColumn("part", F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    whole = rows.groupBy(*CLIP, "part").agg(
+        F.min("pos").alias("n"), (F.min_by("s_ms", "pos") / 1000).alias("at_s"), words_in_order().alias("text"), F.max("ends").alias("ends"))
+    return whole.filter("ends = 1").select(*CLIP, "n", "at_s", "text")
+
+
 def headlines(hooks: DataFrame, sentences: DataFrame) -> DataFrame:
     """Headline per clip: its hook when that stands alone, else the best early sentence (the
     earlier on ties). ``sentences(video_id, rank, n, at_s, text)`` on the clip's clock."""

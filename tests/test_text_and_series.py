@@ -183,3 +183,24 @@ def test_cut_plans_with_energy_render_whole_spans(spark):
     spans = [tuple(r) for r in P.rendered_spans(P.frame_times(plans, (30, 1))).collect()]
     first, last = rows[0][1] * 100 / 3, rows[-1][2] * 100 / 3
     assert spans == [(1, 1, round(first / 10) * 10, round(last / 10) * 10)]
+
+
+def test_sentences_of_clips_end_only_at_marks(spark):
+    from cuewise.operators import kit as K
+
+    texts = {(1, 1): ["so"] * 40 + ["done."] + "Good soup needs salt and time. And then".split(),
+             (1, 2): "Really? Yes! no mark here".split(), (2, 1): ["nothing", "ends"], (3, 1): ["Wait\u2026", "What?"]}
+    rows = [(v, r, 100 + i, w, 500 * i, 500 * i + 450) for (v, r), ws in texts.items() for i, w in enumerate(ws)]
+    words = spark.createDataFrame(rows, "video_id long, rank long, pos long, w string, s_ms long, e_ms long")
+    want = []
+    for (v, r), ws in texts.items():
+        sent = []
+        for i, w in enumerate(ws):
+            sent.append((i, w))
+            if w.endswith((".", "!", "?", "\u2026")):
+                want.append((v, r, 100 + sent[0][0], sent[0][0] * 0.5, " ".join(x for _, x in sent)))
+                sent = []
+    got = K.spoken_sentences(words)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    hooks = spark.createDataFrame([(1, 1, "and"), (1, 2, "and"), (2, 1, "and")], "video_id long, rank long, hook string")
+    assert [tuple(x) for x in K.headlines(hooks, got).collect()] == [(1, 1, "Good soup needs salt and time")]
