@@ -13,7 +13,7 @@ from cuewise.operators import segment
 from cuewise.sources.staging import cut
 
 MIN_CHAPTERS, MIN_CHAPTER_S, MIN_VIDEO_MS = 3, 10, 90_000
-CHUNK = 4096  # words that one task may hold of a video
+CHUNK = 1 << 18  # words that one task may hold of a video: five numbers each, 10 MB
 
 
 def summaries(words: DataFrame) -> DataFrame:
