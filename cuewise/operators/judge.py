@@ -16,11 +16,15 @@ TOPICS = [("hook", "strong opening hook", "slow opening"), ("value", "clear payo
           ("share", "likely to be shared", "low share pull")]
 
 
+def _held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; named in a lambda's body it would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(z, temperature) -> Column:
     scaled = F.transform(col(z), lambda v: v / col(temperature))
-    e = F.transform(scaled, lambda v: F.exp(v - F.array_max(scaled)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+    e = _held(scaled, lambda s: _held(F.array_max(s), lambda top: F.transform(s, lambda v: F.exp(v - top))))
+    return _held(e, lambda e: _held(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total)))
 
 
 def confidence(p) -> Column:
