@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewise.functions.score import bump, score_sentence, scorecard, word_set
-from cuewise.functions.text import joined, mentions_any
+from cuewise.functions.text import joined, mentions_any, words_in_order
 from cuewise.operators import segment
-from cuewise.operators.scan import points_in_ranges
+from cuewise.operators.scan import WORDS_PER_CHUNK, chunk_in, chunk_of, points_in_ranges
 from cuewise.sources.staging import cut
 
 TARGET_MAX_MS = 45_000
@@ -38,16 +38,31 @@ def range_text(
     before it. Adds ``text`` and ``n_words``; ranges without words are absent."""
     span = ranges.select(*key, lo.alias("__a"), hi.alias("__b"),
                          (hi if ends_by is None else ends_by).alias("__e"))
-    w = words.select("video_id", "pos", "s_ms", "e_ms", (F.trim("w") if trim else F.col("w")).alias("w"))
+    w = words.select("video_id", "pos", "s_ms", "e_ms", (F.trim("w") if trim else F.col("w")).alias("w"),
+                     *(["chunk"] if "chunk" in words.columns else []))
     hit = points_in_ranges(w, span, ["video_id"], "s_ms", F.col("__a"), F.col("__b"))
     if ends_by is not None:
         hit = hit.filter("e_ms <= __e")
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "w")))
-    if max_words:
-        pairs = F.slice(pairs, 1, max_words)
-    return hit.groupBy(*key).agg(pairs.alias("__p")).select(
-        *key, joined("__p").alias("text"), F.size("__p").alias("n_words")
-    )
+    # Joined first inside each chunk, where stored words lie together; of these only the first words are ever needed.
+    said = F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"])
+    said = F.slice(said, 1, max_words) if max_words else said
+    parts = hit.groupBy("video_id", chunk_in(words).alias("__chunk"), *[k for k in key if k != "video_id"]).agg(said.alias("__p"))
+    if not max_words:
+        parts = parts.withColumns({"__n": F.size("__p"), "__p": F.array_join("__p", " ")})
+        return parts.groupBy(*key).agg(words_in_order("__chunk", "__p").alias("text"), F.sum("__n").cast("int").alias("n_words"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__chunk", "__p"))), lambda x: x["__p"]))
+    whole = parts.groupBy(*key).agg(F.slice(whole, 1, max_words).alias("__p"))
+    return whole.select(*key, F.array_join("__p", " ").alias("text"), F.size("__p").alias("n_words"))
+
+
+def _words_at(words: DataFrame, spots: DataFrame) -> DataFrame:
+    """Spots ``(video_id, pos, ...)`` with the times of their words. A chunk's few spots are brought to its words."""
+    rest = [c for c in spots.columns if c not in ("video_id", "pos")]
+    asked = spots.groupBy("video_id", chunk_of("pos", WORDS_PER_CHUNK).alias("__chunk")).agg(
+        F.array_distinct(F.collect_list("pos")).alias("__at"))
+    w = words.select("video_id", "pos", "s_ms", "e_ms", chunk_in(words).alias("__chunk"))
+    found = w.join(asked, ["video_id", "__chunk"]).filter(F.array_contains("__at", F.col("pos"))).drop("__chunk", "__at")
+    return spots.select("video_id", "pos", *rest).join(found, ["video_id", "pos"])
 
 
 def propose(words: DataFrame, count: int, focus: list[str] = ()) -> DataFrame:
@@ -66,11 +81,12 @@ def propose(words: DataFrame, count: int, focus: list[str] = ()) -> DataFrame:
         F.least("a", F.col("r") + 1))
     right = F.when(roomy, F.least("r", F.greatest("h", F.col("d") - F.col("a")))).otherwise(
         F.col("r"))
-    grown = grown.select("video_id", "cand", "score", "text", (F.col("a") - left).alias("first"),
-                         (F.col("b") + right).alias("stop"))
+    # A few rows per video, needed twice.
+    grown = cut(grown.select("video_id", "cand", "score", "text", (F.col("a") - left).alias("first"),
+                             (F.col("b") + right).alias("stop")))
     spots = grown.select(
         "*", F.explode(F.array(F.col("first"), F.col("stop") - 1, F.col("stop"))).alias("pos"))
-    at = spots.join(words.select("video_id", "pos", "s_ms", "e_ms"), ["video_id", "pos"])
+    at = _words_at(words, spots)
 
     def value(c: str, pos: Column) -> Column:
         return F.max(F.when(F.col("pos") == pos, F.col(c)))
@@ -201,6 +217,7 @@ def propose_timecut(words: DataFrame, spans: DataFrame, len_ms: int) -> DataFram
 def apply_focus(candidates: DataFrame, words: DataFrame, terms: list[str]) -> DataFrame:
     """Raise every score by 15 where the candidate's words mention a topic term."""
     key = ["video_id", "cand"]
+    candidates = cut(candidates)
     said = range_text(words, candidates, key, F.col("start_ms") - 50, F.col("end_ms") + 50,
                       ends_by=F.col("end_ms") + 50)
     hits = said.filter(mentions_any("text", terms)).select(*key, F.lit(True).alias("on_topic"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions.fixed_values import JUDGE_MAX
 from cuewise.functions.text import col
+from cuewise.sources.staging import cut
 
 TOPICS = [("hook", "strong opening hook", "slow opening"), ("value", "clear payoff", "light payoff"),
           ("standalone", "stands on its own", "needs context"),
@@ -87,6 +88,7 @@ def judge_texts(candidates: DataFrame, words: DataFrame) -> DataFrame:
     from cuewise.operators.candidates import range_text
 
     key = ["video_id", "cand"]
+    candidates = cut(candidates.select(*key, "start_ms", "end_ms"))
     said = range_text(words, candidates, key, F.col("start_ms") - 50, F.col("end_ms") + 50, ends_by=F.col("end_ms") + 50, trim=True)
     secs = F.floor((F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) + 500) / 1000)
     return candidates.join(said, key, "left").select(*key, F.concat(
@@ -104,6 +106,7 @@ def judge(candidates: DataFrame, words: DataFrame, ask: Callable[[Column], Colum
     """Judge candidates with a user's ``ask(state) -> struct`` (a pandas UDF or an expression giving
     hook, standalone, complete, value, share in 0..1); the rest keep their scores."""
     key = ["video_id", "cand"]
+    candidates = cut(candidates)
     chosen = to_judge(candidates)
     v = judge_texts(chosen, words).select(*key, ask(F.col("state")).alias("v")).select(*key, "v.*")
     v = v.select(*key, verdict_scores().alias("vs"), why(by).alias("vwhy"))

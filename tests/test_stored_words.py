@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cuewise.operators import candidates as C
 from cuewise.operators import lines as L
 from cuewise.operators import segment
 from cuewise.sources import testdata as td
@@ -50,3 +51,16 @@ def test_lines_joined_where_they_are_packed(spark, sf, rule):
         assert key(L.packed_lines(w, rule, split=True)) == key(L.line_rows(L.split_at_sentences(packed)))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr)
+
+
+def test_texts_of_ranges_read_chunks_where_they_lie(spark, sf):
+    w = td.words(spark, sf)
+    spans = w.filter("pos % 300 = 0").selectExpr("video_id", "pos AS cand", "s_ms - 40 AS start_ms", "s_ms + 70000 AS end_ms")
+    for most in (None, 14):
+        said = lambda x: C.range_text(x, spans, ["video_id", "cand"], F.col("start_ms"), F.col("end_ms"), max_words=most, ends_by=F.col("end_ms"))
+        assert rows_of(said(w)) == rows_of(said(w.drop("chunk"))) and "Bucketed: true" in plan_of(said(w))
+    assert rows_of(C.propose(w, 3)) == rows_of(C.propose(w.drop("chunk"), 3))
