@@ -218,13 +218,14 @@ def preview_windows(spark, sf):
     return R.preview_window(e)
 
 
+# Minutes and hours are unbounded, so they are padded and never cut; hundredths are rounded.
 @query("stamps", with_words("""
 SELECT video_id, pos,
  CASE WHEN e_ms >= 3600000 THEN (e_ms // 3600000) || ':' || lpad((e_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0')
    ELSE (e_ms // 60000) || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') END AS clock,
- lpad((e_ms // 60000)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') AS minute,
- lpad((e_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((e_ms % 1000)::VARCHAR, 3, '0') AS srt,
- (e_ms // 3600000) || ':' || lpad((e_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((e_ms // 10 % 100)::VARCHAR, 2, '0') AS centi
+ lpad((e_ms // 60000)::VARCHAR, greatest(length((e_ms // 60000)::VARCHAR), 2)::INT, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') AS minute,
+ lpad((e_ms // 3600000)::VARCHAR, greatest(length((e_ms // 3600000)::VARCHAR), 2)::INT, '0') || ':' || lpad((e_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((e_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((e_ms % 1000)::VARCHAR, 3, '0') AS srt,
+ ((e_ms + 5) // 3600000) || ':' || lpad(((e_ms + 5) // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad(((e_ms + 5) // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad(((e_ms + 5) // 10 % 100)::VARCHAR, 2, '0') AS centi
 FROM words"""))
 def stamps(spark, sf):
     return td.words(spark, sf).select(
