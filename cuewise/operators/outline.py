@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.functions.text import capitalize, ends_line_sentence, words_in_order
+from cuewise.functions.text import capitalize, ends_line_sentence, joined, words_in_order
 from cuewise.functions.timefmt import clock
 from cuewise.operators import segment
 from cuewise.sources.staging import cut
@@ -18,11 +18,11 @@ CHUNK = 1 << 18  # words that one task may hold of a video: five numbers each, 1
 
 def summaries(words: DataFrame) -> DataFrame:
     """Opening words up to a sentence end at 25 or more, at most 60."""
-    head = words.filter("pos < 60")
-    stop = head.groupBy("video_id").agg(
-        F.min(F.when((F.col("pos") >= 24) & ends_line_sentence("w"), F.col("pos"))).alias("stop"))
-    kept = head.join(stop, "video_id").filter("stop is null or pos <= stop")
-    return kept.groupBy("video_id").agg(words_in_order().alias("summary"))
+    said = F.array_sort(F.collect_list(F.struct("pos", "w", ((F.col("pos") >= 24) & ends_line_sentence("w")).alias("stop"))))
+    head = words.filter("pos < 60").groupBy("video_id").agg(said.alias("p"))
+    stop = F.get(F.filter("p", lambda x: x["stop"]), F.lit(0))["pos"]
+    kept = F.filter("p", lambda x: F.col("stop").isNull() | (x["pos"] <= F.col("stop")))
+    return head.withColumn("stop", stop).select("video_id", joined(kept).alias("summary"))
 
 
 def _picked(t: np.ndarray, gap: np.ndarray, n: int, spacing: float) -> list[int]:

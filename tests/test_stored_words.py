@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewise.operators import candidates as C
+from cuewise.operators import intervals as I
 from cuewise.operators import lines as L
 from cuewise.operators import segment
 from cuewise.sources import testdata as td
@@ -64,3 +65,39 @@ def test_texts_of_ranges_read_chunks_where_they_lie(spark, sf):
         said = lambda x: C.range_text(x, spans, ["video_id", "cand"], F.col("start_ms"), F.col("end_ms"), max_words=most, ends_by=F.col("end_ms"))
         assert rows_of(said(w)) == rows_of(said(w.drop("chunk"))) and "Bucketed: true" in plan_of(said(w))
     assert rows_of(C.propose(w, 3)) == rows_of(C.propose(w.drop("chunk"), 3))
+
+
+def test_cut_plans_and_the_tight_clock_read_chunks_where_they_lie(spark, sf):
+    w = td.words(spark, sf)
+    parts = w.groupBy("video_id").agg(F.max("e_ms").alias("d")).selectExpr("video_id", "explode(sequence(0L, d div 60000)) AS r", "d").selectExpr(
+        "video_id", "r + 1 AS rank", "r * 60000 AS a_ms", "least(r * 60000 + 60000, d) AS b_ms")
+
+    def all_of(x):
+        p = I.tighten(parts, x, I.Tighten(mode="punchy"))
+        k = I.keep_rows(p)
+        here = ["chunk"] if "chunk" in x.columns else []
+        wins = x.select("video_id", F.expr("s_ms div 60000 + 1").alias("rank"), F.col("pos").alias("win"), "s_ms", "e_ms", *here)
+        return p.select("video_id", "rank", "mode", "tight_ms", "removed", "keeps"), I.retime(x, k), I.tight_clock(x, k, ["pos"], "e_ms"), I.map_forward(wins, k)
+
+    for stored, plain in zip(all_of(w), all_of(w.drop("chunk"))):
+        assert rows_of(stored) == rows_of(plain) and "Bucketed: true" in plan_of(stored)
+
+
+def test_punctuation_across_a_chunk(spark):
+    rows = [(1, k, "?" if 4090 <= k < 4100 and k > 4093 else f"w{k}", k * 500, k * 500 + 450, k // 4096) for k in range(4110)]
+    w = spark.createDataFrame(rows, "video_id long, pos long, w string, s_ms long, e_ms long, chunk long")
+    got = segment.attach_punctuation(w)
+    assert rows_of(got) == rows_of(segment.attach_punctuation(w.drop("chunk")))
+    assert got.filter("pos = 4093").collect()[0].w == "w4093??????"
+
+
+def test_stamps_past_a_hundred_minutes_agree_with_their_sql(spark, sf):
+    import duckdb
+
+    from cuewise.catalog import ORACLES, QUERIES
+    from tests.check import compare
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    assert QUERIES["stamps"](spark, sf).filter("minute like '1__:%'").count() > 0
+    assert compare(con, QUERIES["stamps"](spark, sf), ORACLES["stamps"]) == ""
