@@ -7,6 +7,7 @@ from cuewise.operators import candidates as C
 from cuewise.operators import intervals as I
 from cuewise.operators import lines as L
 from cuewise.operators import segment
+from cuewise.operators import series as S
 from cuewise.sources import testdata as td
 
 TEXT = " ".join(("well this is a talk, no?" if k % 9 == 4 else "one two three. four") + " five" for k in range(2500))
@@ -101,3 +102,32 @@ def test_stamps_past_a_hundred_minutes_agree_with_their_sql(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
     assert QUERIES["stamps"](spark, sf).filter("minute like '1__:%'").count() > 0
     assert compare(con, QUERIES["stamps"](spark, sf), ORACLES["stamps"]) == ""
+
+
+@pytest.mark.parametrize("smoothed", [False, True])
+def test_loudness_stays_in_chunks(spark, sf, smoothed):
+    e = td.chunked_energy(spark, sf)
+    kept = S.smoothed_loudness(e) if smoothed else S.loudness(e)
+    plain = S.loudness(e.drop("chunk"))
+    plain = S.smooth(plain).select(kept.columns) if smoothed else plain
+    values = lambda df: {(r.video_id, r.i): (r.t_ms, *[round(r[c], 9) for c in kept.columns[3:]]) for r in df.collect()}
+    got = values(kept)
+    assert got == values(plain) and len(got) == kept.count() > 20_000
+    # Whatever goes to another task by time is an edge of a chunk; the levels of the rest are made where the words lie.
+    tally = lambda df: sum(s.shuffleWriteRecords() for s in stages_of(spark, df))
+    assert tally(kept) * 20 < tally(plain)
+
+
+def stages_of(spark, df):
+    """The stages that a query takes."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def ids():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(k).stageId(): found.apply(k) for k in range(found.size())}
+
+    before = set(ids())
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return [s for k, s in ids().items() if k not in before]
