@@ -1,8 +1,8 @@
 """Clip validation: snap, complete, guard, size, then greedy de-duplication and ranking.
 
-Lookups that may reach far (nearest word, sentence end before or after) run as running values over
-the video's timeline. What is left looks at most a few minutes around the start, so it runs per
-(video, ten-minute tile) on sorted arrays. Words must be in time order.
+Lookups that may reach far (nearest word, sentence end before or after) go to the ends of the video's chunks first and then to the words
+of one chunk. What is left looks at most a few minutes around the start, so it runs on sorted arrays: beside the words of a chunk, or, where
+it needs those of more, per (video, ten-minute tile). Words must be in time order.
 """
 
 from __future__ import annotations
@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from cuewise.functions.score import total_of, word_set, word_set_jaccard
 from cuewise.functions.text import ends_sentence, hashtags, is_hook_filler, style_or
-from cuewise.operators.scan import Scan, running
+from cuewise.operators.scan import chunk_in
 from cuewise.sources.staging import cut
 
 TILE_MS = 600_000
 REACH_BACK_MS = 2_000
-CELLS_PER_PARTITION = 4
 STRETCH = 1 << 38
 FAR = np.iinfo(np.int64).max // 4
 
@@ -36,75 +35,94 @@ class Rules:
     gate_grow_ms: int = 30_000
 
 
+def _around(points: DataFrame, words: DataFrame, axes: list[tuple[str, str, str]]) -> DataFrame:
+    """What the words say before and after each point ``(video_id, cand, kind, axis, t)``: ``back`` the latest value at or before t, ``next`` the
+    first after it.
+
+    Each of the axes names the words' columns for the time, the value and the order of values. A chunk that ends before t or begins after it is
+    known by its ends; only points inside a chunk are brought to its words, so no word moves.
+    """
+    key = ["video_id", "cand", "kind"]
+    w = words.withColumn("chunk", chunk_in(words))
+    ends = [F.struct(F.min(at).alias("lo"), F.max(at).alias("hi"), F.struct(F.min(o).alias("o"), F.min_by(v, o).alias("v")).alias("first"),
+                     F.struct(F.max(o).alias("o"), F.max_by(v, o).alias("v")).alias("last")).alias(f"__{k}") for k, (at, v, o) in enumerate(axes)]
+    cells = w.groupBy("video_id", "chunk").agg(*ends)
+    # A row per chunk and axis, needed twice.
+    cells = cut(cells.select("video_id", "chunk", F.posexplode(F.array(*[f"__{k}" for k in range(len(axes))])).alias("axis", "c"))
+                .select("video_id", "chunk", "axis", "c.*"))
+    met = points.join(cells, ["video_id", "axis"])
+    far = met.groupBy(*key).agg(F.max(F.when(F.col("hi") <= F.col("t"), F.col("last"))).alias("back"),
+                                F.min(F.when(F.col("lo") > F.col("t"), F.col("first"))).alias("next"))
+    at, v, o = (F.element_at(F.array(*names), F.col("axis") + 1) for names in zip(*axes))
+    near = w.join(met.filter("lo <= t and t < hi").select("chunk", *key, "axis", "t"), ["video_id", "chunk"])
+    near = near.select("chunk", *key, (at <= F.col("t")).alias("early"), v.alias("v"), o.alias("o"))
+    old, new = F.when(F.col("early"), F.col("o")), F.when(~F.col("early"), F.col("o"))
+    # Single numbers, so that pairs stay in a hash aggregate.
+    near = near.groupBy("chunk", *key).agg(F.max(old).alias("o0"), F.max_by("v", old).alias("v0"), F.min(new).alias("o1"), F.min_by("v", new).alias("v1"))
+    near = near.select(*key, *[F.when(F.col(f"o{k}").isNotNull(), F.struct(F.col(f"o{k}").alias("o"), F.col(f"v{k}").alias("v"))).alias(name)
+                               for k, name in enumerate(["back", "next"])])
+    both = far.unionByName(near).groupBy(*key).agg(F.max("back")["v"].alias("back"), F.min("next")["v"].alias("next"))
+    return points.join(both, key, "left")
+
+
 def nearest_word_edges(candidates: DataFrame, words: DataFrame, pad_ms: int) -> DataFrame:
     """Snap padded starts to the nearest word start and ends to the nearest word end, the earlier
     one on ties."""
-    no = F.lit(None).cast("long")
-    # Word starts, word ends and the candidates' own points on one time axis, ordered by ``o``.
-    starts = words.select("video_id", (F.col("s_ms") * 4).alias("o"), F.col("s_ms").alias("ws"),
-                          no.alias("we"), no.alias("cand"))
-    stops = words.select("video_id", (F.col("e_ms") * 4).alias("o"), no.alias("ws"),
-                         F.col("e_ms").alias("we"), no.alias("cand"))
-    a = F.greatest(F.col("s0") - pad_ms, F.lit(0)) * 4 + 1
-    b = F.least(F.col("e0") + pad_ms, F.col("duration_ms")) * 4 + 2
-    points = candidates.select("video_id", F.explode(F.array(a, b)).alias("o"), no.alias("ws"),
-                               no.alias("we"), "cand")
-    axis = starts.unionByName(stops).unionByName(points)
-    both = running(axis, ["video_id"], ["o"], F.expr("o div 4 div 600000"), {
-        "ws_back": Scan("last", F.col("ws")), "ws_next": Scan("first", F.col("ws")),
-        "we_back": Scan("last", F.col("we")), "we_next": Scan("first", F.col("we")),
-    }).filter("cand is not null")
-
-    def nearest(kind: int, by: str) -> Column:
-        t, back, nxt = F.expr("o div 4"), F.col(f"{by}_back"), F.col(f"{by}_next")
-        late = F.coalesce(nxt - t < t - back, F.lit(False))
-        value = F.when(back.isNull() | late, nxt).otherwise(back)
-        # Without words a point stays where it is.
-        return F.max(F.when(F.col("o") % 4 == kind, F.greatest(F.coalesce(value, t), F.lit(0))))
-
-    return both.groupBy("video_id", "cand").agg(
-        nearest(1, "ws").alias("s1"), nearest(2, "we").alias("e1"))
+    a = F.greatest(F.col("s0") - pad_ms, F.lit(0))
+    b = F.least(F.col("e0") + pad_ms, F.col("duration_ms"))
+    points = candidates.select("video_id", "cand", F.posexplode(F.array(a, b)).alias("axis", "t")).withColumn("kind", F.col("axis"))
+    found = _around(points, words, [("s_ms",) * 3, ("e_ms",) * 3])
+    late = F.coalesce(F.col("next") - F.col("t") < F.col("t") - F.col("back"), F.lit(False))
+    value = F.when(F.col("back").isNull() | late, F.col("next")).otherwise(F.col("back"))
+    # Without words a point stays where it is.
+    value = F.greatest(F.coalesce(value, "t"), F.lit(0))
+    return found.groupBy("video_id", "cand").agg(
+        F.max(F.when(F.col("kind") == 0, value)).alias("s1"), F.max(F.when(F.col("kind") == 1, value)).alias("e1"))
 
 
 def sentence_marks(snapped: DataFrame, words: DataFrame) -> DataFrame:
     """Sentence ends around the snapped edges: ``se`` the first ending at or after ``e1``, ``sb``
     the last whose word starts at or before ``e1``, ``pe`` the last whose word starts 10 ms or
     more before ``s1``."""
-    no = F.lit(None).cast("long")
-    closing = words.filter(ends_sentence("w"))
-    by_start = closing.select("video_id", (F.col("s_ms") * 8).alias("o"), F.col("e_ms").alias("open"),
-                              no.alias("close"), no.alias("cand"))
-    by_end = closing.select("video_id", (F.col("e_ms") * 8 + 4).alias("o"), no.alias("open"),
-                            F.col("e_ms").alias("close"), no.alias("cand"))
-    at = F.array((F.col("s1") - 10) * 8 + 1, F.col("e1") * 8 + 2, F.col("e1") * 8 + 3)
-    points = snapped.select("video_id", F.explode(at).alias("o"), no.alias("open"), no.alias("close"),
-                            "cand")
-    axis = by_start.unionByName(by_end).unionByName(points)
-    found = running(axis, ["video_id"], ["o"], F.expr("cast(floor(o / 4800000) as long)"), {
-        "back": Scan("last", F.col("open")), "next": Scan("first", F.col("close")),
-    }).filter("cand is not null")
-    kind = F.pmod(F.col("o"), F.lit(8))
+    at = F.array(F.struct(F.lit(0).alias("axis"), (F.col("s1") - 10).alias("t")), F.struct(F.lit(0).alias("axis"), F.col("e1").alias("t")),
+                 F.struct(F.lit(1).alias("axis"), (F.col("e1") - 1).alias("t")))
+    points = snapped.select("video_id", "cand", F.posexplode(at).alias("kind", "x")).select("video_id", "cand", "kind", "x.*")
+    found = _around(points, words.filter(ends_sentence("w")), [("s_ms", "e_ms", "pos"), ("e_ms",) * 3])
     marks = found.groupBy("video_id", "cand").agg(
-        F.max(F.when(kind == 1, F.col("back"))).alias("pe"),
-        F.max(F.when(kind == 2, F.col("back"))).alias("sb"),
-        F.max(F.when(kind == 3, F.col("next"))).alias("se"),
+        F.max(F.when(F.col("kind") == 0, F.col("back"))).alias("pe"),
+        F.max(F.when(F.col("kind") == 1, F.col("back"))).alias("sb"),
+        F.max(F.when(F.col("kind") == 2, F.col("next"))).alias("se"),
     )
     return snapped.join(marks, ["video_id", "cand"])
 
 
-def _tiled_words(words: DataFrame, reach_ms: int) -> tuple[DataFrame, DataFrame]:
-    """Words per start tile, with those up to ``reach_ms`` after it and 2 s before it, and the
-    last word start before that."""
-    marks = words.select("video_id", "pos", "s_ms", "e_ms", ends_sentence("w").alias("ends"),
-                         is_hook_filler("w").alias("filler"))
-    tiles = F.sequence(F.floor((F.col("s_ms") - reach_ms) / TILE_MS),
-                       F.floor((F.col("s_ms") + REACH_BACK_MS) / TILE_MS))
-    near = marks.withColumn("tile", F.explode(tiles))
-    # Last start before the tile's reach: the latest start of the tiles it no longer touches.
-    last = words.groupBy(
-        "video_id", (F.floor((F.col("s_ms") + REACH_BACK_MS) / TILE_MS) + 1).alias("tile")
-    ).agg(F.max("s_ms").alias("s_ms"))
-    return near, last
+def _marked(words: DataFrame, tile: Column) -> DataFrame:
+    return words.select("video_id", "pos", "s_ms", "e_ms", ends_sentence("w").alias("ends"), is_hook_filler("w").alias("filler"), tile)
+
+
+def _at_home(snapped: DataFrame, words: DataFrame, reach_ms: int) -> DataFrame:
+    """Add ``homes``, the chunks that hold words from 2 s before ``s1`` to ``reach_ms`` after it, ``tile``, the first of them, and ``before_s``,
+    the last word start before that."""
+    cells = words.groupBy("video_id", chunk_in(words).alias("chunk")).agg(
+        F.min("s_ms").alias("lo"), F.max("s_ms").alias("last_s"), F.max(F.greatest("s_ms", "e_ms")).alias("hi"))
+    earlier = Window.partitionBy("video_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before_s", F.max("last_s").over(earlier))
+    home = F.when((F.col("hi") >= F.col("s1") - REACH_BACK_MS) & (F.col("lo") <= F.col("s1") + reach_ms), F.col("chunk"))
+    homes = snapped.join(cells, "video_id").groupBy("video_id", "cand").agg(
+        F.collect_set(home).alias("homes"), F.coalesce(F.min(home), F.lit(-1)).alias("tile"), F.min_by("before_s", home).alias("before_s"))
+    return cut(snapped.join(homes, ["video_id", "cand"]))
+
+
+def _beside(apart: DataFrame, words: DataFrame, reach_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The candidates that need words of several chunks, with ``before_s`` moved to the last word start that is left out, and these words."""
+    apart = apart.withColumn("tile", F.floor(F.col("s1") / TILE_MS))
+    spans = apart.select("video_id", "tile", F.explode("homes").alias("chunk"), "s1").groupBy("video_id", "tile", "chunk").agg(
+        (F.min("s1") - REACH_BACK_MS).alias("lo"), (F.max("s1") + reach_ms).alias("hi"))
+    met = words.withColumn("chunk", chunk_in(words)).join(cut(spans), ["video_id", "chunk"])
+    early = (F.col("e_ms") < F.col("lo")) & (F.col("s_ms") < F.col("lo"))
+    skipped = met.filter(early).groupBy("video_id", "tile").agg(F.max("s_ms").alias("__s"))
+    apart = apart.join(skipped, ["video_id", "tile"], "left").withColumn("before_s", F.greatest("before_s", "__s")).drop("__s")
+    return apart, _marked(met.filter(~early & (F.col("s_ms") <= F.col("hi"))), F.col("tile"))
 
 
 def _finish(rules: Rules):
@@ -189,26 +207,27 @@ def validate(candidates: DataFrame, words: DataFrame, durations: DataFrame,
     # A few rows per video, needed by every lookup below.
     c = cut(c)
     span = c.select("video_id", "cand", "s0", "e0", "duration_ms")
-    snapped = nearest_word_edges(span, words, rules.pad_ms)
+    snapped = cut(nearest_word_edges(span, words, rules.pad_ms))
     snapped = sentence_marks(snapped, words)
     snapped = snapped.join(span.select("video_id", "cand", "duration_ms"), ["video_id", "cand"])
-    snapped = cut(snapped.withColumn("tile", F.floor(F.col("s1") / TILE_MS)))
-    near, last = _tiled_words(words, rules.max_ms + rules.gate_grow_ms + 5_000)
-    carry = Window.partitionBy("video_id").orderBy("tile", "m")
-    probe = last.select("video_id", "tile", F.lit(0).alias("m"), F.col("s_ms"))
-    asks = snapped.select("video_id", "tile").distinct().select(
-        "video_id", "tile", F.lit(1).alias("m"), F.lit(None).cast("long").alias("s_ms"))
-    before = probe.unionByName(asks).withColumn("before_s", F.max("s_ms").over(carry))
-    before = before.filter("m = 1").select("video_id", "tile", "before_s")
-    snapped = snapped.join(before, ["video_id", "tile"])
-    # A group is one ten-minute tile, whatever the size of the corpus or of a video.
-    near = near.join(snapped.select("video_id", "tile").distinct(), ["video_id", "tile"], "left_semi")
-    # Fresh column ids: the cogrouped sides share their source.
-    left = snapped.select(*[F.col(c).alias(c) for c in snapped.columns])
-    right = near.select(*[F.col(c).alias(c) for c in near.columns])
+    reach = rules.max_ms + rules.gate_grow_ms + 5_000
+    snapped = _at_home(snapped, words, reach)
     id_type = dict(candidates.dtypes)["video_id"]
-    final = left.groupBy("video_id", "tile").cogroup(right.groupBy("video_id", "tile")).applyInPandas(
-        _finish(rules), f"video_id {id_type}, cand long, s long, e long")
+    rest = ["video_id", "cand", "tile", "s1", "e1", "duration_ms", "se", "sb", "pe", "before_s"]
+
+    def finished(cands: DataFrame, near: DataFrame) -> DataFrame:
+        near = near.join(cands.select("video_id", "tile").distinct(), ["video_id", "tile"], "left_semi")
+        # Fresh column ids: the cogrouped sides share their source.
+        left = cands.select(*[F.col(c).alias(c) for c in rest])
+        right = near.select(*[F.col(c).alias(c) for c in near.columns])
+        return left.groupBy("video_id", "tile").cogroup(right.groupBy("video_id", "tile")).applyInPandas(
+            _finish(rules), f"video_id {id_type}, cand long, s long, e long")
+
+    # Most candidates see the words of one chunk alone and are settled beside them; a group is a chunk, or
+    # what a ten-minute tile needs around the edge of one.
+    alone = F.size("homes") == 1
+    final = finished(snapped.filter(alone), _marked(words, chunk_in(words).alias("tile")))
+    final = final.unionByName(finished(*_beside(snapped.filter(~alone), words, reach)))
     hundredth = lambda x: (F.floor((F.col(x) + 5) / 10) * 10).cast("long")
     rest = c.drop("start_ms", "end_ms", "s0", "e0", "duration_ms")
     return rest.join(final, ["video_id", "cand"]).select(

@@ -131,3 +131,30 @@ def stages_of(spark, df):
     df.write.format("noop").mode("overwrite").save()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     return [s for k, s in ids().items() if k not in before]
+
+
+def test_validation_whatever_the_chunks(spark, sf):
+    from cuewise.operators import validate as V
+
+    w = td.words(spark, sf).drop("chunk").filter("video_id < 3").cache()
+    at = w.filter("pos % 97 = 5").select("video_id", F.col("pos").alias("cand"), (F.col("s_ms") + 133).alias("start_ms"),
+                                         (F.col("s_ms") + 3_000 + F.col("pos") % 11 * 10_000).alias("end_ms"))
+    card = "cast(null as struct<hook:int,retention:int,value:int,share:int>) AS scores"
+    cands = at.selectExpr("*", "'h' AS hook", "'' AS why", card, "cast(null as string) AS title", "cast(null as array<string>) AS hashtags",
+                          "'karaoke' AS style", "'x' AS source")
+    found = {}
+    for size in (100_000, 4096, 60):
+        chunked = w.withColumn("chunk", F.expr(f"pos div {size}"))
+        out = V.validate(cands, chunked, td.durations(w), V.Rules())
+        found[size] = sorted(map(tuple, out.select("video_id", "cand", "start_ms", "end_ms").collect()))
+    assert found[100_000] == found[4096] == found[60] and len(found[60]) > 100
+
+
+def test_validation_moves_no_word(spark, sf):
+    from cuewise.operators import validate as V
+
+    w = td.words(spark, sf)
+    cands = C.propose(w, 5).localCheckpoint()
+    n = w.count()
+    assert n > 10_000
+    assert max(s.shuffleWriteRecords() for s in stages_of(spark, V.validate(cands, w, td.durations(w)))) < n / 20
