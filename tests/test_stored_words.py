@@ -158,3 +158,71 @@ def test_validation_moves_no_word(spark, sf):
     n = w.count()
     assert n > 10_000
     assert max(s.shuffleWriteRecords() for s in stages_of(spark, V.validate(cands, w, td.durations(w)))) < n / 20
+
+
+def records(spark, df):
+    return sum(s.shuffleWriteRecords() for s in stages_of(spark, df))
+
+
+def test_flashes_are_merged_by_line(spark, sf):
+    w = segment.attach_punctuation(td.words(spark, sf), dealt=True)
+    w = w.withColumn("e_ms", F.when(F.expr("pos % 3 = 0"), F.col("s_ms") + 40).otherwise(F.col("e_ms")))
+    rule = L.LineRule(gap_ms=600, max_words=2, max_len=24, max_ms=4000)
+    old = L.line_rows(L.merge_flashes(L.split_at_sentences(L.pack(w, rule)), 24))
+    new = L.merge_flash_lines(L.packed_lines(w, rule, split=True), 24)
+    assert rows_of(old) == rows_of(new)
+    assert new.count() < L.packed_lines(w, rule, split=True).count()
+
+
+def test_held_captions_and_respread_lines_move_lines(spark, sf):
+    from cuewise.catalog import QUERIES
+
+    n = td.words(spark, sf).count()
+    assert max(s.shuffleWriteRecords() for s in stages_of(spark, QUERIES["held_captions"](spark, sf))) < n * 0.7
+    assert max(s.shuffleWriteRecords() for s in stages_of(spark, QUERIES["respread_lines"](spark, sf))) < n * 0.5
+
+
+def test_words_of_lines(spark, sf):
+    w = td.words(spark, sf)
+    lines = L.packed_lines(w, L.BLOCK).filter("line % 3 = 0")
+    want = L.pack(w, L.BLOCK).filter("line % 3 = 0")
+    assert rows_of(L.words_of_lines(lines, w)) == rows_of(want)
+
+
+def test_recogniser_documents_move_sentences_once(spark, sf):
+    from cuewise.catalog.ingest import recogniser_docs
+
+    docs = recogniser_docs(spark, sf)
+    assert records(spark, docs) < td.words(spark, sf).count() / 4
+    got = {r.video_id: r.doc for r in docs.collect()}
+    assert '"text":"  spaced"' not in got[5] and '"text":" ou"' in got[5] and '"tokens"' not in got.get(3, "") and "[_BEG_]" in got[1]
+
+
+def test_open_lines_are_found_beside_their_words(spark, sf):
+    w = td.words(spark, sf)
+    # Packing alone moves no word, though a talk of several chunks takes rounds.
+    assert records(spark, L.packed_lines(w, L.BLOCK)) < w.count() / 10
+    before = L.cut
+    sizes = []
+    L.cut = lambda df: sizes.append(before(df)) or sizes[-1]
+    try:
+        L.packed_lines(w, L.BLOCK).count()
+    finally:
+        L.cut = before
+    assert sizes and max(df.count() for df in sizes) < 100
+
+
+def test_balanced_breaks_against_a_loop(spark):
+    texts = ["aa bb cc dd ee ff gg", "one", "a  b   c and more of it", "x" * 30, "y" * 20 + " z", "", "ä ö ü und noch ein Wort", " leads with space and more"]
+
+    def plain(t):
+        ws = t.split(" ")
+        if len(t) <= 18 or len(ws) < 2:
+            return None
+        return min((max(len(" ".join(ws[:i])), len(t) - len(" ".join(ws[:i])) - 1), i) for i in range(1, len(ws)))[1]
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").withColumn("b", L.balanced_break("t"))
+    assert {r.k: r.b for r in df.collect()} == {k: plain(t) for k, t in enumerate(texts)}
+    # The text is taken apart once, however many words it has.
+    long = spark.createDataFrame([(" ".join(["word"] * 20_000),)], "t string").select(L.balanced_break("t").alias("b"))
+    assert long.first().b == 10_000
