@@ -209,8 +209,10 @@ def frame_rows(faces: DataFrame, samples: DataFrame, f: Frame, hz: int = 15, chu
         return cut(todo.groupBy("video_id", "chunk").applyInPandas(lambda p: last_state(p), f"video_id {kind}, chunk long, state {struct}"))
 
     nothing = F.lit(None).cast(struct)
-    ended = run(rows.withColumn("state", nothing))
-    given = cut(ended.select("video_id", "chunk", nothing.alias("state")))
+    # The state at the end of a video's last chunk is nobody's start.
+    rows_before = rows.join(after.select("video_id", "chunk"), ["video_id", "chunk"], "left_semi")
+    ended = run(rows_before.withColumn("state", nothing))
+    given = cut(order.select("video_id", "chunk", nothing.alias("state")))
     while True:
         # What each chunk should start from, now that its predecessor has run again.
         wanted = ended.join(after, ["video_id", "chunk"]).select("video_id", F.col("next").alias("chunk"), F.col("state").alias("wanted"))
@@ -218,7 +220,7 @@ def frame_rows(faces: DataFrame, samples: DataFrame, f: Frame, hz: int = 15, chu
         changed = cut(wanted.where(~F.to_json("state").eqNullSafe(F.to_json("wanted"))).select("video_id", "chunk", F.col("wanted").alias("state")))
         if changed.isEmpty():
             break
-        again = run(rows.join(changed, ["video_id", "chunk"]))
+        again = run(rows_before.join(changed, ["video_id", "chunk"]))
         ended = cut(ended.join(changed.select("video_id", "chunk"), ["video_id", "chunk"], "left_anti").unionByName(again))
         given = cut(wanted.select("video_id", "chunk", F.col("wanted").alias("state")))
     done = rows.join(given, ["video_id", "chunk"])

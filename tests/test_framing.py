@@ -143,3 +143,18 @@ def test_the_stream_gives_the_batch_rows(spark):
     stream = spark.readStream.schema(joined.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     got = live.run_once(ordered.framed_samples(stream, WIDE, "10 minutes"), folder, [], "append").where("video_id >= 0")
     assert [tuple(r) for r in got.orderBy("frame").collect()] == one_pass(samples, faces)
+
+
+def test_states_of_last_chunks_are_not_computed(spark, monkeypatch):
+    from cuewise.operators import framing
+
+    kept, before = [], framing.cut
+    monkeypatch.setattr(framing, "cut", lambda df: kept.append(before(df)) or kept[-1])
+    samples = spark.range(60).selectExpr("id % 2 AS video_id", "id div 2 AS frame", "(id div 2) / 15D AS t_s", "false AS speech", "false AS shot").where(
+        "video_id = 0 or frame < 10")
+    faces = samples.selectExpr("video_id", "frame", "1L AS det", "named_struct('x', 100D, 'y', 100D, 'w', 80D, 'h', 90D, 'score', 0.9D) AS box", "0.2D AS motion")
+    rows = framing.frame_rows(faces, samples, framing.Frame(1920, 1080, 1080, 1920), chunk=10)
+    assert rows.count() == 40
+    ended = next(df for df in kept if df.columns == ["video_id", "chunk", "state"])
+    # Of chunks 0, 1, 2 of one video and 0 of the other only those with a successor.
+    assert sorted((r.video_id, r.chunk) for r in ended.collect()) == [(0, 0), (0, 1)]
