@@ -10,15 +10,14 @@ automaton runs on streams.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuewise.functions.geometry import Frame
-from cuewise.operators.presence import FORGET_S, START, speaker_step, steal_hits
+from cuewise.operators.presence import FORGET_S, START, measure, speaker_step, steal_hits
 from cuewise.sources.staging import cut
 
 CHUNK = 4096
@@ -47,37 +46,32 @@ def frozen_state(state: dict) -> tuple:
 
 def thawed_state(row) -> dict:
     state = dict(zip([f.split()[0] for f in STATE.split(", ")], row))
-    array = lambda v: None if v is None else np.array(v, float)
-    return {**state, "box": array(state["box"]), "rival": array(state["rival"]), "crew": [array(m) for m in (state["crew"] if state["crew"] is not None else [])]}
+    numbers = lambda v: None if v is None else [float(x) for x in v]
+    return {**state, "box": numbers(state["box"]), "rival": numbers(state["rival"]), "window": numbers(state["window"]), "anchor": numbers(state["anchor"]),
+            "crew": [numbers(m) for m in (state["crew"] if state["crew"] is not None else [])]}
 
 
-def _overlaps(face: np.ndarray, others: np.ndarray) -> np.ndarray:
-    low = np.maximum(others[:, :2], face[:2])
-    high = np.minimum(others[:, :2] + others[:, 2:4], face[:2] + face[2:4])
-    inter = np.prod(np.clip(high - low, 0, None), axis=1)
-    return inter / np.maximum(others[:, 2] * others[:, 3] + face[2] * face[3] - inter, 1e-9)
-
-
-def crew_of(faces: np.ndarray, before: list[np.ndarray], base_w: float) -> list[int]:
+def crew_of(faces: Sequence, before: Sequence, base_w: float) -> list[int]:
     """Faces that share a conversation, as places: the most lively first, confident, of a size, distinct, and together within three
     quarters of the base window; one that was in the crew before may reach nine tenths."""
+    if len(faces) < 2:
+        return []
     found: list[int] = []
     left, right = math.inf, -math.inf
-    tallest = faces[:, 3].max(initial=0.0)
-    old = np.array(before).reshape(-1, 6)
-    middle = faces[:, 0] + faces[:, 2] / 2
-    for i in np.argsort(-(faces[:, 4] + faces[:, 5]), kind="stable").tolist():
+    least = LEAST_HEIGHT * max(0.0, max(f[3] for f in faces))
+    for i in sorted(range(len(faces)), key=lambda i: -(faces[i][4] + faces[i][5])):
         f = faces[i]
-        if f[4] < LEAST_SCORE or f[3] < LEAST_HEIGHT * tallest:
+        if f[4] < LEAST_SCORE or f[3] < least:
+            continue
+        x, w = f[0], f[2]
+        a, b = min(left, x), max(right, x + w)
+        # Nobody may reach beyond nine tenths; the closer looks are for the rest.
+        if b - a > KEPT_SPAN * base_w:
             continue
-        if found:
-            heads = faces[found]
-            apart = np.abs(middle[found] - middle[i]) > HEAD_GAP * np.maximum(heads[:, 2], f[2])
-            if not (apart & (_overlaps(f, heads) < SAME_HEAD)).all():
-                continue
-        room = KEPT_SPAN if len(old) and _overlaps(f, old).max() > INCUMBENT else SPAN
-        a, b = min(left, f[0]), max(right, f[0] + f[2])
-        if b - a <= room * base_w:
+        heads = [measure(f, faces[k]) for k in found]
+        if not all(apart > HEAD_GAP * max(faces[k][2], w) and overlap < SAME_HEAD for k, (overlap, apart) in zip(found, heads)):
+            continue
+        if b - a <= SPAN * base_w or any(measure(f, m)[0] > INCUMBENT for m in before):
             left, right = a, b
             found.append(i)
     return found if len(found) >= 2 else []
@@ -87,22 +81,26 @@ def _inside(x: float, size: float, whole: float) -> float:
     return min(max(x, 0.0), max(whole - size, 0.0))
 
 
-def crew_window(faces: np.ndarray, f: Frame) -> tuple | None:
+def crew_window(faces: Sequence, f: Frame) -> tuple | None:
     """The base window over a crew, or None where it would cut a member off."""
     _, _, bw, bh = f.base
-    a, b = faces[:, 0].min() - 0.12 * bw, (faces[:, 0] + faces[:, 2]).max() + 0.12 * bw
+    first, last = min(m[0] for m in faces), max(m[0] + m[2] for m in faces)
+    a, b = first - 0.12 * bw, last + 0.12 * bw
     if b - a > bw:
         return None
     a, b = (0.0, b - a) if a < 0 else (a, b)
     a, b = (a - (b - f.src_w), f.src_w) if b > f.src_w else (a, b)
     w, h = min(bw, f.src_w), min(bh, f.src_h)
     x = _inside((a + b) / 2 - w / 2, w, f.src_w)
-    if (faces[:, 0] < x - 1).any() or (faces[:, 0] + faces[:, 2] > x + w + 1).any():
+    if first < x - 1 or last > x + w + 1:
         return None
-    return x, _inside((faces[:, 1] + faces[:, 3] / 2).mean() - h * 0.4, h, f.src_h), w, h
+    middle = 0.0
+    for m in faces:
+        middle += m[1] + m[3] / 2
+    return x, _inside(middle / len(faces) - h * 0.4, h, f.src_h), w, h
 
 
-def face_window(face: np.ndarray, f: Frame) -> tuple:
+def face_window(face: Sequence, f: Frame) -> tuple:
     """The window of one face, as geometry.face_window."""
     _, _, bw, bh = f.base
     u = min(max((face[4] - 0.5) / 0.3, 0.0), 1.0)
@@ -120,8 +118,11 @@ def _group(state: dict, qualifies: bool) -> bool:
     return state["grouped"] != was
 
 
-def frame_sample(state: dict, t: float, faces: np.ndarray, speech: bool, shot: bool, f: Frame, hz: int = 15) -> tuple:
-    """Move the state by one sample and return its row, with the place of the picked face."""
+def frame_sample(state: dict, t: float, faces: Sequence, speech: bool, shot: bool, f: Frame, hz: int = 15) -> tuple:
+    """Move the state by one sample of faces (x, y, w, h, score, motion) and return its row, with the place of the picked face.
+
+    A sample has few faces: plain numbers take a fraction of the time that arrays of two or three rows do.
+    """
     if t - state["seen"] > FORGET_S:
         state.update(box=None, rival=None)
     if shot:
@@ -129,8 +130,8 @@ def frame_sample(state: dict, t: float, faces: np.ndarray, speech: bool, shot: b
     base = f.base
     crew = crew_of(faces, state["crew"], base[2])
     state["crew"] = [faces[i] for i in crew]
-    state["memory"] = MEMORY if crew and (faces[crew, 5] > TALKS).all() else max(state["memory"] - 1, 0)
-    shared = crew_window(faces[crew], f) if crew and state["memory"] > 0 else None
+    state["memory"] = MEMORY if crew and all(faces[i][5] > TALKS for i in crew) else max(state["memory"] - 1, 0)
+    shared = crew_window([faces[i] for i in crew], f) if crew and state["memory"] > 0 else None
     turned = _group(state, shared is not None) if speech else False
     pick, takes, follows = speaker_step(state, t, faces, speech, f.src_w, steal_hits(hz))
     settling, grouped, weak = t - state["shot_at"] < SETTLE_S, False, False
@@ -145,7 +146,7 @@ def frame_sample(state: dict, t: float, faces: np.ndarray, speech: bool, shot: b
     if grouped or settling or (pick is None and state["anchor"] is None):
         anchor = (x + w / 2, y + h * 0.4)
     else:
-        anchor = (faces[pick, 0] + faces[pick, 2] / 2, faces[pick, 1] + faces[pick, 3] / 2) if pick is not None else state["anchor"]
+        anchor = (faces[pick][0] + faces[pick][2] / 2, faces[pick][1] + faces[pick][3] / 2) if pick is not None else state["anchor"]
     jumps = not weak and not follows and state["window"] is not None and \
         abs(x + w / 2 - (state["window"][0] + state["window"][2] / 2)) > JUMP * f.src_w
     if not weak:
@@ -153,23 +154,27 @@ def frame_sample(state: dict, t: float, faces: np.ndarray, speech: bool, shot: b
     return pick, takes, x, y, w, h, float(anchor[0]), float(anchor[1]), len(crew) if grouped else 1, grouped, weak, bool(shot or turned or jumps), bool(shot)
 
 
-def _arrays(faces) -> tuple[list, np.ndarray]:
-    rows = [] if faces is None else list(faces)
-    return [r["det"] for r in rows], np.array([[r[c] for c in FACE] for r in rows], float).reshape(-1, 6)
+def _faces(flat) -> tuple[list[int], list[list[float]]]:
+    """Numbers and boxes of the faces of a sample, as ``with_faces`` gives them."""
+    values = [] if flat is None else flat.tolist() if hasattr(flat, "tolist") else list(flat)
+    size = len(FACE) + 1
+    return [int(v) for v in values[::size]], [values[k + 1: k + size] for k in range(0, len(values), size)]
 
 
 def run_samples(state: dict, rows: Iterator[tuple], f: Frame, hz: int) -> Iterator[tuple]:
     """Rows for ordered samples (frame, t_s, faces, speech, shot); the state moves along."""
     for frame, t, faces, speech, shot in rows:
-        det, boxes = _arrays(faces)
+        det, boxes = _faces(faces)
         pick, *rest = frame_sample(state, t, boxes, bool(speech), bool(shot), f, hz)
         yield (frame, None if pick is None else det[pick], *rest)
 
 
 def with_faces(samples: DataFrame, faces: DataFrame) -> DataFrame:
-    """Samples ``(video_id, frame, t_s, speech, shot)`` with the faces ``(video_id, frame, det, box, motion)`` of their frame."""
+    """Samples ``(video_id, frame, t_s, speech, shot)`` with the faces ``(video_id, frame, det, box, motion)`` of their frame: ``faces`` holds
+    seven numbers of each one after another, by ``det``: det and FACE."""
     box = F.struct("det", *[F.col(f"box.{c}").cast("double").alias(c) for c in FACE[:-1]], F.col("motion").cast("double").alias("motion"))
-    per = faces.groupBy("video_id", "frame").agg(F.array_sort(F.collect_list(box)).alias("faces"))
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(box)), lambda b: F.array(b["det"].cast("double"), *[b[c] for c in FACE])))
+    per = faces.groupBy("video_id", "frame").agg(flat.alias("faces"))
     return samples.select("video_id", "frame", "t_s", "speech", "shot").join(per, ["video_id", "frame"], "left")
 
 
@@ -191,7 +196,7 @@ def frame_rows(faces: DataFrame, samples: DataFrame, f: Frame, hz: int = 15, chu
 
     def samples_of(pdf):
         pdf = pdf.sort_values("frame")
-        return zip(pdf["frame"], pdf["t_s"], pdf["faces"], pdf["speech"], pdf["shot"])
+        return zip(*(pdf[c].tolist() for c in ("frame", "t_s", "faces", "speech", "shot")))
 
     def last_state(pdf: pd.DataFrame) -> pd.DataFrame:
         state = start(pdf)

@@ -158,3 +158,18 @@ def test_states_of_last_chunks_are_not_computed(spark, monkeypatch):
     ended = next(df for df in kept if df.columns == ["video_id", "chunk", "state"])
     # Of chunks 0, 1, 2 of one video and 0 of the other only those with a successor.
     assert sorted((r.video_id, r.chunk) for r in ended.collect()) == [(0, 0), (0, 1)]
+
+
+def test_faces_of_a_sample_are_plain_numbers(spark):
+    """A sample's faces travel as one array of doubles and are stepped over without arrays of two rows."""
+    samples, faces = story(6, 40, 0)
+    rows = R.with_faces(*frames(spark, samples, faces)).where("faces is not null").collect()
+    assert rows
+    for r in rows:
+        det, boxes = R._faces(r.faces)
+        own = sorted((d, tuple(rest)) for _, k, d, *rest in faces if k == r.frame)
+        assert det == [d for d, _ in own] and [tuple(b) for b in boxes] == [b for _, b in own]
+    state = R.begin()
+    R.frame_sample(state, 0.0, [list(face(500.0)), list(face(1000.0))], True, False, WIDE)
+    assert R.frozen_state(R.thawed_state(R.frozen_state(state))) == R.frozen_state(state)
+    assert type(state["crew"][0]) is list

@@ -226,3 +226,14 @@ def test_balanced_breaks_against_a_loop(spark):
     # The text is taken apart once, however many words it has.
     long = spark.createDataFrame([(" ".join(["word"] * 20_000),)], "t string").select(L.balanced_break("t").alias("b"))
     assert long.first().b == 10_000
+
+
+def test_only_words_near_the_samples_leave_their_chunks(spark, sf):
+    from cuewise.operators import presence as P
+
+    at = spark.range(0, 40).selectExpr("1 + id % 2 AS video_id", "id AS frame", "id * 400 AS t_ms")
+    w = td.words(spark, sf)
+    got = P.speech_samples(at, w)
+    assert rows_of(got) == rows_of(P.speech_samples(at, w.drop("chunk")))
+    assert got.where("speech").count() > 0
+    assert "__first" in plan_of(got) and "Bucketed: true" in plan_of(got)
