@@ -12,12 +12,17 @@ DIMENSIONS = ("hook", "retention", "value", "share")
 
 def score_sentence(text, n_words) -> Column:
     """55 plus bonuses for a question, an exclamation, a digit and a good length; at most 92."""
-    text, n = col(text), col(n_words)
+    text = col(text)
+    return score_signs(text.contains("?"), text.contains("!"), has_digit(text), n_words)
+
+
+def score_signs(question, exclamation, digit, n_words) -> Column:
+    """As :func:`score_sentence`, from what its text holds."""
     bonus = (
-        F.when(text.contains("?"), 12).otherwise(0)
-        + F.when(text.contains("!"), 6).otherwise(0)
-        + F.when(has_digit(text), 6).otherwise(0)
-        + F.when(n.between(8, 25), 6).otherwise(0)
+        F.when(col(question), 12).otherwise(0)
+        + F.when(col(exclamation), 6).otherwise(0)
+        + F.when(col(digit), 6).otherwise(0)
+        + F.when(col(n_words).between(8, 25), 6).otherwise(0)
     )
     return F.least(F.lit(92), F.lit(55) + bonus)
 

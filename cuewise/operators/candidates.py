@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.functions.score import bump, score_sentence, scorecard, word_set
-from cuewise.functions.text import joined, mentions_any, words_in_order
+from cuewise.functions.score import bump, score_signs, scorecard, word_set
+from cuewise.functions.text import has_digit, mentions_any, words_in_order
 from cuewise.operators import segment
 from cuewise.operators.scan import WORDS_PER_CHUNK, chunk_in, chunk_of, points_in_ranges
 from cuewise.sources.staging import cut
@@ -107,8 +107,10 @@ def propose(words: DataFrame, count: int, focus: list[str] = ()) -> DataFrame:
 
 def propose_complete(words: DataFrame, count: int, focus: list[str] = ()) -> DataFrame:
     """Best sentences grown by whole sentences, forward then backward, to 20-120 s."""
+    # What a text adds to a score, so that texts need not be put together for it.
     scored = cut(segment.scored_sentences(words, focus).select(
-        "video_id", "sent_start", "s_ms", "e_ms", "text", "score"))
+        "video_id", "sent_start", "s_ms", "e_ms", "text", "score", F.col("text").contains("?").alias("asks"), F.col("text").contains("!").alias("calls"),
+        has_digit("text").alias("counts"), F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("n")))
     top = segment.top_sentences(scored, count).select(
         "video_id", (F.col("rn") - 1).alias("cand"), F.col("sent_start").alias("i"),
         F.col("s_ms").alias("s_i"), F.col("e_ms").alias("e_i"))
@@ -143,14 +145,15 @@ def propose_complete(words: DataFrame, count: int, focus: list[str] = ()) -> Dat
         F.coalesce("back.sent_start", "i").alias("a"), "b",
     ).filter("end_ms - start_ms >= 8000")
 
-    inside = points_in_ranges(scored, span, ["video_id"], "s_ms", F.col("start_ms"),
+    signs = scored.select("video_id", "sent_start", "s_ms", "asks", "calls", "counts", "n")
+    inside = points_in_ranges(signs, span, ["video_id"], "s_ms", F.col("start_ms"),
                               F.col("end_ms"), 60_000).filter("sent_start between a and b")
-    parts = F.array_sort(F.collect_list(F.struct("sent_start", "text")))
-    out = inside.groupBy("video_id", "cand", "start_ms", "end_ms").agg(parts.alias("p"))
-    out = out.withColumn("hook", F.col("p")[0]["text"]).withColumn("full", joined("p", "text"))
-    out = out.withColumn("n", F.size(F.filter(F.split("full", r"\s+"), lambda t: t != "")))
+    out = inside.groupBy("video_id", "cand", "start_ms", "end_ms", F.col("a").alias("sent_start")).agg(
+        F.bool_or("asks").alias("asks"), F.bool_or("calls").alias("calls"), F.bool_or("counts").alias("counts"), F.sum("n").alias("n"))
+    # Only the sentence it opens with is needed as text.
+    out = out.join(scored.select("video_id", "sent_start", F.col("text").alias("hook")), ["video_id", "sent_start"])
     out = out.withColumn("why", F.lit(COMPLETE_WHY))
-    return candidate_rows(out, "heuristic-complete", scorecard(score_sentence("full", "n")))
+    return candidate_rows(out, "heuristic-complete", scorecard(score_signs("asks", "calls", "counts", "n")))
 
 
 def _unsigned(x: Column) -> Column:
