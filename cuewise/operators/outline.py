@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuewise.functions.text import capitalize, ends_line_sentence, joined, words_in_order
 from cuewise.functions.timefmt import clock
 from cuewise.operators import segment
+from cuewise.operators.scan import WORDS_PER_CHUNK, chunk_in, chunk_of
 from cuewise.sources.staging import cut
 
 MIN_CHAPTERS, MIN_CHAPTER_S, MIN_VIDEO_MS = 3, 10, 90_000
@@ -38,24 +39,31 @@ def _picked(t: np.ndarray, gap: np.ndarray, n: int, spacing: float) -> list[int]
 
 
 def _short_starts(batches):
-    """Chapter starts of whole videos of at most a chunk of words, in order; one video is held at a time."""
-    names, held, key = ["pos", "s_ms", "gap_ms", "n", "spacing"], [], None
+    """Chapter starts of whole videos of at most a chunk of words, in order; one video is held at a time. A video's first row is its plan (chunk -1);
+    places and times of its words are steps from the first of each chunk."""
+    names, held, key, plan = ["at", "pos0", "s0", "ps", "ss", "gs"], [], object(), None
 
     def out():
-        pos, t, gap, n, spacing = (np.concatenate(c) for c in zip(*held))
-        at = _picked(t, gap, int(n[0]), float(spacing[0]))
-        return pd.DataFrame({"video_id": [key] * len(at), "pos": pos[at], "start_ms": np.r_[0, t[at[1:]]].astype(np.int64)})
+        at, pos0, s0, ps, ss, gap = (np.concatenate(c).astype(np.int64) for c in zip(*held))
+        first = np.maximum.accumulate(np.where(at == 0, np.arange(len(at)), 0))
+        pos, t = (start + steps.cumsum() - steps.cumsum()[first] for start, steps in ((pos0, ps), (s0, ss)))
+        found = _picked(t, gap, *plan)
+        return pd.DataFrame({"video_id": [key] * len(found), "pos": pos[found], "start_ms": np.r_[0, t[found[1:]]].astype(np.int64)})
 
     for pdf in batches:
-        video, arrays = pdf["video_id"].to_numpy(), [pdf[c].to_numpy() for c in names]
+        video, chunk = pdf["video_id"].to_numpy(), pdf["chunk"].to_numpy()
+        arrays = [pdf[c].to_numpy() for c in names]
         cuts = [0, *(np.flatnonzero(video[1:] != video[:-1]) + 1).tolist(), len(pdf)] if len(pdf) else [0]
         done = []
         for a, b in zip(cuts, cuts[1:]):
-            if held and video[a] != key:
-                done.append(out())
-                held = []
-            key = video[a]
-            held.append([x[a:b] for x in arrays])
+            if video[a] != key:
+                if held:
+                    done.append(out())
+                held, key, plan = [], video[a], None
+                if chunk[a] < 0:
+                    plan, a = (int(pdf["n"].iloc[a]), float(pdf["spacing"].iloc[a])), a + 1
+            if plan and a < b:
+                held.append([x[a:b] for x in arrays])
         if done:
             yield pd.concat(done)
     if held:
@@ -73,14 +81,23 @@ def chapter_starts(words: DataFrame, durations: DataFrame) -> DataFrame:
     n = F.least(F.greatest(F.floor(F.col("duration_ms") / 240_000 + 0.5), F.lit(MIN_CHAPTERS)), F.lit(10)).cast("int")
     plan = long.join(words.groupBy("video_id").agg(F.max("pos").alias("last")), "video_id").select(
         "video_id", "last", n.alias("n"), (F.col("duration_ms") / (n * 2.0)).alias("spacing"))
-    gaps = segment.gap_before(words).join(plan, "video_id").select(
-        "video_id", "pos", "s_ms", F.coalesce("gap_ms", F.lit(0)).alias("gap_ms"), "n", "spacing", "last")
+    pauses = segment.gap_before(words).select("video_id", chunk_in(words).alias("chunk"), "pos", "s_ms", F.coalesce("gap_ms", F.lit(0)).alias("gap_ms"))
     kind = dict(words.dtypes)["video_id"]
-    short = gaps.where(F.col("last") < CHUNK).drop("last").repartition("video_id").sortWithinPartitions("video_id", "pos")
+    # Moved once, as a row per chunk: steps from word to word, which are mostly alike. A video's plan goes before its chunks.
+    packed = pauses.groupBy("video_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "s_ms", "gap_ms"))).alias("p"))
+    step = lambda c: F.transform("p", lambda x, i: (x[c] - F.coalesce(F.get("p", i - 1)[c], x[c])).cast("int"))
+    packed = packed.select("video_id", "chunk", F.col("p")[0]["pos"].alias("pos0"), F.col("p")[0]["s_ms"].alias("s0"), step("pos").alias("ps"), step("s_ms").alias("ss"),
+                           F.transform("p", lambda x: x["gap_ms"].cast("int")).alias("gs"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("double").alias("spacing"))
+    zero, none = F.lit(0).cast("long"), F.array(F.lit(0))
+    plans = plan.where(F.col("last") < CHUNK).select(
+        "video_id", F.lit(-1).cast("long").alias("chunk"), zero.alias("pos0"), zero.alias("s0"), none.alias("ps"), none.alias("ss"), none.alias("gs"), "n", "spacing")
+    rows = packed.unionByName(plans).repartition("video_id").sortWithinPartitions("video_id", "chunk")
+    short = rows.select("video_id", "chunk", "pos0", "s0", "n", "spacing", F.posexplode(F.arrays_zip("ps", "ss", "gs")).alias("at", "x")).select(
+        "video_id", "chunk", "at", "pos0", "s0", "x.ps", "x.ss", "x.gs", "n", "spacing")
     starts = short.mapInPandas(_short_starts, f"video_id {kind}, pos long, start_ms long")
     if words.where(F.col("pos") >= CHUNK).isEmpty():
         return starts
-    rest = cut(gaps.where(F.col("last") >= CHUNK))
+    rest = cut(pauses.join(plan.where(F.col("last") >= CHUNK), "video_id").select("video_id", "pos", "s_ms", "gap_ms", "n", "spacing"))
     taken = cut(rest.groupBy("video_id").agg(F.array(F.min(F.struct("pos", "s_ms"))).alias("taken")))
     for _ in range(9):
         clear = F.forall("taken", lambda x: F.abs(F.col("s_ms") - x["s_ms"]) >= F.col("spacing")) & (F.col("s_ms") > F.col("spacing"))
@@ -98,7 +115,10 @@ def chapter_starts(words: DataFrame, durations: DataFrame) -> DataFrame:
 def titled(starts: DataFrame, words: DataFrame) -> DataFrame:
     """Chapter titles from the six words at each start."""
     spots = starts.withColumn("at", F.explode(F.sequence(F.col("pos"), F.col("pos") + 5)))
-    w = words.select("video_id", F.col("pos").alias("at"), F.regexp_replace("w", r"[,.?!;]+$", "").alias("w"))
+    w = words.select("video_id", chunk_in(words).alias("chunk"), F.col("pos").alias("at"), F.regexp_replace("w", r"[,.?!;]+$", "").alias("w"))
+    # The few places are brought to the chunks of the words.
+    asked = spots.groupBy("video_id", chunk_of("at", WORDS_PER_CHUNK).alias("chunk")).agg(F.collect_set("at").alias("asked"))
+    w = w.join(asked, ["video_id", "chunk"]).where(F.array_contains("asked", F.col("at"))).select("video_id", "at", "w")
     rows = spots.join(w, ["video_id", "at"]).groupBy("video_id", "pos", "start_ms").agg(
         words_in_order("at").alias("t"))
     return rows.select("video_id", (F.col("start_ms") / 1000).alias("start_s"), capitalize("t").alias("title"))
