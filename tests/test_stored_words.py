@@ -349,3 +349,24 @@ def test_a_long_segment_is_tiled_only_where_ranges_are(spark):
     assert sorted(map(tuple, got.collect())) == [
         (1, 1, 0, 39_995_000, 40_000_000, "wide"), (1, 1, 1, 40_000_000, 40_006_000, "track"), (1, 1, 2, 40_006_000, 40_020_000, "wide"),
         (1, 2, 0, 40_020_000, 40_045_000, "wide"), (2, 1, 0, late - 9_000, late, "track"), (3, 1, 0, 5_000, 9_000, "track"), (4, 1, 0, 0, 1_000, "track")]
+
+
+def test_runs_of_energy_say_what_its_hops_say(spark):
+    # Three videos, one of two chunks; runs of 1 to 40 hops, some quiet.
+    rows, hops = [], []
+    for v in range(3):
+        at = 0
+        for k in range(160):
+            n, ms = 1 + (k * 7 + v) % 40, 1e-9 if k % 3 == 2 else 0.01 * (1 + (k * k + v) % 9)
+            chunk = int(v == 1 and k >= 80)
+            rows.append((v, at, n, ms, chunk))
+            hops += [(v, at + j, ms, chunk) for j in range(n)]
+            at += n
+    runs = spark.createDataFrame(rows, "video_id long, hop long, n long, ms double, chunk long")
+    plain = spark.createDataFrame(hops, "video_id long, hop long, ms double, chunk long").drop("chunk")
+    values = lambda df: sorted(tuple(round(x, 7) for x in r) for r in df.collect())
+    assert values(S.loudness(runs)) == values(S.loudness(plain)) == values(S.loudness(runs.drop("chunk")))
+    assert values(S.smoothed_loudness(runs)) == values(S.smoothed_loudness(plain))
+    for above in (0.5, 3.0):
+        found = values(S.energy_peaks(runs, above, 1500))
+        assert found == values(S.peaks(S.loudness(plain), above, 1500)) and {r[0] for r in found} == {0, 1, 2}
