@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.score import total_of, word_set, word_set_jaccard
 from cuewise.functions.text import ends_sentence, hashtags, is_hook_filler, style_or
-from cuewise.operators.scan import chunk_in
+from cuewise.operators.scan import chunk_in, in_place
 from cuewise.sources.staging import cut
 
 TILE_MS = 600_000
@@ -190,9 +191,7 @@ def _finish(rules: Rules):
         word = last_at_most(e, cap)
         word_ok = (word > a) & (word - a >= rules.min_ms)
         b = np.where(big, np.where(sent_ok, sent, np.where(word_ok, word, cap)), b)
-        out = pd.DataFrame({"video_id": cand["video_id"], "cand": cand["cand"],
-                            "s": a - c_base, "e": b - c_base})
-        return out[keep]
+        return pd.DataFrame({"video_id": cand["video_id"], "cand": cand["cand"], "s": a - c_base, "e": b - c_base, "__kept": keep})
 
     return per_cell
 
@@ -215,19 +214,33 @@ def validate(candidates: DataFrame, words: DataFrame, durations: DataFrame,
     id_type = dict(candidates.dtypes)["video_id"]
     rest = ["video_id", "cand", "tile", "s1", "e1", "duration_ms", "se", "sb", "pe", "before_s"]
 
-    def finished(cands: DataFrame, near: DataFrame) -> DataFrame:
+    settle = _finish(rules)
+
+    def beside(cols, group, asked, own):
+        cand, w = (pa.table(x).to_pandas() for x in (asked, cols))
+        done = settle(cand, w)
+        kept = done.pop("__kept").to_numpy(bool)
+        done, at = done[kept], pa.array(np.flatnonzero(kept))
+        return pa.record_batch([asked["video_id"].take(at), asked["cand"].take(at), *[pa.array(done[c], pa.int64()) for c in ("s", "e")]],
+                               names=["video_id", "cand", "s", "e"])
+
+    def apart(cands: DataFrame, near: DataFrame) -> DataFrame:
+        # Many tiles are settled at once: a group of two tables takes longer to begin than most tiles to settle.
         near = near.join(cands.select("video_id", "tile").distinct(), ["video_id", "tile"], "left_semi")
+        parts = 64 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cell = F.pmod(F.xxhash64("video_id", "tile"), F.lit(parts)).alias("__cell")
         # Fresh column ids: the cogrouped sides share their source.
-        left = cands.select(*[F.col(c).alias(c) for c in rest])
-        right = near.select(*[F.col(c).alias(c) for c in near.columns])
-        return left.groupBy("video_id", "tile").cogroup(right.groupBy("video_id", "tile")).applyInPandas(
-            _finish(rules), f"video_id {id_type}, cand long, s long, e long")
-
-    # Most candidates see the words of one chunk alone and are settled beside them; a group is a chunk, or
-    # what a ten-minute tile needs around the edge of one.
-    alone = F.size("homes") == 1
-    final = finished(snapped.filter(alone), _marked(words, chunk_in(words).alias("tile")))
-    final = final.unionByName(finished(*_beside(snapped.filter(~alone), words, reach)))
+        left = cands.select(*[F.col(c).alias(c) for c in rest], cell)
+        right = near.select(*[F.col(c).alias(c) for c in near.columns], cell)
+        return left.groupBy("__cell").cogroup(right.groupBy("__cell")).applyInPandas(
+            lambda c, w: (lambda out: out[out.pop("__kept")])(settle(c, w)), f"video_id {id_type}, cand long, s long, e long")
+
+    # Most candidates see the words of one chunk alone and are settled where these lie; the rest with
+    # what a ten-minute tile needs around the edge of a chunk. A candidate that no chunk is near to has no words.
+    homes = F.size("homes")
+    here = _marked(words, chunk_in(words).alias("tile"))
+    final = in_place(here, snapped.filter(homes == 1).select(*rest), ["video_id", "tile"], "pos", beside, f"video_id {id_type}, cand long, s long, e long")
+    final = final.unionByName(apart(*_beside(snapped.filter(homes != 1), words, reach)))
     hundredth = lambda x: (F.floor((F.col(x) + 5) / 10) * 10).cast("long")
     rest = c.drop("start_ms", "end_ms", "s0", "e0", "duration_ms")
     return rest.join(final, ["video_id", "cand"]).select(

@@ -370,3 +370,15 @@ def test_runs_of_energy_say_what_its_hops_say(spark):
     for above in (0.5, 3.0):
         found = values(S.energy_peaks(runs, above, 1500))
         assert found == values(S.peaks(S.loudness(plain), above, 1500)) and {r[0] for r in found} == {0, 1, 2}
+
+
+def test_clips_are_settled_beside_their_words(spark, sf):
+    from cuewise.operators import validate as V
+
+    w = td.words(spark, sf)
+    c = C.propose(w, 3)
+    got = V.validate(c, w, td.durations(w))
+    # Words do not go to Python by groups of a chunk, of which a corpus has millions.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("FlatMapCoGroupsInPandas") == 1
+    assert rows_of(got) == rows_of(V.validate(c, w.drop("chunk"), td.durations(w))) != []
