@@ -372,6 +372,40 @@ def test_runs_of_energy_say_what_its_hops_say(spark):
         assert found == values(S.peaks(S.loudness(plain), above, 1500)) and {r[0] for r in found} == {0, 1, 2}
 
 
+def chunked_runs(spark):
+    """Runs of energy of two videos, the first in three chunks, and the hops they stand for."""
+    rows, hops = [], []
+    for v in range(2):
+        at = 0
+        for k in range(150):
+            n, ms = 1 + (k * 7 + v) % 23, 1e-9 if k % 3 == 2 else 0.01 * (1 + (k * k + v) % 9)
+            rows.append((v, at, n, ms, k // 50 if v == 0 else 0))
+            hops += [(v, at + j, ms) for j in range(n)]
+            at += n
+    return (spark.createDataFrame(rows, "video_id long, hop long, n long, ms double, chunk long"),
+            spark.createDataFrame(hops, "video_id long, hop long, ms double"))
+
+
+def spans_over(runs):
+    """Spans of many lengths from before the first hop to past the last, some across chunks."""
+    return runs.selectExpr("video_id", "hop * 10 AS id", "hop * 10 - 60 AS a_ms", "hop * 10 - 60 + (hop * 7) % 900 AS b_ms", "hop * 10 + 13 AS pref_ms", "chunk")
+
+
+def test_levels_of_ranges_stay_in_chunks(spark):
+    runs, hops = chunked_runs(spark)
+    spans = spans_over(runs).drop("pref_ms")
+    values = lambda df: sorted((r.video_id, r.id, round(r.db, 9)) for r in df.collect())
+    want = values(S.range_level(spans.drop("chunk"), hops, ["id"]))
+    assert values(S.range_level(spans, runs, ["id"])) == values(S.range_level(spans.drop("chunk"), runs, ["id"])) == want and len(want) == 300
+
+
+def test_quiet_instants_stay_in_chunks(spark):
+    runs, hops = chunked_runs(spark)
+    spans = spans_over(runs)
+    want = rows_of(S.quietest(spans.drop("chunk"), hops, ["id"]))
+    assert rows_of(S.quietest(spans, runs, ["id"])) == rows_of(S.quietest(spans.drop("chunk"), runs, ["id"])) == want and len(want) == 300
+
+
 def test_clips_are_settled_beside_their_words(spark, sf):
     from cuewise.operators import validate as V
 
