@@ -416,3 +416,20 @@ def test_clips_are_settled_beside_their_words(spark, sf):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and plan.count("FlatMapCoGroupsInPandas") == 1
     assert rows_of(got) == rows_of(V.validate(c, w.drop("chunk"), td.durations(w))) != []
+
+
+def test_edges_are_refined_beside_their_words(spark):
+    # A talk in three chunks, the second of which begins inside a keep; pauses of several lengths.
+    rows, at = [], 300
+    for k in range(240):
+        rows.append((7, k, f"w{k}", at, at + 300, k // 80))
+        at += 300 + (40, 90, 700, 1900)[k * k % 4 if k % 5 else 3]
+    w = spark.createDataFrame(rows, "video_id long, pos long, w string, s_ms long, e_ms long, chunk long").cache()
+    hops = [(7, h, 0.01 if any(r[3] <= h * 10 < r[4] for r in rows[max(h * 10 // 2200 - 3, 0):]) else 1e-9 * (1 + h % 5)) for h in range(at // 10)]
+    parts = spark.range(0, at, 20_000).selectExpr("7L AS video_id", "id div 20000 + 1 AS rank", "id AS a_ms", f"least(id + 20000, {at}L) AS b_ms").filter("b_ms - a_ms > 5000")
+    energy = spark.createDataFrame(hops, "video_id long, hop long, ms double").cache()
+    plans = I.tighten(parts, w.drop("chunk")).cache()
+    moved = [I.refine_edges(I.keep_rows(plans), I.removed_rows(plans), x, energy) for x in (w, w.drop("chunk"))]
+    for stored, plain in zip(*moved):
+        assert rows_of(stored) == rows_of(plain) != []
+    assert "FlatMap" not in plan_of(moved[0][0])
