@@ -433,3 +433,16 @@ def test_edges_are_refined_beside_their_words(spark):
     for stored, plain in zip(*moved):
         assert rows_of(stored) == rows_of(plain) != []
     assert "FlatMap" not in plan_of(moved[0][0])
+
+
+def test_streamed_loudness_of_tenths_is_that_of_hops(spark):
+    from cuewise.streaming import live
+
+    runs, hops = chunked_runs(spark)
+    tenths = S.tenth_sums(runs)
+    # Two rows for a tenth in two chunks.
+    assert tenths.count() * 5 < hops.count()
+    at = lambda c, ms: F.timestamp_millis(F.col(c) * ms).alias("ts")
+    values = lambda df: sorted((r.video_id, r.win.start, round(r.ms, 12), r.hops) for r in df.collect())
+    got = values(live.loudness_windows(tenths.select("video_id", "ms", "hops", at("c", 100))))
+    assert got == values(live.loudness_windows(hops.select("video_id", "ms", at("hop", 10)))) and any(r[3] == 40 for r in got)
